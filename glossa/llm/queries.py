@@ -22,13 +22,41 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.topk import quantise, top_k
+
+    rows = quantise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return top_k(rows, rows.where("id % 100 = 0"), 10)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.simhash import near_groups
+
+    out = near_groups(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_sharding": op2_sharding, "op7_mixing": op7_mixing}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.decontaminate import contaminated
+
+    out = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
+
+
+QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_sharding": op2_sharding,
+    "op3_topk_search": op3_topk_search,
+    "op5_simhash": op5_simhash,
+    "op7_mixing": op7_mixing,
+    "op8_decontamination": op8_decontamination,
+}
 
 ORACLES = {
     "op1_line_dedup": r"""
@@ -47,4 +75,40 @@ ORACLES = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
         FROM marked GROUP BY doc_id
     """,
+    "op3_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))::BIGINT) AS vec
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                CAST(list_sum(list_transform(range(1, len(q.vec) + 1), lambda i: q.vec[i] * c.vec[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        ),
+        ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                vec_id, score
+            FROM pairs
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+    "op8_decontamination": r"""
+        WITH words AS (
+            SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+        ),
+        cut AS (
+            SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM words
+        ),
+        shingles AS (
+            SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS s
+            FROM cut WHERE len(ws) >= 5
+        ),
+        sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, z.n AS n_shingles, count(*) AS n_found, count(*) / z.n AS containment
+        FROM shingles d JOIN shingles i ON d.kind = 'd' AND i.kind = 'i' AND d.s = i.s JOIN sizes z ON z.id = i.id
+        GROUP BY d.id, i.id, z.n HAVING count(*) >= 0.8 * z.n
+    """,
 }
