@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm.common import table
@@ -29,6 +29,20 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where("id % 100 = 0"), 10)
 
 
+def held_out() -> Column:
+    """The fold that nothing is learned from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.language_id import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    langs, matrix = train(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    out = identify(docs.select("doc_id", "text"), langs, matrix)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.simhash import near_groups
 
@@ -36,6 +50,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.quality import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
+    return score(docs, model, ["doc_id"]).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.mixing import mix
 
@@ -49,13 +73,29 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
     "op3_topk_search": op3_topk_search,
+    "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
+    "op9_secrets": op9_secrets,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {
