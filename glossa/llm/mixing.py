@@ -95,3 +95,17 @@ def mix(
             copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
         )
     )
+
+
+def mixed(docs: DataFrame, **params) -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them."""
+    own = docs.columns
+    taken = (
+        mix(docs, **params)
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .agg(F.floor(F.avg("copies")).cast("int").alias("_copies"))
+        .where("_copies > 0")
+    )
+    at = docs["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_hash"))
+    rows = docs.join(taken, at).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return rows.select(*own)

@@ -125,18 +125,19 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, train_piec
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs and score."""
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs and the score, as `name`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         for pdf in frames:
-            texts = [t if t is not None else "" for t in pdf["_text"]]
+            texts = pdf["text" if "text" in keep else "_text"].tolist()
             found = np.full(len(texts), m.constant) if m.constant is not None else m.score(m.features(texts))
-            yield pdf[keep].assign(score=found)
+            yield pdf[keep].assign(**{name: found})
 
     from pyspark.sql.types import DoubleType, StructType
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, StructType(fields).add("score", DoubleType()))
+    extra = [] if "text" in keep else [F.col("text").alias("_text")]
+    return docs.select(*keep, *extra).mapInPandas(run, StructType(fields).add(name, DoubleType()))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import table
+from glossa.llm.common import held_out, table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,6 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows.where("id % 100 = 0"), 10)
 
 
-def held_out() -> Column:
-    """The fold that nothing is learned from."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
-
-
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.llm.language_id import identify, train
 
@@ -85,6 +80,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
@@ -96,6 +97,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_html_extraction": op10_html_extraction,
+    "pipeline": pipeline,
 }
 
 ORACLES = {

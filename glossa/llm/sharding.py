@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import unit_hash
 
+#: Columns that shard makes or uses; columns of these names are not carried.
+COLUMNS = ("doc_id", "size", "text_crc32", "shard", "slot", "grown_shard", "sub", "rank", "offset")
+
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The shard, from 0, whose weighted draw is the smallest."""
@@ -32,16 +35,14 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 
 def shard(
-    docs: DataFrame, shards: int = 24, weights: Sequence[float] | None = None, sub_buckets: int = 512
+    docs: DataFrame, shards: int = 24, weights: Sequence[float] | None = None, sub_buckets: int = 512, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """docs without text, with size, text_crc32, shard, slot and grown_shard (of one more shard of weight 1).
-
-    The columns that docs brings are carried but for those of these names.
-    """
+    """doc_id, size, text_crc32, shard, slot and grown_shard (of one more shard of weight 1), and the columns `carry`."""
     weights = list(weights or [1.0] * shards)
     key = F.coalesce(F.col("doc_id"), F.xxhash64("text"))
     sized = docs.select(
         "doc_id",
+        *carry,
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         rendezvous(key, weights).cast("int").alias("shard"),
@@ -56,6 +57,6 @@ def shard(
         sized.withColumn("rank", F.row_number().over(inside))
         .join(F.broadcast(offsets), ["shard", "sub"])
         .select(
-            "doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard"
+            "doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard", *carry
         )
     )

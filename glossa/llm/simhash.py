@@ -281,3 +281,22 @@ def near_groups(
     return prints.select("doc_id", *names).join(of_node, names, "left").select(
         "doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
+
+
+#: Five-word shingles at a similarity of about 0.8: 40 of 256 bits differ at 0.8 on average; probes make up for
+#: the bands that such a distance leaves unequal.
+SIMILAR = {"width": 5, "radius": 40, "n_words": 4, "bands": 6, "band_bits": 20, "probes": 3}
+
+
+def one_of_each(docs: DataFrame, **params) -> DataFrame:
+    """The rows of docs, all columns, that stay: of each group the document with the smallest doc_id, once.
+
+    Rows without a doc_id stay.
+    """
+    groups = near_groups(docs.select("doc_id", "text"), **(params or SIMILAR))
+    kept = materialize(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    once = docs.join(kept.where("n = 1"), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
