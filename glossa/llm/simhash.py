@@ -265,17 +265,21 @@ def near_groups(
     keys = {"keys": F.first("keys").alias("keys")} if probes else {}
     nodes = materialize(known.groupBy(*names).agg(F.min("doc_id").alias("id"), *keys.values()), "nodes")
     keyed = nodes.select("id", *names, F.explode("keys" if probes else band_keys(F.col("f0"), bands, band_bits)).alias("key"))
-    tiles = (
-        keyed.groupBy("key").count().where(F.col("count") > tile_rows).select("key", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles"))
-    )
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    cut = (
-        keyed.join(tiles, "key", "left")
-        .withColumn("t", F.coalesce(tile, F.lit(0)))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
-        .select("id", *names, "key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"), gray_rank(F.col("f0")).alias("gray"))
-    )
-    rows = cut.repartitionByRange("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "gray").drop("gray")
+    tiles = materialize(
+        keyed.groupBy("key").count().where(F.col("count") > tile_rows).select("key", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles")),
+        "tiles",
+    )  # known before the join, so that the rows aren't shuffled for a join with nothing
+    if tiles.isEmpty():
+        cut = keyed.select("id", *names, "key", F.lit(0).alias("t1"), F.lit(0).alias("t2"))
+    else:
+        tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+        cut = (
+            keyed.join(tiles, "key", "left")
+            .withColumn("t", F.coalesce(tile, F.lit(0)))
+            .withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("tiles"), F.lit(1)) - 1)))
+            .select("id", *names, "key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"))
+        )
+    rows = cut.repartitionByRange("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", gray_rank(F.col("f0")))
     found = components(bucket_links(rows, n_words, radius, "links"), "stars")
     of_node = nodes.select("id", *names).join(found, nodes["id"] == found["node"], "left").select(*names, F.coalesce("root", "id").alias("component_id"))
     return prints.select("doc_id", *names).join(of_node, names, "left").select(
