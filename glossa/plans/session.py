@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +26,14 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder in the shared folder of spark.checkpoint.dir; in local mode, where it is unset, a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="glossa-")
+        atexit.register(shutil.rmtree, at.removeprefix("file://"), True)
+    return f"{at.rstrip('/')}/glossa/{uuid.uuid4().hex}"
