@@ -10,7 +10,7 @@ NEAR, BOUNDARY, STRONG = 1.0, 7.0, 3.9
 
 @dataclass(frozen=True)
 class Item:
-    """level orders how strongly a phrase ends a clause, from 0; particles are its function words."""
+    """level orders how strongly a phrase ends a clause, from 0, -1 where it ends none; particles are its function words."""
 
     head: str
     predicate: bool = False
@@ -18,7 +18,7 @@ class Item:
     unit: str = ""
     particles: frozenset[str] = frozenset()
     topic: bool = False
-    level: int = 0
+    level: int = -1
     codes: tuple[tuple[str, ...], ...] = ()
 
 
@@ -55,7 +55,7 @@ def affinity(a: Item, b: Item) -> float:
 
 def boundary(key_level: int, level: int) -> float:
     """The penalty for a scope to pass a phrase that ends a clause at least as strongly as the key."""
-    return BOUNDARY * (level - key_level + 1) if level >= key_level else 0.0
+    return BOUNDARY * (level - key_level + 1) if level >= max(key_level, 0) else 0.0
 
 
 @dataclass(frozen=True)
