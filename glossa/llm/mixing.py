@@ -99,13 +99,13 @@ def mix(
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs, all columns, as often as the mix takes them."""
-    own = docs.columns
     taken = (
         mix(docs, **params)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .agg(F.floor(F.avg("copies")).cast("int").alias("_copies"))
-        .where("_copies > 0")
+        .groupBy("doc_id", "text_hash")
+        .agg(F.floor(F.avg("copies")).cast("int").alias("copies"))
+        .where("copies > 0")
+        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "copies")
     )
-    at = docs["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_hash"))
-    rows = docs.join(taken, at).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return rows.select(*own)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"))  # names of docs can't clash
+    at = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
+    return rows.join(taken, at).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -287,9 +287,10 @@ def near_groups(
     )
 
 
-#: Five-word shingles at a similarity of about 0.8: 40 of 256 bits differ at 0.8 on average; probes make up for
-#: the bands that such a distance leaves unequal.
-SIMILAR = {"width": 5, "radius": 40, "n_words": 4, "bands": 6, "band_bits": 20, "probes": 3}
+#: Five-word shingles at a similarity (Jaccard) of 0.8 or more. At 0.8, 39 of 256 bits differ on average, with a
+#: standard deviation of 6; a radius of 46 catches nine in ten pairs at 0.8 itself and nearly all from 0.85, and
+#: takes few pairs under 0.7. Probes make up for the bands that such a distance leaves unequal.
+SIMILAR = {"width": 5, "radius": 46, "n_words": 4, "bands": 6, "band_bits": 20, "probes": 3}
 
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:

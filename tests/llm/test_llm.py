@@ -1,0 +1,423 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from glossa.llm import decontaminate, html_extract, language_id, line_dedup, mixing, quality, secrets, sharding, simhash, topk
+from glossa.llm.common import held_out
+from glossa.llm.components import components
+
+PROSE = "the quick brown fox jumps over the lazy dog and runs far away from the angry bear near old river"
+LONG = "\n".join(f"line {i} of a very long text with words {i * 7}" for i in range(6000))
+ROWS = [
+    (1, PROSE + "\nshared line of text\n a", "en", "s1"),
+    (2, "  SHARED line of text \nshort\nshort\nshared line of text", "en", "s1"),
+    (3, None, "fr", None),
+    (4, "", None, "s2"),
+    (5, PROSE + "\nshared line of text\n a", "en", "s2"),
+    (5, PROSE + "\nshared line of text\n a", "en", "s2"),
+    (None, PROSE, "en", "s1"),
+    (6, LONG, "en", "s3"),
+    (7, "\n\n \t\n", "en", "s1"),
+    (8, "le chat noir mange la souris grise dans la maison de son ami", "fr", "s3"),
+    (9, "été à la plage : ça va?\nÉTÉ À LA PLAGE ENCORE", "fr", "s3"),
+]
+#: Columns of names that operators use themselves.
+CLASH = ["n_chars", "size", "score", "shard", "slot", "key", "n", "bucket", "h1", "id", "f0", "keys", "text_hash", "owner", "word", "before", "lang_pred", "quality", "target", "_copies"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(1).cast("long") for c in CLASH})
+    return df.withColumn("size", F.lit(None).cast("long"))
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+
+
+def test_line_dedup(docs, none):
+    holders = defaultdict(set)
+    key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
+    for d, t, *_ in ROWS:
+        for x in (t or "").split("\n"):
+            if len(key(x)) >= 10 and d is not None:
+                holders[key(x)].add(d)
+    want = Counter()
+    for d, t, *_ in ROWS:
+        ls = (t or "").split("\n")
+        kept = [x for x in ls if d is None or len(holders.get(key(x), ())) < 2 or min(holders[key(x)]) == d]
+        want[d, len(ls), len(ls) - len(kept), "\n".join(kept)] += 1
+    got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == want
+    assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_line_dedup_runs(spark):
+    df = spark.createDataFrame([(1, "\n".join("abcdefghij%d" % i for i in (1, 2, 4))), (2, "\n".join("abcdefghij%d" % i for i in range(6)))], "doc_id long, text string")
+    r = line_dedup.keep_bitmaps(df).collect()
+    assert [(x["doc_id"], [tuple(d) for d in x["dropped"]]) for x in r] == [(2, [(1, 2), (4, 4)])]
+
+
+def test_sharding(docs, none):
+    out = sharding.shard(docs, 24).collect()
+    assert len(out) == len(ROWS)
+    by = defaultdict(list)
+    for r in out:
+        by[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 24)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    texts = Counter((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t, *_ in ROWS)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == texts
+    assert sharding.shard(none, 24).count() == 0
+
+
+def test_sharding_moves_little_and_follows_weights(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    out = sharding.shard(df, 4, [1, 1, 1, 3], 16).groupBy("shard").count().collect()
+    n = {r["shard"]: r["count"] for r in out}
+    assert n[3] == pytest.approx(10_000, rel=0.05) and n[0] == pytest.approx(3333, rel=0.08)
+    moved = sharding.shard(df, 9).where("shard <> grown_shard")
+    assert moved.where("grown_shard <> 9").count() == 0 and moved.count() == pytest.approx(2000, rel=0.1)
+
+
+def test_top_k_matches_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vectors = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(700)] + [(700 + i, [0.5] * 8, 0) for i in range(300)]
+    vectors += [(2000, None, 0), (2100, [1.0, None] * 4, 0), (2200, [float("nan")] + [0.0] * 7, 0), (2300, [float("inf")] + [0.0] * 7, 0), (2400, [1.0, 2.0], 0), (2500, [], 0), (300, [9.0] * 8, 0)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, score int")
+    rows = topk.quantise(df, "vec_id", "embedding", 1024)
+    got = defaultdict(list)
+    for r in topk.top_k(rows, rows.where("id % 100 = 0"), 10, block_rows=300).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    live = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v, _ in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    asked = {}
+    for i, v in live:
+        if i % 100 == 0:
+            asked[i] = min(asked.get(i, v), v)
+    for q, v in asked.items():
+        best = sorted(((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in live if i != q and len(x) == len(v)))[:10]
+        assert got[q] == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert topk.top_k(rows.limit(0), rows.limit(0)).count() == 0
+
+
+def test_impact_index_stops_early_and_loses_none():
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.integers(-5, 5, (2000, 8)), rng.integers(900, 1000, (5, 8))])
+    index = topk.ImpactIndex(x)
+    q = np.full(8, 100)
+    may = index.members(q, 5)
+    assert set(np.argsort(-(x @ q))[:5]) <= set(may) and len(may) <= 20
+
+
+def fingerprint(t, width=3):
+    ws = words(t)
+    shingles = [" ".join(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))] if ws else []
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def classes(items, linked):
+    root = list(range(len(items)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(items)):
+        for j in range(i):
+            if linked(items[i], items[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(items))]
+
+
+@pytest.mark.parametrize("tile_rows", [20_000, 3])
+def test_simhash_groups(docs, none, tile_rows):
+    known = [(d, fingerprint(t)) for d, t, *_ in ROWS if d is not None]
+    roots = classes(known, lambda a, b: (a[1] ^ b[1]).bit_count() <= 3)
+    least = {r: min(known[i][0] for i in range(len(known)) if roots[i] == r) for r in roots}
+    want = Counter((d, f, least[r]) for (d, f), r in zip(known, roots, strict=True)) + Counter([(None, fingerprint(PROSE), None)])
+    got = Counter((r["doc_id"], r["f0"] % 2**64, r["component_id"]) for r in simhash.near_groups(docs, tile_rows=tile_rows).collect())
+    assert got == want
+    assert simhash.near_groups(none).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 90, 700])
+def test_gray_index_links_as_brute_force(n):
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 2**63, (max(1, n // 5), 1), dtype=np.uint64)[rng.integers(0, max(1, n // 5), n)]
+    for i in range(n):
+        for b in rng.integers(0, 64, rng.integers(0, 5)):
+            x[i, 0] ^= np.uint64(1) << np.uint64(b)
+    want = classes(x[:, 0].tolist(), lambda a, b: (a ^ b).bit_count() <= 3)
+    assert simhash.link_bucket(x, 3).tolist() == want
+    assert simhash._link_small(x, np.zeros(n, int), 3).tolist() == want
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long"), "t").collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 103: 100}
+
+
+def test_one_of_each(docs, none):
+    near = " ".join(words(LONG))
+    out = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(50).cast("long"), "text": F.lit(near)}))).collect()]
+    ids = sorted(d for d, _ in out if d is not None)
+    assert ids == [1, 2, 3, 6, 8, 9]  # 4 and 7 are as blank as 3; 5 copies 1; 50 copies 6
+    assert sum(d is None for d, _ in out) == 1
+    assert simhash.one_of_each(none).count() == 0
+
+
+def test_wide_fingerprints_catch_similar_texts(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts, pairs = [], []
+    for i in range(60):
+        ws = list(rng.choice(vocabulary, 300))
+        copy = list(ws)
+        for at in rng.choice(300, 5, replace=False):  # similarity of about 0.85
+            copy[at] = "x"
+        texts += [(2 * i, " ".join(ws)), (2 * i + 1, " ".join(copy))]
+        pairs.append((2 * i, 2 * i + 1))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(texts, "doc_id long, text string"), **simhash.SIMILAR).collect()}
+    assert np.mean([got[a] == got[b] for a, b in pairs]) > 0.95
+    assert all(got[d] // 2 == d // 2 for d in got)  # no two of different texts
+
+
+def test_decontamination(spark, docs, none):
+    items = spark.createDataFrame([(1, "Quick brown fox jumps over the LAZY dog and runs far away"), (2, "la souris"), (3, None), (4, ""), (5, "words that are in no document at all here"), (1, "Quick brown fox jumps over the LAZY dog and runs far away")], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["item_id"], r["n_found"], r["n_shingles"]) for r in decontaminate.contaminated(docs, items).collect())
+    want = []
+    for d, t in {(d, t) for d, t, *_ in ROWS}:
+        for i, text in ((1, "Quick brown fox jumps over the LAZY dog and runs far away"), (2, "la souris")):
+            w = min(5, len(words(text)))
+            cut = lambda ws, w=w: {tuple(ws[k : k + w]) for k in range(len(ws) - w + 1)}
+            own, there = cut(words(text)), cut(words(t))
+            if len(own & there) >= 0.8 * len(own):
+                want.append((d or 0, i, len(own & there), len(own)))
+    assert got == sorted(want) and len(got) >= 4
+    left = decontaminate.clean(docs, items)
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [2, 3, 4, 6, 7, 9] and left.columns == docs.columns
+    assert decontaminate.contaminated(none, items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_decontamination_loses_no_pair(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefghijklmnop"), n)) for n in rng.integers(8, 60, 25)]
+    docs, items = [], [(i, t) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts):
+        ws = t.split()
+        cut = int(rng.integers(0, max(1, len(ws) // 4)))
+        docs.append((i, " ".join([*rng.choice(list("qrstuv"), 200), *ws[cut:], *rng.choice(list("qrstuv"), 50)])))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=0).collect()}
+    cut = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    assert got == {(d, i) for d, t in docs for i, x in items if len(cut(t) & cut(x)) >= 0.8 * len(cut(x))}
+
+
+def water_fill(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total, target, live = sum(sizes.values()), {}, set(order)
+    while live:
+        left, w = total - sum(target.values()), sum(weight[s] for s in live)
+        over = {s for s in live if weight[s] * left / w >= 3 * sizes[s]}
+        if not over:
+            return target | {s: weight[s] * left / w for s in live}
+        target |= {s: 3.0 * sizes[s] for s in over}
+        live -= over
+    return target
+
+
+def test_mixing(docs, none):
+    sizes = Counter()
+    for _, t, _, s in ROWS:
+        sizes[s] += len(words(t))
+    target = water_fill(sizes)
+    out = mixing.mix(docs).collect()
+    assert len(out) == len(ROWS)
+    taken = Counter()
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]]) and r["taken"] in {k * r["size"] for k in range(4)}
+    for s in sizes:
+        largest = max(r["size"] for r in out if r["source"] == s)
+        assert abs(taken[s] - target[s]) <= largest / 2 + 1e-6
+    key = lambda r: (str(r["doc_id"]), r["text_hash"], r["taken"])
+    assert sorted(map(key, out)) == sorted(map(key, mixing.mix(docs).collect()))
+    assert mixing.mix(none).count() == 0 and mixing.mixed(docs).columns == docs.columns
+
+
+def test_mixing_prefers_good_text(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "good words here now").otherwise("*** ### $$$ 12a").alias("text"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("source"))
+    out = mixing.mix(df).groupBy("source").agg(F.sum(F.when(F.col("doc_id") % 2 == 0, F.col("taken"))).alias("good"), F.sum("taken").alias("all"), F.first("target").alias("target")).collect()
+    a = next(r for r in out if r["source"] == "a")
+    assert a["all"] == pytest.approx(a["target"], abs=4) and a["good"] > 0.75 * a["all"]
+
+
+TEXTS = {
+    "en": ["the cat and the dog are in the house with him", "this is what they think of that thing", "where have you been all of the day"],
+    "fr": ["le chat et le chien sont dans la maison avec lui", "nous avons vu une très belle journée", "est ce que vous avez été à la plage"],
+}
+
+
+def test_language_id(spark, docs, none):
+    train = spark.createDataFrame([(i, t, k) for k, ts in TEXTS.items() for i, t in enumerate(ts)] + [(99, None, "de"), (98, "x y", None)], "doc_id long, text string, lang string")
+    langs, matrix = language_id.train(train)
+    assert langs == ["en", "fr"]
+    got = {(r["doc_id"], r["lang_pred"]): r["score"] for r in language_id.identify(docs, langs, matrix).collect()}
+    assert got[3, "und"] == got[4, "und"] == got[7, "und"] == 0 and (8, "fr") in got and (1, "en") in got and (6, "en") in got
+    assert all(0 <= s <= 1 for s in got.values())
+    assert language_id.identify(none, langs, matrix).count() == 0
+    empty = language_id.train(train.limit(0))
+    assert {r["lang_pred"] for r in language_id.identify(docs, *empty).collect()} == {"und"}
+
+
+def test_language_id_matches_plain_bayes(spark):
+    train = spark.createDataFrame([(i, t, k) for k, ts in TEXTS.items() for i, t in enumerate(ts)], "doc_id long, text string, lang string")
+    langs, matrix = language_id.train(train)
+    counts = {k: Counter() for k in langs}
+    for k, ts in TEXTS.items():
+        for t in ts:
+            for _, b in language_id.grams([t]):
+                counts[k].update(b.tolist())
+    text = "the house"
+    score = {k: math.log(3) for k in langs}
+    for _, b in language_id.grams([text]):
+        for x in b.tolist():
+            for k in langs:
+                score[k] += math.log((counts[k][x] + 0.5) / (sum(counts[k].values()) + 0.5 * language_id.BUCKETS))
+    r = language_id.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), langs, matrix).first()
+    assert r["lang_pred"] == "en" and r["score"] == pytest.approx(1 / (1 + math.exp(score["fr"] - score["en"])))
+    together = [b.tolist() for _, b in language_id.grams(["ab, c", "d"])]
+    apart = [[b.tolist() for _, b in language_id.grams([t])] for t in ("ab, c", "d")]
+    assert [sorted(x) for x in together] == [sorted(a + b) for a, b in zip(*apart, strict=True)]
+
+
+def test_quality(spark, docs, none):
+    rng = np.random.default_rng(4)
+    good = [" ".join(rng.choice(PROSE.split(), 60)) for _ in range(60)]
+    bad = [" ".join(["BUY!!", "NOW!!", "CHEAP!!", "pills***"] * 8 + list(rng.choice(["WIN!!", "FREE***"], 20))) for _ in range(60)]
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)] + [(None, 1), (5, None), (7, 3)], "doc_id long, quality int")
+    model = quality.train(own, labels)
+    s = {r["doc_id"]: r["score"] for r in quality.score(own, model, ["doc_id"]).collect()}
+    assert np.mean([(s[i] >= 0.3) == (i < 60) for i in range(120)]) > 0.95
+    out = quality.score(docs, model, docs.columns, "_quality_score")
+    assert out.columns == [*docs.columns, "_quality_score"] and all(0 <= r["_quality_score"] <= 1 for r in out.collect())
+    assert quality.score(none, model, ["doc_id"]).count() == 0
+    assert quality.train(own, labels.limit(0)).constant == 0.5 and quality.train(own, labels.where("quality = 1")).constant == 1
+    assert {r["score"] for r in quality.score(docs, quality.Model(0.5), ["doc_id"]).collect()} == {0.5}
+
+
+def test_secrets(spark, docs, none):
+    token, hexes = "AKIA" + "J7DK2L9QX4ZTB5WN", hashlib.sha1(b"x").hexdigest()
+    texts = [(1, f"here {token} is"), (2, f'the token = "{hexes}" here'), (3, f"commit {hexes} by me"), (4, "card 4785380592391139 of"), (5, "password=b7db7aa4a5fcc78305 x"), (6, "see https://example.com/index-page-2020.html"), (7, None), (8, ""), (9, "nothing"), (1, f"here {token} is")]
+    model = secrets.train(spark)
+    out = secrets.scan(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert {r["doc_id"] for r in out if r["is_secret"]} == {1, 2, 5}
+    assert {r["doc_id"] for r in out} == {1, 2, 3, 4, 5, 6} and sum(r["doc_id"] == 1 for r in out) == 2
+    assert next(r for r in out if r["doc_id"] == 1)["token_sha256"] == hashlib.sha256(token.encode()).hexdigest()
+    assert secrets.scan(docs, model).where("is_secret").count() == 0 and secrets.scan(none, model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def labeller():
+    return html_extract.train()
+
+
+def page(body):
+    return f"<html><head><title>t</title><script>x('</p>')</script></head><body>{body}</body></html>"
+
+
+def test_html_blocks():
+    texts = lambda h: [b.text for b in html_extract.blocks(h)]
+    assert texts(page("<p>a &amp; b\n <b>c</b><br>d<p>e</p>")) == ["a & b c d", "e"]
+    assert texts(page("<ul><li>x<li>y</ul><!-- n <p>z --><div>1 < 2</div>")) == ["x", "y", "1 < 2"]
+    assert texts("<p>cut <a href='/x") == ["cut"] and texts(None) == [] and texts("") == [] and texts("plain &lt;p&gt;") == ["plain <p>"]
+    assert texts("<style>p{}</style><p>&#233;&nbsp;x</p><textarea>no</textarea>") == ["é x"]
+
+
+def test_html_labels_held_out_pages(labeller):
+    from glossa.llm.training import pages
+
+    wrong = total = 0
+    for text, main in pages(150, 12345):
+        bs = html_extract.blocks(text)
+        got = labeller.label([html_extract.vectors(bs)])[0]
+        wrong += sum(y != (b.text in main) for b, y in zip(bs, got, strict=True))
+        total += len(bs)
+    assert wrong / total < 0.02
+
+
+def test_html_gradients():
+    rng = np.random.default_rng(0)
+    model = html_extract.Labeller(3)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    x, mask = html_extract.padded([rng.random((4, html_extract.SIZE)), rng.random((2, html_extract.SIZE))])
+    y = (rng.random(mask.shape) > 0.5).astype(np.float64)
+    x = x.astype(np.float64)
+
+    def loss():
+        p = model.forward(x, mask)[0]
+        return -((y * np.log(p) + (1 - y) * np.log(1 - p)) * mask).sum() / mask.sum()
+
+    g = model.gradients(x, mask, y)
+    for k, v in model.p.items():
+        at = tuple(rng.integers(0, n) for n in v.shape)
+        keep = v[at]
+        v[at] = keep + 1e-3
+        up = loss()
+        v[at] = keep - 1e-3
+        down = loss()
+        v[at] = keep
+        assert (up - down) / 2e-3 == pytest.approx(g[k][at], abs=2e-4)
+
+
+def test_html_extract(spark, labeller):
+    body = "<nav><ul><li><a href='/a'>Home</a></li></ul></nav><article><h1>Title here</h1><p>First  paragraph of it.</p><div class='ad'>Buy this now</div><p>Second &eacute;.</p></article><div class='comments'><div class='comment'><p>nice one</p></div></div><footer>&copy; me</footer>"
+    rows = [(1, "u", page(body), 1), (2, None, None, 1), (3, "u", "", 1), (1, "u", page(body), 1), (None, "u", page("<article><h1>Only a head</h1><p>" + "word " * 40_000 + "</p></article>"), 1)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int"), labeller).collect()
+    assert [r["text"] for r in out if r["page_id"] == 1] == ["Title here\nFirst paragraph of it.\nSecond é."] * 2
+    assert [(r["text"], r["n_chars"]) for r in out if r["page_id"] in (2, 3)] == [("", 0), ("", 0)]
+    assert next(r for r in out if r["page_id"] is None)["n_chars"] > 199_000
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"), labeller).count() == 0
+
+
+def test_held_out_fold(spark):
+    df = spark.createDataFrame([(i,) for i in range(30)] + [(None,)], "doc_id long")
+    assert {r["doc_id"] for r in df.where(held_out()).collect()} == {i for i in range(30) if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def test_pipeline_stages(spark, docs, none, tmp_path):
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 10)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert set(docs.columns) <= set(out.columns) or name == "sharding"
+        assert out.count() <= 3 * len(ROWS)
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert {"doc_id", "text", "shard", "slot"} <= set(out.columns)
+    contaminated = out.where(F.lower("text").contains("quick brown fox jumps over the lazy dog")).count()
+    assert contaminated == 0
