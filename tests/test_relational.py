@@ -173,3 +173,24 @@ def test_stream_context_state():
     c = Context(c.dump())
     assert c.see(2, "Ann slept", 0.5, 100) == (2, 1, "ann", 1.25, False)
     assert c.see(3, "a b c", 0.5, 3)[4] and c.words == {}
+
+
+def test_sinks(spark, tmp_path):
+    from glossa.sources import sinks
+
+    (tmp_path / "a.jtab").write_text(RECORD + "# S-ID:b-1\nbroken\nEOS\n")
+    records = jtab.read_jtab(spark, str(tmp_path))
+    tables = jtab.to_tables(records)
+    assert rows(sinks.phrase_lines(tables["phrases"], ["sent_id"]), "sent_id") == [("art-1-7", "* 1D <a><b:c>\n* -1D")]
+    text = sinks.morpheme_lines(tables["morphemes"], ["sent_id"], False).first()["text"]
+    assert text.split("\n")[1] == "が が が 助詞 9 格助詞 1 * 0 * 0 NIL" and "<f>" not in text
+    assert "<f><g:1>" in sinks.morpheme_lines(tables["morphemes"], ["sent_id"]).first()["text"]
+    xml = dict(rows(sinks.records_to_xml(records), "sent_id"))
+    import xml.etree.ElementTree as ET
+
+    tree = ET.fromstring(xml["art-1-7"])
+    assert [p.get("head") for p in tree] == ["1", "-1"] and [w.get("surface") for w in tree.iter("word")] == ["猫", "が", "@", "走る"]
+    assert "ERROR:" in dict(rows(sinks.error_header(records), "sent_id"))["b-1"]
+    slots = spark.createDataFrame([(1, 2, "eat", "ga", "cat", True), (1, 2, "eat", "wo", "fish", False), (1, 2, "eat", "ni", None, False)], "s int, predicate int, word string, slot string, filler string, overt boolean")
+    assert rows(sinks.predicate_arguments(slots, ["s"]), "s") == [(1, 2, "eat ga:cat ni:- wo:[fish]")]
+    assert sinks.table_text(slots, ["s"], "slot", ["slot", "filler"]).first()["text"] == "slot\tfiller\nga\tcat\nni\t\nwo\tfish"
