@@ -6,11 +6,28 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per context; where it came in an archive they have it."""
+    context, root = spark.sparkContext, Path(__file__).parents[1]
+    if getattr(context, "_glossa_shipped", False) or not root.is_dir():
+        return
+    folder = tempfile.mkdtemp(prefix="glossa-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/glossa_package.zip", "w") as archive:
+        for f in sorted(root.rglob("*.py")):
+            archive.write(f, f.relative_to(root.parent))
+    context.addPyFile(f"{folder}/glossa_package.zip")
+    context._glossa_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
