@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.plans.session import ship
+
 # HTML element names by role.
 BLOCK = frozenset(
     "address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -293,6 +295,7 @@ def train(n_pages: int = 1000, seed: int = 7) -> Labeller:
 
 def extract(pages: DataFrame, model: Labeller | None = None, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns `keep` of pages, text and n_chars."""
+    ship(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model or train())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

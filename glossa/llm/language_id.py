@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.plans.session import ship
+
 BUCKETS = 1 << 15
 ORDERS = 3
 PIECE = 1 << 20
@@ -75,6 +77,7 @@ def batches(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
 
 def train(docs: DataFrame, train_rows: int = 2000) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability matrix with the prior as its last column) from docs (doc_id, text, lang)."""
+    ship(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -107,6 +110,7 @@ def train(docs: DataFrame, train_rows: int = 2000) -> tuple[list[str], np.ndarra
 
 def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score (posterior of lang_pred) for every row of docs (doc_id, text)."""
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((langs, matrix))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

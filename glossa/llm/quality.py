@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.plans.session import ship
+
 PIECE, LEVEL, DICTIONARY = 1000, 3, 112_640
 
 
@@ -89,6 +91,7 @@ def _dictionary(pieces: list[bytes]) -> bytes:
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, train_pieces: int = 8000) -> Model:
     """docs (doc_id, text) and labels (doc_id, quality 0 or 1), both only rows to learn from."""
+    ship(docs.sparkSession)
     order = F.xxhash64(F.lit("quality"), F.col("doc_id"))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select("doc_id", "quality", order.alias("h"))
     sample = known.where("quality = 0").orderBy("h", "doc_id").limit(train_rows).unionByName(known.where("quality = 1").orderBy("h", "doc_id").limit(train_rows))
@@ -127,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, train_piec
 
 def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
     """The columns `keep` of docs and the score, as `name`."""
+    ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
 

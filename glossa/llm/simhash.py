@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import materialize
 from glossa.llm.components import components
+from glossa.plans.session import ship
 
 LEAF, FAN, CHUNK = 32, 8, 1 << 20
 SEED = 42
@@ -95,6 +96,7 @@ def _band_keys(bits: np.ndarray, margin: np.ndarray, bands: int, band_bits: int,
 
 def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, bands: int = 4, band_bits: int = 16, probes: int = 0) -> DataFrame:
     """doc_id, f0.. (64-bit words as longs), keys (band values, only where probes are asked for)."""
+    ship(docs.sparkSession)
     names = [f"f{i}" for i in range(n_words)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

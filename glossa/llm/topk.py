@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.plans.session import ship
+
 SEGMENT, STEP = 256, 64
 
 
@@ -88,6 +90,7 @@ def quantise(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFra
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 4096, chunk: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score; rows and queries as quantise gives them."""
+    ship(rows.sparkSession)
     n, n_queries = rows.count(), queries.count()
     blocks, chunks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / chunk))
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
