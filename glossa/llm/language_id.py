@@ -19,11 +19,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.common import materialize
 from glossa.plans.session import ship
 
 BUCKETS = 1 << 15
 ORDERS = 3
 PIECE = 1 << 20
+BROADCAST_LANGUAGES = 10_000
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
 _letter: list[np.ndarray] = []
 
@@ -79,9 +81,10 @@ def train(docs: DataFrame, train_rows: int = 2000) -> tuple[list[str], np.ndarra
     """(languages, log-probability matrix with the prior as its last column) from docs (doc_id, text, lang)."""
     ship(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    known = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts  # texts aren't shuffled by language
     draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = labelled.join(counts, "lang").where(draw * F.col("n") < train_rows).select("lang", "text")
+    sample = labelled.join(known, "lang").where(draw * F.col("n") < train_rows).select("lang", "text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
