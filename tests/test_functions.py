@@ -77,3 +77,26 @@ def test_probability(spark):
     assert got == {"a": (1.0, 1), "b": (2.0, 2), "c": (3.0, 3)}
     classes = spark.createDataFrame([("w", 0.5, 0.25, 0.1), ("w", 0.2, 0.4, 0.5)], "w string, p_class_slot double, p_class double, p_word_class double")
     assert probability.class_probability(classes, ["w"]).first()["p"] == pytest.approx(0.5 / 0.25 * 0.1 + 0.2 / 0.4 * 0.5)
+
+
+def test_morphology(spark):
+    from glossa.functions import morphology as m
+
+    assert one(spark, m.canonical(F.col("a"), F.col("b")), a="走る", b="はしる") == "走る/はしる"
+    assert feats(spark, m.joined_canonical(F.col("f")), "a/a", "", "b/b") == "a/a+b/b"
+    assert feats(spark, m.voice_flags(F.col("f")), "voice:passive&causative") == 3 and feats(spark, m.voice_flags(F.col("f")), "x") == 0
+    assert feats(spark, m.predicate_key(F.lit("食べる/たべる"), F.lit("verb"), F.col("f")), "voice:passive", "negation") == "食べる/たべる+not:verb:1"
+    assert [one(spark, m.case_code(F.col("c")), c=c) for c in ("ga", "を", "zzz")] == [0, 1, None]
+    assert one(spark, m.case_name(F.col("c")), c=2) == "ni"
+    assert feats(spark, m.or_vectors(m.case_vector(F.col("f")), m.case_vector(F.array(F.lit("wo")))), "ga", "?")[:3] == [1, 1, 0]
+    assert sum(feats(spark, m.and_vectors(m.case_vector(F.col("f")), m.case_vector(F.array(F.lit("wo")))), "ga")) == 0
+    assert one(spark, m.compound_particle(F.col("c")), c="に対して") == one(spark, m.compound_particle(F.col("c")), c="に対する") == "に対する"
+    endings = spark.createDataFrame([("k", "base", "く"), ("k", "imperative", "け")], "kind string, form string, ending string")
+    rows = spark.createDataFrame([("動く", "k"), ("本", "n"), ("走る", "k")], "word string, kind string")
+    assert {r["word"]: r["inflected"] for r in m.inflected(rows, endings, "imperative").collect()} == {"動く": "動け", "本": None, "走る": None}
+    table = spark.createDataFrame([("車", "V1"), ("自動車", "V2")], "key string, value string")
+    words = spark.createDataFrame([(1, ["新", "自動", "車"]), (2, ["電", "車"]), (3, ["x"]), (4, [])], "i int, w array<string>")
+    assert {r["i"]: r["code"] for r in m.longest_suffix(words, table, "w", "code").collect()} == {1: "V2", 2: "V1", 3: None, 4: None}
+    assert one(spark, m.lift(F.col("a"), F.col("b"), F.col("c")), a=0.2, b=0.5, c=0.2) == pytest.approx(2.0)
+    assert one(spark, m.margin_probability(F.col("a")), a=0.0) == 0.5
+    assert [one(spark, m.binned(F.col("a")), a=x) for x in (0.0, 0.55, 1.0)] == [0, 5, 9]

@@ -236,3 +236,26 @@ def test_decision_list_and_tournament(spark):
     assert [r[0] for r in rows.select(anaphora.decide_column(own)).collect()] == ["yes", "maybe", "no"]
     assert anaphora.tournament([3, 5, 4], lambda a, b: a > b) == 5
     assert anaphora.author_reader(["I am", "you are", "x"]) == pytest.approx((1 / 3, 1 / 3))
+
+
+def test_tree_conversions():
+    from glossa.operators import trees
+
+    heads, spans = [2, 2, -1], [(0, 1), (2, 2), (3, 5)]
+    finer = trees.finer_heads(heads, spans)
+    assert finer == [1, 3, 3, 4, 5, -1] and trees.coarser_heads(finer, spans) == heads
+    assert trees.expand_coordination([1, 2, 3, -1], ["P", "P", "D", "D"]) == [3, 3, 3, -1]
+    assert trees.depths([2, 2, 3, -1]) == [2, 2, 1, 0]
+    merged, spans = trees.merge_nodes([1, 2, 3, -1], [False, True, False, False])
+    assert merged == [1, 2, -1] and spans == [(0, 0), (1, 2), (3, 3)] and trees.finer_heads(merged, spans) == [1, 2, 3, -1]
+
+
+def test_frames_of_a_tree():
+    from glossa.operators import trees
+
+    eat = (frames.Frame("eat1", 0.7, (frames.Slot("ga", {"cat": 1.0}, 0.8), frames.Slot("wo", {"fish": 1.0}, 0.8))), frames.Frame("eat2", 0.3, (frames.Slot("de", {"*": 1.0}, 0.5),)))
+    units = [trees.TreeUnit("cat", ("ga",)), trees.TreeUnit("fish", ("wo", "ga")), trees.TreeUnit("eat", frames=eat)]
+    score, found = trees.analyse_tree(units, [2, 2, -1])
+    assert found == {2: ("eat1", {"ga": "cat", "wo": "fish"})} and score < 0
+    clause = [trees.TreeUnit("cat", ("ga",)), trees.TreeUnit("eat", frames=eat), trees.TreeUnit("fish")]
+    assert trees.analyse_tree(clause, [1, 2, -1], relative=lambda u: ("ga", "wo"))[1] == {1: ("eat1", {"ga": "cat", "wo": "fish"})}
