@@ -60,7 +60,7 @@ def default_heads(pairs: DataFrame, preference: int, key: str = "doc_id") -> Dat
 def relax(phrases: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Links of type R to the sentence's last phrase for phrases without a candidate."""
     last = phrases.groupBy(key, "sent_no").agg(F.max("phrase_no").alias("governor"))
-    linked = pairs.select(key, "sent_no", F.col("dependent").alias("phrase_no"))
+    linked = pairs.select(key, "sent_no", F.col("dependent").alias("phrase_no")).distinct()
     alone = phrases.select(key, "sent_no", "phrase_no").join(linked, [key, "sent_no", "phrase_no"], "left_anti")
     return alone.join(last, [key, "sent_no"]).where("phrase_no < governor").select(
         key, "sent_no", F.col("phrase_no").alias("dependent"), "governor", F.lit("R").alias("type")

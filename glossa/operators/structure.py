@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,14 @@ TOKEN = r"[^ \t\r\n]+"
 FUNCTION = r"^\p{Ll}{1,3}[,.!?]*$"
 
 
-def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _columns(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else key
+
+
+def sentences(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
     """(key, sent_no, sentence): trimmed, numbered from 0 among those that aren't blank."""
     found = F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit(SENTENCE), F.lit(0)), lambda s: F.btrim(s)), lambda s: s != "")
-    return docs.select(key, F.posexplode(found).alias("sent_no", "sentence"))
+    return docs.select(*_columns(key), F.posexplode(found).alias("sent_no", "sentence"))
 
 
 def tokens(c: Column) -> Column:
@@ -39,11 +45,27 @@ def spans(starts: Column, n: Column) -> Column:
     )
 
 
-def phrases(sents: DataFrame, key: str = "doc_id") -> DataFrame:
+def reaches(barriers: Column, n: Column) -> Column:
+    """For each of n units the next barrier after it, or else the last unit; from the barriers' positions in order.
+
+    Units between two barriers share their answer, so it is one repeated value for each stretch.
+    """
+    ends = F.array_append(barriers, n - 1)
+
+    def stretch(end: Column, i: Column) -> Column:
+        before = F.when(i == 0, 0).otherwise(F.get(barriers, i - 1))
+        return F.array_repeat(end, F.when(i == F.size(barriers), n - before).otherwise(end - before))
+
+    return F.flatten(F.transform(ends, stretch))
+
+
+def phrases(sents: DataFrame, key: str | list[str] = "doc_id", barrier: Callable[[Column], Column] | None = None) -> DataFrame:
     """(key, sent_no, phrase_no, first_tok, n_tok, head, last) for each phrase: head is its last content token, or
-    else its first token; last its last token."""
-    base = sents.select(key, "sent_no", tokens(F.col("sentence")).alias("ts")).where(F.size("ts") > 0)
-    started = base.select(key, "sent_no", "ts", phrase_starts(F.col("ts")).alias("starts"))
+    else its first token; last its last token. With a barrier, a predicate on last tokens, also `reach`, the next
+    phrase where it holds or else the sentence's last. All inside the sentence's row, so nothing is shuffled."""
+    keys = _columns(key)
+    base = sents.select(*keys, "sent_no", tokens(F.col("sentence")).alias("ts")).where(F.size("ts") > 0)
+    started = base.select(*keys, "sent_no", "ts", phrase_starts(F.col("ts")).alias("starts"))
     ts = F.col("ts")
 
     def one(span: Column) -> Column:
@@ -52,8 +74,15 @@ def phrases(sents: DataFrame, key: str = "doc_id") -> DataFrame:
             span["first"].alias("first_tok"), (span["last"] - span["first"] + 1).alias("n_tok"), F.get(ts, span["first"]).alias("head"), F.get(ts, span["last"]).alias("last")
         )
 
-    made = started.select(key, "sent_no", F.posexplode(F.transform(spans(F.col("starts"), F.size("ts")), one)).alias("phrase_no", "p"))
-    return made.select(key, "sent_no", "phrase_no", "p.first_tok", "p.n_tok", "p.head", "p.last")
+    found = F.transform(spans(F.col("starts"), F.size("ts")), one)
+    fields = ["p.first_tok", "p.n_tok", "p.head", "p.last"]
+    if barrier is None:
+        return started.select(*keys, "sent_no", F.posexplode(found).alias("phrase_no", "p")).select(*keys, "sent_no", "phrase_no", *fields)
+    made = started.select(*keys, "sent_no", found.alias("ps"))
+    at = F.filter(F.sequence(F.lit(0), F.size("ps") - 1), lambda i: barrier(F.get("ps", i)["last"]))
+    marked = made.select(*keys, "sent_no", "ps", at.alias("bs")).select(*keys, "sent_no", "ps", reaches(F.col("bs"), F.size("ps")).alias("rs"))
+    both = marked.select(*keys, "sent_no", F.posexplode(F.arrays_zip(F.col("ps").alias("p"), F.col("rs").alias("reach"))).alias("phrase_no", "z"))
+    return both.select(*keys, "sent_no", "phrase_no", "z.p", "z.reach").select(*keys, "sent_no", "phrase_no", *fields, "reach")
 
 
 def merge_runs(rows: DataFrame, partition: list[str], order: list[str], mark: Column, most: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators import dependency, structure
+from glossa.operators import structure
 from glossa.plans import kernel_queries, table_queries, text_queries
 from glossa.plans.session import table
 
@@ -13,10 +13,10 @@ from glossa.plans.session import table
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language: phrases, and the mean distance to the head that relaxation gives, the next barrier or the end."""
     docs = table(spark, sf_dir, "documents")
-    reaching = dependency.with_barrier(structure.phrases(structure.sentences(docs)), F.col("last").endswith(","))
-    per = reaching.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("reach") - F.col("phrase_no")).alias("d"))
-    return per.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
-        F.sum("n").alias("phrases"), F.round(F.sum("d") / F.sum("n"), 6).alias("mean_distance")
+    sents = structure.sentences(docs, ["doc_id", "lang"])
+    reaching = structure.phrases(sents, ["doc_id", "lang"], lambda last: last.endswith(","))
+    return reaching.groupBy("lang").agg(
+        F.count("*").alias("phrases"), F.round(F.sum(F.col("reach") - F.col("phrase_no")) / F.count("*"), 6).alias("mean_distance")
     )
 
 

@@ -68,7 +68,7 @@ def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dependency.with_barrier(_phrases(spark, sf_dir), F.col("last").endswith(","))
+    return structure.phrases(sentences(_documents(spark, sf_dir)), barrier=lambda last: last.endswith(","))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,3 +194,13 @@ def test_sinks(spark, tmp_path):
     slots = spark.createDataFrame([(1, 2, "eat", "ga", "cat", True), (1, 2, "eat", "wo", "fish", False), (1, 2, "eat", "ni", None, False)], "s int, predicate int, word string, slot string, filler string, overt boolean")
     assert rows(sinks.predicate_arguments(slots, ["s"]), "s") == [(1, 2, "eat ga:cat ni:- wo:[fish]")]
     assert sinks.table_text(slots, ["s"], "slot", ["slot", "filler"]).first()["text"] == "slot\tfiller\nga\tcat\nni\t\nwo\tfish"
+
+
+def test_reach_inside_the_row_equals_the_window(spark):
+    texts = ["A, B of C, D E, the F", "of, A", "A B C", "A,", "A, B,", "of the A, B"]
+    sents = structure.sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    comma = lambda c: c.endswith(",")
+    inside = structure.phrases(sents, barrier=comma)
+    window = dependency.with_barrier(structure.phrases(sents), comma(F.col("last")))
+    columns = ["doc_id", "sent_no", "phrase_no", "reach"]
+    assert rows(inside.select(columns), *columns) == rows(window.select(columns), *columns)
