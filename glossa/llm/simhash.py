@@ -1,7 +1,8 @@
 """SimHash near-dedup with a Gray-order hierarchical index.
 
 Fingerprints: word shingles, repeats included, hashed with XXH64 (seed 42); further 64-bit words of a wider
-fingerprint are mixed from the same hash. A bit is 1 where over half of the hashes have it.
+fingerprint are mixed from the same hash. A bit is 1 where over half of the hashes have it. With `distinct` every
+shingle counts once, as in set similarity; else a line repeated within a text takes over its fingerprint.
 
 Links: equal fingerprints are one node. A node is filed under bands of its fingerprint, so that every pair
 within the radius meets in a band (exact for radius < bands and no probes). The rows of a band value, a
@@ -69,9 +70,11 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(rows[:, i], minlength=256) @ _BITS for i in range(8)])
 
 
-def fingerprint(text: str | None, width: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+def fingerprint(text: str | None, width: int, n_words: int, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprint's 64-bit words and each bit's share of the hashes less a half."""
     h = shingle_hashes(text, width)
+    if distinct:
+        h = np.unique(h)
     if not len(h):
         return np.zeros(n_words, np.uint64), np.full(64 * n_words, -0.5)
     counts = np.concatenate([bit_counts(_mixed(h, i)) for i in range(n_words)])
@@ -94,14 +97,14 @@ def _band_keys(bits: np.ndarray, margin: np.ndarray, bands: int, band_bits: int,
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, bands: int = 4, band_bits: int = 16, probes: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, bands: int = 4, band_bits: int = 16, probes: int = 0, distinct: bool = False) -> DataFrame:
     """doc_id, f0.. (64-bit words as longs), keys (band values, only where probes are asked for)."""
     ship(docs.sparkSession)
     names = [f"f{i}" for i in range(n_words)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [fingerprint(t, width, n_words) for t in pdf["text"]]
+            found = [fingerprint(t, width, n_words, distinct) for t in pdf["text"]]
             words = np.array([f for f, _ in found], np.uint64).reshape(-1, n_words).view(np.int64)
             out = {"doc_id": pdf["doc_id"].astype("Int64")} | {n: words[:, i] for i, n in enumerate(names)}
             if probes:
@@ -259,10 +262,11 @@ def near_groups(
     band_bits: int = 16,
     probes: int = 0,
     tile_rows: int = 20_000,
+    distinct: bool = False,
 ) -> DataFrame:
     """doc_id, f0.., component_id for every row of docs."""
     names = [f"f{i}" for i in range(n_words)]
-    prints = materialize(fingerprints(docs, width, n_words, bands, band_bits, probes), "prints")
+    prints = materialize(fingerprints(docs, width, n_words, bands, band_bits, probes, distinct), "prints")
     known = prints.where(F.col("doc_id").isNotNull())
     keys = {"keys": F.first("keys").alias("keys")} if probes else {}
     nodes = materialize(known.groupBy(*names).agg(F.min("doc_id").alias("id"), *keys.values()), "nodes")
@@ -292,7 +296,7 @@ def near_groups(
 #: Five-word shingles at a similarity (Jaccard) of 0.8 or more. At 0.8, 39 of 256 bits differ on average, with a
 #: standard deviation of 6; a radius of 46 catches nine in ten pairs at 0.8 itself and nearly all from 0.85, and
 #: takes few pairs under 0.7. Probes make up for the bands that such a distance leaves unequal.
-SIMILAR = {"width": 5, "radius": 46, "n_words": 4, "bands": 6, "band_bits": 20, "probes": 3}
+SIMILAR = {"width": 5, "radius": 46, "n_words": 4, "bands": 6, "band_bits": 20, "probes": 3, "distinct": True}
 
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:

@@ -203,6 +203,20 @@ def test_wide_fingerprints_catch_similar_texts(spark):
     assert all(got[d] // 2 == d // 2 for d in got)  # no two of different texts
 
 
+def test_repeated_lines_do_not_decide_similarity(spark):
+    rng = np.random.default_rng(5)
+    own = lambda: [f"w{i}" for i in rng.integers(0, 10**6, 104)]
+    texts = []
+    for i in range(0, 80, 4):
+        line, a = [f"line{i}x{k}" for k in range(7)], own()
+        texts += [(i, own() + 30 * line), (i + 1, own() + 30 * line)]  # set similarity of about 0.05
+        texts += [(i + 2, a), (i + 3, a + 30 * line[:3])]  # of about 0.93
+    table = spark.createDataFrame([(d, " ".join(ws)) for d, ws in texts], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(table, **simhash.SIMILAR).collect()}
+    assert all(got[i] == i and got[i + 1] == i + 1 for i in range(0, 80, 4))
+    assert all(got[i + 3] == i + 2 for i in range(0, 80, 4))
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, "Quick brown fox jumps over the LAZY dog and runs far away"), (2, "la souris"), (3, None), (4, ""), (5, "words that are in no document at all here"), (1, "Quick brown fox jumps over the LAZY dog and runs far away")], "item_id long, text string")
     got = sorted((r["doc_id"] or 0, r["item_id"], r["n_found"], r["n_shingles"]) for r in decontaminate.contaminated(docs, items).collect())
