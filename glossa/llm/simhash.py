@@ -11,8 +11,11 @@ patterns make the nodes of a tree; two nodes whose patterns already differ in mo
 pruned with all below them. Links leave a bucket as a spanning forest, never as pairs, so output is linear.
 A bucket above `tile_rows` is cut into tiles that meet two by two, so that it isn't one task.
 
-With `probes` a node is also filed under the band values that differ in its least certain bits; that is for
-wide fingerprints and similarities that no exact banding reaches.
+With `similarity` links are decided by the exact Jaccard similarity of distinct shingle sets, and fingerprints only
+propose them: equal sets are one node, bands are MinHash values of the set, and the groups that the radius gives
+are candidates. Within a candidate group every pair is settled on the sets themselves, directly or through others.
+A group above `tile_docs` is cut into tiles. All of them meet the first one; only what is then still apart from the
+group's largest part meets all tiles, so a group of near copies of one text takes linear work.
 
 Defined cases: a null or blank text has the zero fingerprint and links as any other. Rows without a doc_id get
 a fingerprint but no links and a null component. Repeated rows are equal fingerprints.
@@ -21,6 +24,7 @@ a fingerprint but no links and a null component. Repeated rows are equal fingerp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -70,48 +74,45 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(rows[:, i], minlength=256) @ _BITS for i in range(8)])
 
 
-def fingerprint(text: str | None, width: int, n_words: int, distinct: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint's 64-bit words and each bit's share of the hashes less a half."""
-    h = shingle_hashes(text, width)
-    if distinct:
-        h = np.unique(h)
+def fingerprint(h: np.ndarray, n_words: int) -> np.ndarray:
+    """The 64-bit words of the fingerprint of shingle hashes."""
     if not len(h):
-        return np.zeros(n_words, np.uint64), np.full(64 * n_words, -0.5)
+        return np.zeros(n_words, np.uint64)
     counts = np.concatenate([bit_counts(_mixed(h, i)) for i in range(n_words)])
-    bits = np.packbits(2 * counts > len(h)).view(">u8").astype(np.uint64)
-    return bits, counts / len(h) - 0.5
-
-
-def _band_keys(bits: np.ndarray, margin: np.ndarray, bands: int, band_bits: int, probes: int) -> list[int]:
-    """For each band its value and those with some of the `probes` least certain bits flipped."""
-    flat = np.unpackbits(bits.astype(">u8").view(np.uint8))
-    out = []
-    power = 1 << np.arange(band_bits - 1, -1, -1, dtype=np.int64)
-    for b in range(bands):
-        at = slice(b * band_bits, (b + 1) * band_bits)
-        key = int(flat[at] @ power)
-        keys = [key]
-        for i in np.argsort(np.abs(margin[at]), kind="stable")[:probes]:
-            keys += [k ^ int(power[i]) for k in keys]
-        out += [(b << 32) | k for k in keys]
-    return out
-
-
-def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, bands: int = 4, band_bits: int = 16, probes: int = 0, distinct: bool = False) -> DataFrame:
-    """doc_id, f0.. (64-bit words as longs), keys (band values, only where probes are asked for)."""
+    return np.packbits(2 * counts > len(h)).view(">u8").astype(np.uint64)
+
+
+def _minhash_keys(h: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
+    """A band value for each band: a hash of `band_rows` MinHash values of the distinct hashes; none of an empty set."""
+    import xxhash
+
+    if not len(h):
+        return np.empty(0, np.int64)
+    by = np.random.default_rng(SEED).integers(0, 1 << 63, (bands, band_rows), np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.array([[(h * k).min() for k in row] for row in by])
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), b) for b, row in enumerate(least)], np.uint64).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, bands: int = 4, band_rows: int = 0, distinct: bool = False) -> DataFrame:
+    """doc_id, f0.. (64-bit words as longs); with `band_rows` also s0, s1 (a hash of the shingle set) and keys (band values)."""
+    import xxhash
+
     ship(docs.sparkSession)
     names = [f"f{i}" for i in range(n_words)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [fingerprint(t, width, n_words, distinct) for t in pdf["text"]]
-            words = np.array([f for f, _ in found], np.uint64).reshape(-1, n_words).view(np.int64)
+            sets = [shingle_hashes(t, width) for t in pdf["text"]]
+            if distinct:
+                sets = [np.unique(h) for h in sets]
+            words = np.array([fingerprint(h, n_words) for h in sets], np.uint64).reshape(-1, n_words).view(np.int64)
             out = {"doc_id": pdf["doc_id"].astype("Int64")} | {n: words[:, i] for i, n in enumerate(names)}
-            if probes:
-                out["keys"] = [_band_keys(f, m, bands, band_bits, probes) for f, m in found]
+            if band_rows:
+                whole = np.frombuffer(b"".join(xxhash.xxh128_digest(h.tobytes()) for h in sets), np.int64).reshape(-1, 2)
+                out |= {"s0": whole[:, 0], "s1": whole[:, 1], "keys": [_minhash_keys(h, bands, band_rows) for h in sets]}
             yield pd.DataFrame(out)
 
-    schema = ", ".join(["doc_id long", *(f"{n} long" for n in names)] + ["keys array<long>"] * bool(probes))
+    schema = ", ".join(["doc_id long", *(f"{n} long" for n in names)] + ["s0 long, s1 long, keys array<long>"] * bool(band_rows))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
 
@@ -123,7 +124,7 @@ def gray_rank(c: Column) -> Column:
 
 
 def band_keys(f: Column, bands: int, band_bits: int) -> Column:
-    """Exact bands of the first word, as in _band_keys without probes."""
+    """Exact bands of the first word."""
     mask = F.lit((1 << band_bits) - 1).cast("long")
     return F.array(
         *(
@@ -226,33 +227,106 @@ def _links(key: np.ndarray, x: np.ndarray, ids: np.ndarray, radius: int) -> pd.D
     return pd.DataFrame({"a": ids[moved], "b": ids[root][moved]})
 
 
-def bucket_links(rows: DataFrame, n_words: int, radius: int, name: str) -> DataFrame:
+def _whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows again, cut between buckets (key, t1, t2) only."""
+    rest: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        rest.append(pdf)
+        key = pdf[["key", "t1", "t2"]].to_numpy()
+        if (key[-1] == rest[0][["key", "t1", "t2"]].iloc[0].to_numpy()).all():
+            continue  # one bucket so far
+        last = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
+        whole = pd.concat([*rest[:-1], pdf.iloc[:last]])
+        rest = [pdf.iloc[last:]]
+        yield whole
+    if rest:
+        yield pd.concat(rest)
+
+
+def bucket_links(rows: DataFrame, n_words: int, radius: int) -> DataFrame:
     """Links (a, b) between the ids of rows (id, f0.., key, t1, t2) that come sorted by bucket and Gray rank."""
     cols = [f"f{i}" for i in range(n_words)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            rest.append(pdf)
-            key = pdf[["key", "t1", "t2"]].to_numpy()
-            if (key[-1] == rest[0][["key", "t1", "t2"]].iloc[0].to_numpy()).all():
-                continue  # one bucket so far
-            last = int(np.flatnonzero((key != key[-1]).any(axis=1)).max(initial=-1)) + 1
-            whole = pd.concat([*rest[:-1], pdf.iloc[:last]])
-            rest = [pdf.iloc[last:]]
-            yield work(whole)
-        if rest:
-            yield work(pd.concat(rest))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.ascontiguousarray(pdf[cols].to_numpy().astype(np.int64)).view(np.uint64)
-        return _links(pdf[["key", "t1", "t2"]].to_numpy(), x, pdf["id"].to_numpy(), radius)
+        for pdf in _whole_buckets(batches):
+            x = np.ascontiguousarray(pdf[cols].to_numpy().astype(np.int64)).view(np.uint64)
+            yield _links(pdf[["key", "t1", "t2"]].to_numpy(), x, pdf["id"].to_numpy(), radius)
 
     return rows.mapInPandas(run, "a long, b long")
 
 
+def link_sets(sets: list[np.ndarray], part: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """The position that each set of distinct values is linked to, directly or through others; rows of a part are linked."""
+    forest, p, q = _Forest(len(sets)), similarity.numerator, similarity.denominator
+    _, first, of = np.unique(part, return_index=True, return_inverse=True)
+    forest.join(np.arange(len(sets)), first[of])
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    mark = np.zeros(len(codes), bool)
+    for i in range(len(sets) - 1):
+        at = np.flatnonzero(forest.root[i + 1 :] != forest.root[i]) + i + 1
+        if not len(at):
+            continue
+        own = codes[start[i] : start[i] + size[i]]
+        mark[own] = True
+        shared = np.add.reduceat(mark[codes[start[i + 1] :]], start[i + 1 :] - start[i + 1], dtype=np.int64)[at - i - 1]
+        mark[own] = False
+        near = at[q * shared >= p * (size[i] + size[at] - shared)]
+        forest.join(np.full(len(near), i), near)
+    return forest.root
+
+
+def set_links(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the ids of rows (id, part, shingles, key, t1, t2): all of each bucket at the similarity or more."""
+    least = Fraction(similarity).limit_denominator(1000)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_buckets(batches):
+            key, ids, part, sets = pdf[["key", "t1", "t2"]].to_numpy(), pdf["id"].to_numpy(), pdf["part"].to_numpy(), pdf["shingles"].tolist()
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]).tolist()
+            root = [a + link_sets(sets[a:z], part[a:z], least) for a, z in zip(first, [*first[1:], len(key)], strict=True)]
+            to = ids[np.concatenate(root)]
+            yield pd.DataFrame({"a": ids[ids != to], "b": to[ids != to]})
+
+    return rows.repartitionByRange("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "id").mapInPandas(run, "a long, b long")
+
+
+def exact_links(docs: DataFrame, groups: DataFrame, width: int, similarity: float, tile_docs: int) -> DataFrame:
+    """Links (a, b) that join what the similarity joins within the groups (node, root) of documents."""
+    members = groups.select("node", "root").unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").dropDuplicates(["node", "text"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["node"], "key": pdf["root"], "shingles": [np.unique(shingle_hashes(t, width)).view(np.int64) for t in pdf["text"]]})
+
+    sets = materialize(texts.select("node", "root", "text").mapInPandas(run, "id long, key long, shingles array<long>").where(F.size("shingles") > 0), "sets")
+    count = lambda n: F.ceil(F.col(n) / tile_docs).cast("int")
+    large = materialize(sets.groupBy("key").count().where(F.col("count") > tile_docs).select("key", count("count").alias("tiles")), "tiles")
+    cols = ["id", "part", "shingles", "key", "t1", "t2"]
+    if large.isEmpty():
+        return set_links(sets.withColumns({"part": F.col("id"), "t1": F.lit(0), "t2": F.lit(0)}).select(cols), similarity)
+    tiled = sets.join(F.broadcast(large), "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    to_first = F.when((F.col("tile") > 0) | (F.col("tiles") == 1), F.array("tile")).otherwise(F.sequence(F.lit(1), F.greatest(F.col("tiles") - 1, F.lit(1))))
+    links = materialize(set_links(tiled.withColumns({"part": F.col("id"), "t1": F.lit(0), "t2": F.explode(to_first)}).select(cols), similarity), "links")
+
+    parts = components(links, "parts").withColumnsRenamed({"node": "id", "root": "part"})
+    tiled = materialize(tiled.where(F.col("tiles") > 1).join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "tiled")
+    largest = tiled.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("largest"))
+    rest = tiled.join(F.broadcast(largest), "key").where("part <> largest")
+    left = materialize(rest.groupBy("key").count().select("key", count("count").alias("left")), "left")
+    if left.isEmpty():
+        return links
+    rows = tiled.join(F.broadcast(left), "key").join(F.broadcast(largest), "key")
+    every = rows.withColumns({"t1": F.explode(F.sequence(F.lit(0), F.col("left") - 1)), "t2": F.col("tile")})
+    again = rows.where("part <> largest").withColumns({"t1": F.pmod(F.xxhash64("id", F.lit(1)), F.col("left")).cast("int"), "t2": F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))})
+    return links.unionByName(set_links(every.select(cols).unionByName(again.select(cols)), similarity))
+
+
 def near_groups(
     docs: DataFrame,
     width: int = 3,
@@ -260,17 +334,20 @@ def near_groups(
     n_words: int = 1,
     bands: int = 4,
     band_bits: int = 16,
-    probes: int = 0,
     tile_rows: int = 20_000,
     distinct: bool = False,
+    band_rows: int = 0,
+    similarity: float | None = None,
+    tile_docs: int = 128,
 ) -> DataFrame:
     """doc_id, f0.., component_id for every row of docs."""
     names = [f"f{i}" for i in range(n_words)]
-    prints = materialize(fingerprints(docs, width, n_words, bands, band_bits, probes, distinct), "prints")
+    fold = [*names, "s0", "s1"] if band_rows else names
+    prints = materialize(fingerprints(docs, width, n_words, bands, band_rows, distinct), "prints")
     known = prints.where(F.col("doc_id").isNotNull())
-    keys = {"keys": F.first("keys").alias("keys")} if probes else {}
-    nodes = materialize(known.groupBy(*names).agg(F.min("doc_id").alias("id"), *keys.values()), "nodes")
-    keyed = nodes.select("id", *names, F.explode("keys" if probes else band_keys(F.col("f0"), bands, band_bits)).alias("key"))
+    keys = [F.first("keys").alias("keys")] if band_rows else []
+    nodes = materialize(known.groupBy(*fold).agg(F.min("doc_id").alias("id"), *keys), "nodes")
+    keyed = nodes.select("id", *names, F.explode("keys" if band_rows else band_keys(F.col("f0"), bands, band_bits)).alias("key"))
     tiles = materialize(
         keyed.groupBy("key").count().where(F.col("count") > tile_rows).select("key", F.ceil(F.col("count") / tile_rows).cast("int").alias("tiles")),
         "tiles",
@@ -286,17 +363,19 @@ def near_groups(
             .select("id", *names, "key", F.least("t", "o").alias("t1"), F.greatest("t", "o").alias("t2"))
         )
     rows = cut.repartitionByRange("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", gray_rank(F.col("f0")))
-    found = components(bucket_links(rows, n_words, radius, "links"), "stars")
-    of_node = nodes.select("id", *names).join(found, nodes["id"] == found["node"], "left").select(*names, F.coalesce("root", "id").alias("component_id"))
-    return prints.select("doc_id", *names).join(of_node, names, "left").select(
+    found = components(bucket_links(rows, n_words, radius), "stars")
+    if similarity is not None:
+        found = components(exact_links(docs, found, width, similarity, tile_docs), "stars")
+    of_node = nodes.select("id", *fold).join(found, nodes["id"] == found["node"], "left").select(*fold, F.coalesce("root", "id").alias("component_id"))
+    return prints.select("doc_id", *fold).join(of_node, fold, "left").select(
         "doc_id", *names, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
 
 
-#: Five-word shingles at a similarity (Jaccard) of 0.8 or more. At 0.8, 39 of 256 bits differ on average, with a
-#: standard deviation of 6; a radius of 46 catches nine in ten pairs at 0.8 itself and nearly all from 0.85, and
-#: takes few pairs under 0.7. Probes make up for the bands that such a distance leaves unequal.
-SIMILAR = {"width": 5, "radius": 46, "n_words": 4, "bands": 6, "band_bits": 20, "probes": 3, "distinct": True}
+#: Five-word shingles at a similarity (Jaccard) of 0.8 or more. 24 bands of 5 MinHash values bring all but 1 in 10,000
+#: pairs at 0.8 itself together, and nearly all above. There, 39 of 256 bits differ on average (48 in the shortest
+#: texts) with a standard deviation of 6, so a radius of 80 loses none in practice; unlike texts differ in 128.
+SIMILAR = {"width": 5, "radius": 80, "n_words": 4, "bands": 24, "band_rows": 5, "distinct": True, "similarity": 0.8}
 
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:

@@ -203,6 +203,34 @@ def test_wide_fingerprints_catch_similar_texts(spark):
     assert all(got[d] // 2 == d // 2 for d in got)  # no two of different texts
 
 
+@pytest.mark.parametrize("tile_docs", [128, 3])
+def test_similar_texts_as_by_brute_force(spark, tile_docs):
+    """Pairs just above and below 0.8, texts of few words, and families in which some are similar and some are not."""
+    rng = np.random.default_rng(7)
+    new = lambda n: [f"w{i}" for i in rng.integers(0, 10**7, n)]
+    texts = []
+    for shared, more in [(80, 20), (79, 21), (4, 1), (3, 1), (400, 100), (399, 101), (8, 2), (7, 2)] * 3:
+        ws = new(shared + 4)
+        texts += [ws, ws + new(more)]  # shared of shared + more shingles
+    for share in (0.005, 0.02, 0.03):
+        ws = new(200)
+        for _ in range(12):
+            copy = np.array(ws, dtype=object)
+            at = rng.random(200) < share
+            copy[at] = new(int(at.sum()))
+            texts.append(list(copy))
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for k in range(i):
+            if 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k]):
+                a, b = root[i], root[k]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(table, **simhash.SIMILAR, tile_docs=tile_docs).collect()}
+    assert got == dict(enumerate(root)) and 40 < len(set(root)) < len(root)
+
+
 def test_repeated_lines_do_not_decide_similarity(spark):
     rng = np.random.default_rng(5)
     own = lambda: [f"w{i}" for i in rng.integers(0, 10**6, 104)]
