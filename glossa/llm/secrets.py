@@ -1,14 +1,15 @@
 """Secret scan: token candidates judged by a random forest.
 
-Candidates are words with a run of 16 or more token characters that holds a digit. Features, all by built-in
+Candidates are all runs of 16 or more token characters in words that hold a digit. Features, all by built-in
 functions: length, shares of character classes, transitions between the classes, distinct characters, repeats,
 coverage by dictionary words, path and file shapes, and the words before and after. The forest removes false
 positives (hashes of commits, identifiers, numbers, placeholders, paths). It is trained on labelled findings
 that `labelled_findings` writes by rule from a row number, so that training reads no table and is the same on
 every run.
 
-Defined cases: null and empty texts have no candidates. Repeated rows repeat their findings. A word is judged
-once, by its first token run.
+Defined cases: null and empty texts have no candidates. Repeated rows repeat their findings. Every run of
+a word is judged, each with what stands left of it. A sign = ends a run only where no value follows it: in
+`key=value` it is left of the value, and both are runs.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKEN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
-CANDIDATE = r"(?=[^0-9]{0,200}[0-9]).*" + TOKEN
+RUN = r"[A-Za-z0-9+/_\-]{16,}"
+TOKEN = RUN + r"(?:={1,2}(?![\"'`(\[]*[A-Za-z0-9+/_\-=$%@]))?"
 
 # Words that tell secrets and other tokens apart.
 SECRET_WORDS = "password passwd pwd secret token apikey key auth bearer credential credentials private access".split()
@@ -54,16 +55,36 @@ def _any_of(words: list[str]) -> str:
     return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
 
 
+def runs(df: DataFrame) -> DataFrame:
+    """df (word, before, after, ...) with a row for each run of a word: token, run_no (from 1), left, shape, right.
+
+    left starts at the run before, or else at the words before; shape is the run with what parts it from its neighbours.
+    """
+    cut = df.withColumns({"tokens": F.regexp_extract_all("word", F.lit("(" + TOKEN + ")"), F.lit(1)), "gaps": F.split("word", TOKEN, -1)})
+    each = cut.withColumn("run_no", F.explode(F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.size("tokens")))))
+    gap = lambda k: F.element_at("gaps", k)
+    i = F.col("run_no")
+    token = F.element_at("tokens", i)
+    return each.withColumns(
+        {
+            "token": token,
+            "left": F.when(i == 1, F.concat_ws(" ", "before", gap(i))).otherwise(F.concat(F.element_at("tokens", F.greatest(i - 1, F.lit(1))), gap(i))),
+            "shape": F.concat(gap(i), token, gap(i + 1)),
+            "right": gap(i + 1),
+            "after": F.when(i == F.size("tokens"), F.col("after")).otherwise(F.lit("")),
+        }
+    ).drop("tokens", "gaps")
+
+
 def features(df: DataFrame) -> DataFrame:
-    """df (word, before, after, ...) with token and FEATURES."""
-    w, t = F.col("word"), F.col("token")
+    """df (token, left, shape, right, after, ...), as from runs, with FEATURES."""
+    t = F.col("token")
     n = F.greatest(F.length("token"), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    left = F.lower(F.concat_ws(" ", "before", F.regexp_extract("word", "^(.*?)" + TOKEN, 1)))
+    left = F.lower("left")
     edge = r"(?:^|[^a-z])"
-    out = df.withColumn("token", F.regexp_extract(w, "(" + TOKEN + ")", 1))
-    return out.withColumns(
+    return df.withColumns(
         {
             "length": n,
             "digits": share("[0-9]"),
@@ -78,9 +99,9 @@ def features(df: DataFrame) -> DataFrame:
             "slashes": share("/"),
             "dashes": share(r"[\-_]"),
             "uuid": flag(t.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
-            "file": flag(w.rlike(r"(?i)://|www\.|\.(?:png|jpe?g|gif|svg|html?|css|js|pdf|zip|json|xml|txt|py|java|com|org|net)\b")),
-            "assigned": flag(F.concat_ws(" ", "before", "word").rlike(r"[:=]\s*[\"']?" + TOKEN)),
-            "quoted": flag(w.rlike(r"[\"']" + TOKEN + r"[\"']")),
+            "file": flag(F.col("shape").rlike(r"(?i)://|www\.|\.(?:png|jpe?g|gif|svg|html?|css|js|pdf|zip|json|xml|txt|py|java|com|org|net)\b")),
+            "assigned": flag(F.col("left").rlike(r"[:=]\s*[\"']?\z")),
+            "quoted": flag(F.col("left").rlike(r"[\"']\z") & F.col("right").rlike("^[\"']")),
             "known_prefix": flag(t.rlike("^(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[bp]-|AIza|glpat-|eyJ)")),
             "secret_before": flag(left.rlike(edge + _any_of(SECRET_WORDS) + "(?![a-z])")),
             "other_before": flag(left.rlike(edge + _any_of(OTHER_WORDS) + "(?![a-z])")),
@@ -136,15 +157,15 @@ def labelled_findings(spark: SparkSession, n: int = 12_000) -> DataFrame:
 def train(spark: SparkSession, trees: int = 40, depth: int = 9) -> PipelineModel:
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, labelCol="label", featuresCol="features")
-    data = assembler.transform(features(labelled_findings(spark)).where("token <> ''").coalesce(1)).select("features", "label")
+    data = assembler.transform(features(runs(labelled_findings(spark)).where("run_no = 1")).coalesce(1)).select("features", "label")
     return PipelineModel([assembler, forest.fit(data)])
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, word_no, word, before, after) of every candidate; before has two words."""
+    """(doc_id, word_no, word, before, after) of every word with candidates; before has two words."""
     ws = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1).alias("ws"))
     at = lambda i: F.coalesce(F.try_element_at("ws", i), F.lit(""))
-    likely = lambda i: (F.length(at(i)) >= 16) & at(i).rlike(CANDIDATE)
+    likely = lambda i: (F.length(at(i)) >= 16) & at(i).rlike("[0-9]") & at(i).rlike(RUN)
     where = F.filter(F.sequence(F.lit(1), F.size("ws")), likely)
     found = F.transform(
         where,
@@ -157,9 +178,9 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, model: PipelineModel | None = None) -> DataFrame:
-    """doc_id, word_no (from 1), kind, token_sha256, length, score, is_secret for every candidate; tokens stay hidden."""
+    """doc_id, word_no (from 1), kind, token_sha256, length, score, is_secret for every run; tokens stay hidden."""
     model = model or train(docs.sparkSession)
-    scored = model.transform(features(candidates(docs)))
+    scored = model.transform(features(runs(candidates(docs))))
     p = vector_to_array("probability")[1]
     kind = F.when(F.col("known_prefix") == 1, "provider_key").when(F.col("assigned") == 1, "assignment").otherwise("token")
     return scored.select(

@@ -381,6 +381,23 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(docs, model).where("is_secret").count() == 0 and secrets.scan(none, model).count() == 0
 
 
+def test_secrets_judges_every_run_of_a_word(spark):
+    hexes = [hashlib.sha1(bytes([i])).hexdigest() for i in range(4)]
+    key, b64 = "AKIA" + "J7DK2L9QX4ZTB5WN", "wJalrXUtnFEMI7bPxRfiCYzQ3kLm9sTv0aHdGw=="
+    words = {
+        f"aws_secret_access_key={hexes[0]}": ["aws_secret_access_key", hexes[0]],
+        f'{{"access_token_value":"{hexes[1]}","refresh":"{hexes[2]}"}}': ["access_token_value", hexes[1], hexes[2]],
+        f"https://example.com/articles/archive/list?key={key}": ["com/articles/archive/list", key],
+        f'aws_secret_access_key="{b64}"': ["aws_secret_access_key", b64],
+        "x" * 20 + "," * 250 + "1": ["x" * 20],
+    }
+    out = secrets.scan(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert sorted((r["doc_id"], r["token_sha256"]) for r in out) == sorted((i, sha(t)) for i, ts in enumerate(words.values()) for t in ts)
+    secret = {r["token_sha256"] for r in out if r["is_secret"]}
+    assert secret == {sha(t) for t in [*hexes[:3], key, b64]}
+
+
 @pytest.fixture(scope="module")
 def labeller():
     return html_extract.train()
