@@ -14,6 +14,10 @@ def _conversation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(rows)
 
 
+def _document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def jtab_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of documents written as analysed text, read again, counted by document."""
     from glossa.sources.jtab import read_jtab, to_tables, write_jtab
@@ -38,19 +42,19 @@ def jtab_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crf_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A labeller of capitalised words, trained on fixed sentences, over all conversations."""
+    """A labeller of capitalised words, trained on fixed sentences, over all documents."""
     from glossa.operators import crf
 
     data = [([[w] for w in s.split()], ["N" if w[0].isupper() else "O" for w in s.split()]) for s in ("The cat sat on a Mat", "we saw Anna in Rome", "of the and to in", "Then Bob went", "it is Late")]
     f = crf.Features.build(["U0:%x[0,0]", "B"], data)
     w = crf.train(f, data)
-    rows = _conversation_sentences(spark, sf_dir).select("doc_id", "sent_no", tokens(F.col("sentence")).alias("tokens"))
+    rows = _document_sentences(spark, sf_dir).select("doc_id", "sent_no", tokens(F.col("sentence")).alias("tokens"))
     tagged = crf.tag(rows, ["doc_id", "sent_no"], f, w)
     return tagged.select("doc_id", "sent_no", F.size("tags").alias("n"), F.size(F.filter("tags", lambda t: t == "N")).alias("n_names"))
 
 
 def viterbi_ne(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of conversations: label scores by shape, legal labels by constrained decoding, spans by windows."""
+    """Entities of documents: label scores by shape, legal labels by constrained decoding, spans by windows."""
     import numpy as np
     import pandas as pd
 
@@ -76,13 +80,13 @@ def viterbi_ne(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out += [(d, s, i, t, y) for i, (t, y) in enumerate(zip(ts, crf.decode_entities(p), strict=True))]
             yield pd.DataFrame(out, columns=["doc_id", "sent_no", "tok_no", "surface", "label"])
 
-    rows = _conversation_sentences(spark, sf_dir).select("doc_id", "sent_no", tokens(F.col("sentence")).alias("tokens"))
-    tags = rows.mapInPandas(run, "doc_id string, sent_no int, tok_no int, surface string, label string")
+    rows = _document_sentences(spark, sf_dir).select("doc_id", "sent_no", tokens(F.col("sentence")).alias("tokens"))
+    tags = rows.mapInPandas(run, "doc_id long, sent_no int, tok_no int, surface string, label string")
     return entity_spans(tags, ["doc_id", "sent_no"], "tok_no")
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ps = phrases(_conversation_sentences(spark, sf_dir))
+    ps = phrases(_document_sentences(spark, sf_dir))
     case = F.when(F.col("phrase_no") == 0, "topic").when(F.col("n_tok") == 2, "subject").when(F.col("n_tok") == 3, "object")
     row = F.struct("phrase_no", case.alias("case"), F.col("last").endswith(",").alias("comma"), (F.col("n_tok") > 1).alias("predicate"), "head")
     per = ps.groupBy("doc_id", "sent_no").agg(F.array_sort(F.collect_list(row)).alias("ps"))
@@ -91,14 +95,14 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cky_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependency trees of all sentences of the conversations; those of time over the limit get the chain."""
+    """Dependency trees of all sentences of the documents; those of time over the limit get the chain."""
     from glossa.operators.chart import parse_sentences
 
     return parse_sentences(_parsed(spark, sf_dir), ["doc_id", "sent_no"], beam=4, seconds=1.0)
 
 
 def coord_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordination scopes of the phrases before a comma, in conversations."""
+    """Coordination scopes of the phrases before a comma, in documents."""
     import pandas as pd
 
     from glossa.operators.coordination import Item, consistent
@@ -112,7 +116,7 @@ def coord_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
                 out += [(d, s, x.start, x.key, x.end, round(x.score, 6), x.status) for x in consistent(items, keys)]
             yield pd.DataFrame(out, columns=["doc_id", "sent_no", "start", "key", "end", "score", "status"])
 
-    return _parsed(spark, sf_dir).mapInPandas(run, "doc_id string, sent_no int, start int, key int, end int, score double, status string")
+    return _parsed(spark, sf_dir).mapInPandas(run, "doc_id long, sent_no int, start int, key int, end int, score double, status string")
 
 
 def lattice_segment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,15 @@ def test_kernel_query_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() > 0 or name == "viterbi_ne"
 
 
+def test_kernel_queries_read_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for name in ("cky_parse", "coord_scope", "crf_tag", "viterbi_ne"):
+        assert catalog.QUERIES[name](spark, DATA).schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    ids = lambda df: {r[0] for r in df.select("doc_id").distinct().collect()}
+    assert ids(catalog.QUERIES["crf_tag"](spark, DATA)) == ids(docs.where(r"text rlike '[^.!?\\s]'"))
+    assert ids(catalog.QUERIES["viterbi_ne"](spark, DATA))
+
+
 def test_parsed_trees_are_trees(spark):
     for r in catalog.QUERIES["cky_parse"](spark, DATA).collect():
         n = len(r["heads"])
