@@ -103,16 +103,21 @@ def parse(s: Sentence, beam: int = 64, nbest: int = 1, seconds: float | None = N
 
     Where nothing spans the sentence, or time runs out, every phrase depends on its right neighbour.
     """
+    return search(s, beam, nbest, seconds)[0]
+
+
+def search(s: Sentence, beam: int = 64, nbest: int = 1, seconds: float | None = None) -> tuple[list[tuple[float, tuple[int, ...]]], str | None]:
+    """parse, and why it fell back to the right neighbours: time, or none where nothing spans the sentence; else null."""
     n = len(s.phrases)
     if not n:
-        return []
+        return [], None
     stop = time.monotonic() + seconds if seconds else None
     reach = [_reach(s, i) for i in range(n)]
     chart: dict[tuple[int, int], list[Cell]] = {(i, i): [Cell(0.0, (-1,), 0.0, 0.0)] for i in range(n)}
     for j in range(n):
         for i in range(j - 1, -1, -1):
             if stop and time.monotonic() > stop:
-                return [fallback(s)]
+                return [fallback(s)], "time"
             found: dict[tuple[int, ...], Cell] = {}
             for k in range(i, j):
                 left, right = chart.get((i, k), ()), chart.get((k + 1, j), ())
@@ -128,7 +133,7 @@ def parse(s: Sentence, beam: int = 64, nbest: int = 1, seconds: float | None = N
             if found:
                 chart[i, j] = heapq.nsmallest(beam, found.values(), key=lambda c: (-c.total, c.heads))
     top = chart.get((0, n - 1))
-    return [(c.total, c.heads) for c in top[:nbest]] if top else [fallback(s)]
+    return ([(c.total, c.heads) for c in top[:nbest]], None) if top else ([fallback(s)], "none")
 
 
 def _reach(s: Sentence, i: int) -> int:
@@ -202,7 +207,7 @@ def to_sexp(labels: Sequence[str], heads: Sequence[int]) -> str:
 
 def parse_sentences(phrases: DataFrame, key: Sequence[str], beam: int = 8, seconds: float = 30.0) -> DataFrame:
     """phrases grouped in rows (key, cases array<string>, commas array<boolean>, predicates array<boolean>) to (key, heads,
-    score). A phrase may depend on any later predicate, up to the first with a comma; the last phrase is the root."""
+    score, fallback: why the heads are the right neighbours, see search). A phrase may depend on any later predicate, up to the first with a comma; the last phrase is the root."""
 
     def build(cases: Sequence, commas: Sequence, predicates: Sequence) -> Sentence:
         n = len(cases)
@@ -214,10 +219,10 @@ def parse_sentences(phrases: DataFrame, key: Sequence[str], beam: int = 8, secon
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            best = [parse(build(c, m, p), beam, 1, seconds)[0] for c, m, p in zip(pdf["cases"], pdf["commas"], pdf["predicates"], strict=True)]
-            yield pdf[list(key)].assign(heads=[list(h) for _, h in best], score=[float(x) for x, _ in best])
+            found = [search(build(c, m, p), beam, 1, seconds) for c, m, p in zip(pdf["cases"], pdf["commas"], pdf["predicates"], strict=True)]
+            yield pdf[list(key)].assign(heads=[list(b[0][1]) for b, _ in found], score=[float(b[0][0]) for b, _ in found], fallback=[why for _, why in found])
 
-    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
+    from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-    schema = StructType([phrases.schema[k] for k in key]).add("heads", ArrayType(IntegerType())).add("score", DoubleType())
+    schema = StructType([phrases.schema[k] for k in key]).add("heads", ArrayType(IntegerType())).add("score", DoubleType()).add("fallback", StringType())
     return phrases.select(*key, "cases", "commas", "predicates").mapInPandas(run, schema)

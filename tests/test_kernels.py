@@ -135,6 +135,12 @@ def test_chart_time_limit_and_drawing():
     assert chart.to_sexp(["a", "b c", "d"], [2, 2, -1]) == '(d (a) ("b c"))'
 
 
+def test_sentences_that_fall_back_are_marked(spark):
+    rows = spark.createDataFrame([(1, [None] * 6, [False] * 6, [True] * 6)], "id int, cases array<string>, commas array<boolean>, predicates array<boolean>")
+    late, whole = (chart.parse_sentences(rows, ["id"], seconds=x).first() for x in (1e-9, 180.0))
+    assert late["fallback"] == "time" and late["heads"] == [1, 2, 3, 4, 5, -1] and whole["fallback"] is None
+
+
 def test_coordination_scope_and_relations():
     item = coordination.Item
     items = [item("old"), item("cats"), item("young"), item("cats"), item("ran", True)]
