@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from glossa.llm import decontaminate, mixing, quality, sharding, simhash
 from glossa.llm.common import held_out, materialize, table
 
-#: Not expressible: compression, XXH64 and Efraimidis-Spirakis draws. Tested against brute force.
+#: Not expressible: compression, XXH64 and Efraimidis-Spirakis draws. Near duplicates and
+#: decontamination are tested against brute force; the stages in a row only by columns, a row bound and planted cases.
 ORACLE_SQL = None
 
 
