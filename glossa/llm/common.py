@@ -61,8 +61,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+#: Rows of a few longs that may be broadcast: some 100 MB in an executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def hinted(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a materialised table of few narrow columns, marked for broadcast if it's counted to have at most that many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores at its end while a column is called so in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def unit_hash(*cols: Column) -> Column:

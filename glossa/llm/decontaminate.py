@@ -11,7 +11,8 @@ Items are sent to all tasks while their shingles are `broadcast_rows` at most; b
 
 Defined cases: words are lower-cased (A-Z) and split at ASCII white space. An item of fewer than `width` words
 is one shingle, its whole word sequence. Items and documents without words never match. Repeated rows match
-each. Rows that share a doc_id but not a text are told apart by a text hash.
+each. Rows that share a doc_id but not a text are told apart by a text hash. `clean` returns all columns of docs as
+they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import materialize, words
+from glossa.llm.common import hinted, materialize, words
 
 
 def _slices(ws: Column, width: int, of) -> Column:
@@ -85,7 +86,7 @@ def contaminated(
     hits = exploded(keyed, shingle_hashes, "hash").join(hint(sketches(shingles, threshold)), ["width", "hash"], "left_semi")
     found = materialize(hits.select("doc_id", "text_hash").distinct(), "suspects")
     same = keyed["text_hash"].eqNullSafe(found["text_hash"]) & keyed["doc_id"].eqNullSafe(found["doc_id"])
-    suspects = keyed.join(found, same, "left_semi").distinct()
+    suspects = keyed.join(hinted(found), same, "left_semi").distinct()
     exact = exploded(suspects, shingle_texts, "shingle").join(hint(shingles.drop("hash")), ["width", "shingle"])
     return (
         exact.groupBy("doc_id", "text_hash", "item_id", "n_shingles")
@@ -97,6 +98,8 @@ def contaminated(
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
-    bad = contaminated(docs, items, width, threshold).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
-    at = docs["doc_id"].eqNullSafe(bad["bad_id"]) & F.xxhash64(docs["text"]).eqNullSafe(bad["bad_hash"])
-    return docs.join(bad, at, "left_anti")
+    bad = contaminated(docs, items, width, threshold).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    bad = materialize(bad, "contaminated")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    at = rows["_id"].eqNullSafe(bad["_id"]) & rows["_hash"].eqNullSafe(bad["_hash"])
+    return rows.join(hinted(bad), at, "left_anti").select("row.*")

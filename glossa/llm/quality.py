@@ -8,16 +8,17 @@ The sample has at most `train_rows` labelled rows of each label, the first by a
 dictionaries (`train_pieces` pieces each at most), half for the calibration. Everything else is over all rows.
 
 Defined cases: null and empty texts are scored as the empty text. If a label has no rows, every score is the
-share of label 1 (0.5 without labels). Repeated rows get equal scores.
+share of label 1 (0.5 without labels). Repeated rows get equal scores. Columns of docs other than doc_id and text are
+not looked at, whatever their names and types; `good` returns them as they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.plans.session import ship
@@ -128,20 +129,24 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 6000, train_piec
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
-    """The columns `keep` of docs and the score, as `name`."""
-    ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [docs.schema[c] for c in keep]
+def scored(model: Model, spark: SparkSession) -> Callable[[Column], Column]:
+    """A column function: the score of a text. Only the text goes to Python, so other columns stay as they are."""
+    ship(spark)
+    held = spark.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
         m = held.value
-        for pdf in frames:
-            texts = pdf["text" if "text" in keep else "_text"].tolist()
-            found = np.full(len(texts), m.constant) if m.constant is not None else m.score(m.features(texts))
-            yield pdf[keep].assign(**{name: found})
+        return pd.Series(np.full(len(texts), float(m.constant)) if m.constant is not None else m.score(m.features(texts.tolist())))
+
+    return run
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score for every row of docs."""
+    return docs.select("doc_id", scored(model, docs.sparkSession)("text").alias("score"))
 
-    from pyspark.sql.types import DoubleType, StructType
 
-    extra = [] if "text" in keep else [F.col("text").alias("_text")]
-    return docs.select(*keep, *extra).mapInPandas(run, StructType(fields).add(name, DoubleType()))
+def good(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, all columns, that score at least `least`."""
+    return docs.where(scored(model, docs.sparkSession)(docs["text"]) >= least)

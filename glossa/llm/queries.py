@@ -50,7 +50,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
-    return score(docs, model, ["doc_id"]).select(
+    return score(docs, model).select(
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
 
@@ -119,17 +119,17 @@ ORACLES = {
     """,
     "op3_topk_search": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))::BIGINT) AS vec
+            SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))::BIGINT) AS vec
             FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
         ),
         pairs AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
+            SELECT q.row_no, q.vec_id AS query_id, c.vec_id,
                 CAST(list_sum(list_transform(range(1, len(q.vec) + 1), lambda i: q.vec[i] * c.vec[i])) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+            FROM v q JOIN v c ON q.row_no <> c.row_no AND len(q.vec) = len(c.vec) WHERE q.vec_id % 100 = 0
         ),
         ranked AS (
-            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
                 vec_id, score
             FROM pairs
         )
