@@ -2,16 +2,19 @@
 
 Vectors are quantised to integers. Rows are dealt into blocks; a block's index holds, for each dimension, the
 row numbers sorted by component and cut into segments of equal length. A query turns every segment into a
-quantised impact, the most it adds above the dimension's least contribution, and processes the segments by
-descending impact. What a row can still gain is bounded by the next impacts of all dimensions. Processing
-stops only when this bound proves that few rows can be among the k best; those are rescored exactly.
+quantised impact, the most that it adds to a score or takes from it, and processes the segments by descending
+impact. What a row can still gain is at most the length of the query times that of the row, both over the
+dimensions in which the row hasn't been met yet (Cauchy-Schwarz); the k-th exact score of the rows that lead so far
+is a floor. Processing stops only when these bounds prove that few rows, `FEW` of the block at most, can be among the
+k best; those are rescored exactly.
 
 Every block answers for each query; the k best of all blocks are the result. Queries meet blocks by
 replication: a task has one block and one chunk of queries.
 
-Defined cases: vectors that are null or hold a null or non-finite component take no part. Only vectors of equal
-length meet. Ties go to the smaller id. A repeated id is one query (its least vector) and as many candidates
-as rows; a query never meets rows of its own id.
+Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id.
+Only vectors of equal length meet. Ties go to the smaller id. Every row is a query or candidate of its own: with a
+repeated id each of its rows asks for itself, and meets the others. Components and scores beyond 64 bits stop at the
+limits of a long and are ties there; nothing overflows. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,9 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.llm.common import materialize
 from glossa.plans.session import ship
 
 SEGMENT, STEP = 256, 64
+FEW = 1 / 16
+LIMIT = 2**63 - 1
 
 
 class ImpactIndex:
@@ -37,87 +43,94 @@ class ImpactIndex:
         order = np.argsort(-x, axis=0, kind="stable")
         rows = np.full((cuts * SEGMENT, dims), n)
         rows[:n] = order
-        values = np.zeros((cuts * SEGMENT, dims), np.int64)
+        values = np.zeros((cuts * SEGMENT, dims))
         values[:n] = np.take_along_axis(x, order, axis=0)
         values[n:] = values[n - 1]
         self.rows = rows.T.reshape(dims, cuts, SEGMENT)
         self.values = values.T.reshape(dims, cuts, SEGMENT)
-        self.high, self.low = self.values[:, :, 0], self.values[:, :, -1]
+        self.reach = np.maximum(np.abs(self.values[:, :, 0]), np.abs(self.values[:, :, -1]))
+        self.lengths = (x.astype(float) ** 2).sum(axis=1)
+        self.most = int(np.abs(x.astype(float)).max(initial=0))
+        self.share_read = 0.0
 
     def members(self, q: np.ndarray, k: int) -> np.ndarray:
         """Rows that may be among the k best, none of those left out."""
         n, dims = self.x.shape
-        if not dims or n <= k:
+        self.share_read = 1.0
+        if not dims or n <= k or self.most * int(np.abs(q.astype(float)).max()) * dims >= 2**53:
             return np.arange(n)
-        base = np.minimum(q * self.high[:, 0], q * self.low[:, -1])
-        gain = np.maximum(q[:, None] * self.high, q[:, None] * self.low) - base[:, None]
-        order = np.argsort(-gain, axis=None, kind="stable")
-        ahead = np.sort(gain, axis=1)[:, ::-1]
-        ahead = np.concatenate([ahead, np.zeros((dims, 1), np.int64)], axis=1)
-        done, score, cuts = np.zeros(dims, np.int64), np.zeros(n + 1), gain.shape[1]
+        impact = np.abs(q)[:, None] * self.reach
+        order = np.argsort(-impact, axis=None, kind="stable")
+        score, q_left, x_left = np.zeros(n + 1), np.full(n + 1, float(q @ q)), np.append(self.lengths, 0)
+        least, cuts = -np.inf, impact.shape[1]
         for i in range(0, len(order), STEP):
             d, s = np.divmod(order[i : i + STEP], cuts)
-            add = q[d, None] * self.values[d, s] - base[d, None]
-            score += np.bincount(self.rows[d, s].ravel(), weights=add.ravel(), minlength=n + 1)
-            done += np.bincount(d, minlength=dims)
-            bound = ahead[np.arange(dims), done].sum()
-            least = np.partition(score[:n], n - k)[n - k]
-            may = np.flatnonzero(score[:n] + bound >= least)
-            if len(may) <= 4 * k:
+            rows, values, at = self.rows[d, s].ravel(), self.values[d, s], q[d].astype(float)
+            score += np.bincount(rows, (at[:, None] * values).ravel(), n + 1)
+            q_left -= np.bincount(rows, np.repeat(at * at, SEGMENT), n + 1)
+            x_left -= np.bincount(rows, (values * values).ravel(), n + 1)
+            lead = np.argpartition(-score[:n], k)[:k]
+            least = max(least, float((self.x[lead] @ q).min()))
+            left = np.sqrt(np.maximum(q_left, 0) * np.maximum(x_left, 0))[:n] * (1 + 1e-9) + 1
+            may = np.flatnonzero(score[:n] + left >= least)
+            if len(may) <= max(4 * k, FEW * n):
+                self.share_read = min(1.0, (i + STEP) / len(order))
                 return may
         return may
 
-    def top(self, q: np.ndarray, k: int, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows of other ids."""
-        skip = int((ids == own).sum())
-        may = self.members(q, k + skip)
-        may = may[ids[may] != own]
-        score = self.x[may] @ q
+    def top(self, q: np.ndarray, k: int, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best rows that `own` doesn't mark."""
+        may = self.members(q, k + int(own.sum()))
+        may = may[~own[may]]
+        exact = self.most * int(np.abs(q.astype(float)).max(initial=0)) * len(q) < 2**62
+        score = self.x[may] @ q if exact else np.array([max(-LIMIT, min(LIMIT, v)) for v in self.x[may].astype(object) @ q.astype(object)], np.int64)
         best = np.lexsort((ids[may], -score))[:k]
         return ids[may][best], score[best]
 
 
 def quantise(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, vec, dims) of the vectors that take part."""
+    """(row_no, id, vec, dims) of the vectors that take part, as a table of its own."""
     c = F.col(vector_col)
     finite = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(c.isNotNull() & F.col(id_col).isNotNull()).where(finite).select(
+    rows = df.where(c.isNotNull() & F.col(id_col).isNotNull()).where(finite).select(
+        F.monotonically_increasing_id().alias("row_no"),
         F.col(id_col).cast("long").alias("id"),
         F.transform(c, lambda x: F.floor(x.cast("double") * scale)).alias("vec"),
         F.size(c).alias("dims"),
     )
+    return materialize(rows, "vectors")
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 4096, chunk: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score; rows and queries as quantise gives them."""
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 8192, chunk: int = 16_384) -> DataFrame:
+    """query_id, rank, vec_id, score; rows as quantise gives them, queries some of them."""
     ship(rows.sparkSession)
     n, n_queries = rows.count(), queries.count()
     blocks, chunks = max(1, math.ceil(n / block_rows)), max(1, math.ceil(n_queries / chunk))
     each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    dealt = rows.select("id", "vec", "dims", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int").alias("block"), each(chunks).alias("chunk"))
-    asked = (
-        queries.groupBy("id", "dims").agg(F.min("vec").alias("vec"))
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
-        .withColumn("block", each(blocks))
-    )
+    dealt = rows.select("row_no", "id", "vec", "dims", F.pmod(F.xxhash64("row_no"), F.lit(blocks)).cast("int").alias("block"), each(chunks).alias("chunk"))
+    asked = queries.select(
+        "row_no", "id", "vec", "dims", F.pmod(F.xxhash64("row_no"), F.lit(chunks)).cast("int").alias("chunk"), each(blocks).alias("block")
+    )
 
     def search(block: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        found: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         if len(block) and len(ask):
-            block = block.sort_values("id", kind="stable")
-            ids = block["id"].to_numpy()
+            block = block.sort_values(["id", "row_no"], kind="stable")
+            ids, numbers = block["id"].to_numpy(), block["row_no"].to_numpy()
             index = ImpactIndex(np.stack(block["vec"].to_list()).astype(np.int64).reshape(len(block), -1))
-            for own, vec in zip(ask["id"], ask["vec"], strict=True):
-                found.append((own, *index.top(np.asarray(vec, np.int64), k, ids, own)))
+            for number, own, vec in zip(ask["row_no"], ask["id"], ask["vec"], strict=True):
+                found.append((number, own, *index.top(np.asarray(vec, np.int64), k, ids, numbers == number)))
+        sizes = [len(f[2]) for f in found]
         return pd.DataFrame(
             {
-                "query_id": np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found]),
-                "vec_id": np.concatenate([f[1] for f in found] or [np.empty(0, np.int64)]),
-                "score": np.concatenate([f[2] for f in found] or [np.empty(0, np.int64)]),
+                "query_no": np.repeat(np.array([f[0] for f in found], np.int64), sizes),
+                "query_id": np.repeat(np.array([f[1] for f in found], np.int64), sizes),
+                "vec_id": np.concatenate([f[2] for f in found] or [np.empty(0, np.int64)]),
+                "score": np.concatenate([f[3] for f in found] or [np.empty(0, np.int64)]),
             }
         )
 
     by = ["dims", "block", "chunk"]
-    parts = dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    parts = dealt.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(search, "query_no long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
