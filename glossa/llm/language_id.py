@@ -4,10 +4,15 @@ A text is lower-cased, its runs of non-letters become one space, and its 1- to 3
 Training counts n-grams per language over a sample of about `train_rows` documents per language (all, where
 there are fewer); the counts are summed by Spark and the log-probability matrix, languages x BUCKETS, goes to
 the executors. Scoring is numpy over batches: all n-grams of many texts at once, gathered from the matrix and
-summed per text. Texts are scored whole; texts of over a million characters in pieces that add up.
+summed per text. Texts are scored whole: one of over a million characters is read in pieces, each with the end of the
+piece before it, so that no n-gram is lost or counted twice.
+
+The matrix takes 8 x BUCKETS bytes a language. Above `max_languages` values of lang (500: 131 MB) training stops with an
+error, as lang then holds something else or the limit is to be raised knowingly.
 
 Defined cases: a text that is null or has no letter is `und` with score 0. Ties go to the first language in
-order. Without any labelled text every document is `und`.
+order. Without any labelled text every document is `und`. Repeated rows get equal answers. Only texts go to Python, so
+ids of any size and type stay as they are, beside nulls too; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,15 +30,23 @@ from glossa.plans.session import ship
 BUCKETS = 1 << 15
 ORDERS = 3
 PIECE = 1 << 20
-BROADCAST_LANGUAGES = 10_000
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint64)
 _letter: list[np.ndarray] = []
 
 
 def _letters(points: np.ndarray) -> np.ndarray:
     if not _letter:
-        _letter.append(np.fromiter((chr(i).isalpha() for i in range(0x30000)), bool, 0x30000))
-    return _letter[0][np.minimum(points, 0x2FFFF)]
+        _letter.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _letter[0][points]
+
+
+def _hashed(points: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of every n-gram of the code points."""
+    h = np.full(max(0, len(points) - n + 1), n, np.uint64)
+    for i in range(n):
+        h = (h * np.uint64(31) + points[i : len(points) - n + 1 + i]) * _MULTIPLIERS[i]
+        h ^= h >> np.uint64(15)
+    return (h >> np.uint64(7)) % np.uint64(BUCKETS)
 
 
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -49,40 +62,56 @@ def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     points = np.where(letter, points, 32)[keep].astype(np.uint64)
     owner = owner[keep]
     for n in range(1, ORDERS + 1):
-        h = np.full(max(0, len(points) - n + 1), n, np.uint64)
-        for i in range(n):
-            h = (h * np.uint64(31) + points[i : len(points) - n + 1 + i]) * _MULTIPLIERS[i]
-            h ^= h >> np.uint64(15)
+        h = _hashed(points, n)
         inside = owner[: len(h)] == owner[n - 1 :]
         if n == 1:
             inside &= points != 32
-        yield owner[: len(h)][inside], (h[inside] >> np.uint64(7)) % np.uint64(BUCKETS)
-
-
-def batches(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Pieces of the texts with the numbers of their texts, about PIECE characters at a time."""
+        yield owner[: len(h)][inside], h[inside]
+
+
+def long_grams(text: str, size: int = PIECE) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of one text, piece by piece; the same as grams gives."""
+    text, before, letter_before = f" {text.lower()} ", np.empty(0, np.uint64), True
+    for j in range(0, len(text), size):
+        points = np.frombuffer(text[j : j + size].encode("utf-32-le", "replace"), np.uint32)
+        letter = _letters(points)
+        keep = letter | np.r_[letter_before, letter[:-1]]
+        points = np.concatenate([before, np.where(letter, points, 32)[keep].astype(np.uint64)])
+        for n in range(1, ORDERS + 1):
+            new = max(0, len(before) - n + 1)
+            h = _hashed(points, n)[new:]
+            yield h[points[new:] != 32] if n == 1 else h
+        before, letter_before = points[-(ORDERS - 1) :], letter[-1]
+
+
+def counted(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of every n-gram of all texts, about PIECE characters at a time."""
     at: list[int] = []
-    out: list[str] = []
     room = PIECE
     for i, t in enumerate(texts):
-        for j in range(0, len(t), PIECE):
-            piece = t[j : j + PIECE]
-            if len(piece) > room and out:
-                yield np.array(at), out
-                at, out, room = [], [], PIECE
+        if len(t) > PIECE:
+            for buckets in long_grams(t):
+                yield np.full(len(buckets), i), buckets
+        elif t:
+            if len(t) > room and at:
+                for owner, buckets in grams([texts[k] for k in at]):
+                    yield np.array(at)[owner], buckets
+                at, room = [], PIECE
             at.append(i)
-            out.append(piece)
-            room -= len(piece)
-    if out:
-        yield np.array(at), out
+            room -= len(t)
+    if at:
+        for owner, buckets in grams([texts[k] for k in at]):
+            yield np.array(at)[owner], buckets
 
 
-def train(docs: DataFrame, train_rows: int = 2000) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, train_rows: int = 2000, max_languages: int = 500) -> tuple[list[str], np.ndarray]:
     """(languages, log-probability matrix with the prior as its last column) from docs (doc_id, text, lang)."""
     ship(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    known = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts  # texts aren't shuffled by language
+    if (found := counts.count()) > max_languages:
+        raise ValueError(f"{found} languages, more than max_languages ({max_languages})")
+    known = F.broadcast(counts)  # texts aren't shuffled by language
     draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = labelled.join(known, "lang").where(draw * F.col("n") < train_rows).select("lang", "text")
 
@@ -92,9 +121,8 @@ def train(docs: DataFrame, train_rows: int = 2000) -> tuple[list[str], np.ndarra
             for lang, own in pdf.groupby("lang"):
                 sums = total.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                 sums[-1] += len(own)
-                for _, texts in batches(own["text"].tolist()):
-                    for _, buckets in grams(texts):
-                        sums[:-1] += np.bincount(buckets.astype(np.int64), minlength=BUCKETS)
+                for _, buckets in counted(own["text"].tolist()):
+                    sums[:-1] += np.bincount(buckets.astype(np.int64), minlength=BUCKETS)
         for lang, sums in total.items():
             at = np.flatnonzero(sums)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": sums[at]})
@@ -116,23 +144,19 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((langs, matrix))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def run(column: pd.Series) -> pd.DataFrame:
         langs, matrix = model.value
         names = np.array([*langs, "und"], object)
-        for pdf in frames:
-            texts = [t if t is not None else "" for t in pdf["text"]]
-            found = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
-            score = np.tile(matrix[:, -1] if langs else np.zeros(0), (len(texts), 1))
-            for at, pieces in batches(texts) if langs else ():
-                for owner, buckets in grams(pieces):
-                    who = at[owner]
-                    for i in range(len(langs)):
-                        score[:, i] += np.bincount(who, weights=matrix[i][buckets], minlength=len(texts))
-            found &= bool(langs)
-            best = score.argmax(axis=1) if langs else np.zeros(len(texts), int)
-            top = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1) if langs else np.zeros(len(texts))
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": names[np.where(found, best, len(langs))], "score": np.where(found, top, 0.0)}
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+        texts = [t if t is not None else "" for t in column]
+        found = np.fromiter((any(map(str.isalpha, t)) for t in texts), bool, len(texts))
+        score = np.tile(matrix[:, -1] if langs else np.zeros(0), (len(texts), 1))
+        for owner, buckets in counted(texts) if langs else ():
+            for i in range(len(langs)):
+                score[:, i] += np.bincount(owner, weights=matrix[i][buckets], minlength=len(texts))
+        found &= bool(langs)
+        best = score.argmax(axis=1) if langs else np.zeros(len(texts), int)
+        top = 1 / np.exp(score - score.max(axis=1, keepdims=True)).sum(axis=1) if langs else np.zeros(len(texts))
+        return pd.DataFrame({"lang_pred": names[np.where(found, best, len(langs))], "score": np.where(found, top, 0.0)})
+
+    return docs.select("doc_id", run("text").alias("found")).select("doc_id", "found.*")
