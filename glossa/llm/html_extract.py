@@ -1,16 +1,21 @@
 """HTML extraction with a recurrent block labeller.
 
 A page becomes a sequence of leaf blocks: runs of text between block-level tags, inline tags and <br> not
-counting. Markup that isn't text (comments, head, scripts, styles, templates) makes no block. Each block has
+counting. What is no text of the page (comments, titles, scripts, styles, templates, frames, text fields) makes no block;
+formulas, `noscript` and the content of objects and drawings are text. Each block has
 hashed vectors of its tag path (tag names and the words of class, id and role) and of its words, and a few
 numbers. A bidirectional LSTM in numpy reads the whole sequence of a page and labels every block as main text
 or not.
 
 The labeller is trained on pages that `training.pages` writes by rule, with known labels, seeded; nothing is
-read from the tables to train it. Pages are scored whole, however long.
+read from the tables to train it; `extract` also takes a model that was trained before. Pages are scored whole, however
+long, and read in time linear in their length, however deep or broken: open elements are found by their names'
+last positions, a name without an end tag is searched for once.
 
 Defined cases: a null or empty page has an empty text. Broken or cut markup is read as far as it goes: an
-unclosed comment or tag ends the page, an unclosed element ends with its parent. Repeated rows get equal texts.
+unclosed comment or tag ends the page, an unclosed element ends with its parent; from the first tag with an unclosed
+quote on, tags end at the next >. Repeated rows get equal texts. Only the html goes to Python, so ids and other columns
+stay as they are, beside nulls too; columns of other names than `keep` and html are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,14 +41,17 @@ BLOCK = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("script style title template noscript iframe textarea svg math object audio video".split())
+UNREAD = frozenset("script style title template iframe textarea".split())
+FOREIGN = frozenset("svg math".split())
 CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
 SCOPE = frozenset("ul ol table dl select body html div article section main nav aside header footer form blockquote td th".split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+)|<", re.S)
+_OTHER = r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)"
+TOKEN = re.compile(_OTHER + r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^<]+)|<", re.S)
+UNQUOTED = re.compile(_OTHER + r"([^>]*)(?:>|\Z)|([^<]+)|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -52,79 +61,121 @@ SIZE = PATH + WORD + NUMBERS
 
 
 class Block:
+    """A leaf block; path: how often its tag path has each hashed name or word."""
+
     __slots__ = ("linked", "path", "text")
 
-    def __init__(self, text: str, linked: int, path: tuple[str, ...]) -> None:
+    def __init__(self, text: str, linked: int, path: np.ndarray) -> None:
         self.text, self.linked, self.path = text, linked, path
 
 
+class _Open:
+    """The open elements, with the last positions of their names."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.paths: list[np.ndarray] = []  # of the first so many blocks
+
+    def push(self, name: str, own: tuple[str, ...]) -> None:
+        i = len(self.stack)
+        self.stack.append((name, own))
+        self.at[name].append(i)
+        if name in BLOCK:
+            self.blocks.append(i)
+        if name in SCOPE:
+            self.scopes.append(i)
+
+    def last(self, name: str) -> int:
+        return self.at[name][-1] if self.at.get(name) else -1
+
+    def pop_to(self, i: int) -> None:
+        """Close the element at i and all above it."""
+        while len(self.stack) > i:
+            name = self.stack.pop()[0]
+            self.at[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+            if name in SCOPE:
+                self.scopes.pop()
+        del self.paths[len(self.blocks) :]
+
+    def close(self, name: str) -> None:
+        i = self.last(name)
+        if i >= 0 and (name in BLOCK or not self.blocks or self.blocks[-1] < i):
+            self.pop_to(i)
+
+    def close_implied(self, name: str) -> None:
+        """What the start of a block element closes, inside its scope."""
+        i = max(self.last(x) for x in CLOSES.get(name, CLOSES["p"]))
+        if i >= 0 and (not self.scopes or self.scopes[-1] <= i):
+            self.pop_to(i)
+
+    def path(self) -> np.ndarray:
+        for i in self.blocks[len(self.paths) :]:
+            own = _path_vector(self.stack[i][1])
+            self.paths.append(self.paths[-1] + own if self.paths else own)
+        return self.paths[-1] if self.paths else _path_vector(())
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order; text has character references decoded and white space folded."""
     page = page or ""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = _Open()
     out: list[Block] = []
     parts: list[str] = []
-    linked, links, at, end = 0, 0, 0, len(page)
+    endless: set[str] = set()
+    linked, at, end, token = 0, 0, len(page), TOKEN
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(x for name, own in stack if name in BLOCK for x in own)
-            out.append(Block(text, linked, path))
+            out.append(Block(text, linked, opened.path()))
         parts.clear()
         linked = 0
 
-    def pop(i: int) -> None:
-        nonlocal links
-        links -= sum(name == "a" for name, _ in stack[i:])
-        del stack[i:]
-
     while at < end:
-        m = TOKEN.match(page, at)
-        at = m.end()
+        m = token.match(page, at)
         closing, opening, attributes, text = m.group(1, 2, 3, 4)
+        if m.end() - at == 1 and text is None and token is TOKEN and page[at + 1 : at + 2].isalpha():
+            token = UNQUOTED  # a tag with an unclosed quote
+            continue
+        at = m.end()
         if text is not None:
             parts.append(text)
-            if links:
+            if opened.at.get("a"):
                 linked += len(text)
         elif opening is not None:
             name = opening.lower()
             if name in UNREAD:
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                close = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if close is None:
+                    endless.add(name)
                 at = close.end() if close else (end if name in ("script", "style", "title", "textarea") else at)
                 continue
             if name == "head":
                 continue
             if name in BLOCK:
                 flush()
-                shut = CLOSES.get(name, CLOSES["p"])
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in shut:
-                        pop(i)
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
+                opened.close_implied(name)
             elif name == "br":
                 parts.append(" ")
-            if name not in VOID and not attributes.endswith("/"):
+            foreign = name in FOREIGN or opened.at.get("svg") or opened.at.get("math")
+            if name not in VOID and not (foreign and attributes.endswith("/")):
                 own = [name]
                 for a in ATTRIBUTE.findall(attributes):
-                    own += [f".{w}" for w in NAME.findall(CAMEL.sub(" ", "".join(a[1:])).lower())[:8]]
-                stack.append((name, tuple(own)))
-                links += name == "a"
+                    own += [f".{w}" for w in NAME.findall(CAMEL.sub(" ", "".join(a[1:])).lower())]
+                opened.push(name, tuple(own))
         elif closing is not None:
             name = closing.lower()
             if name in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
-                if name not in BLOCK and stack[i][0] in BLOCK:
-                    break
-        elif m.end() - m.start() == 1:  # a < that opens no whole tag
-            if page[at : at + 1].isalpha() or page[at : at + 1] == "/":
+            opened.close(name)
+        elif m.end() - m.start() == 1:  # a < that opens no tag
+            if page[at : at + 1] == "/":
                 cut = page.find(">", at)
                 at = end if cut < 0 else cut + 1
             else:
@@ -139,17 +190,17 @@ def _slot(word: str, size: int) -> int:
 
 
 @lru_cache(1 << 14)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+def _path_vector(own: tuple[str, ...]) -> np.ndarray:
     v = np.zeros(PATH, np.float32)
-    for x in path:
+    for x in own:
         v[_slot(x, PATH)] += 1
-    return np.minimum(v, 2)
+    return v
 
 
 def vectors(bs: list[Block]) -> np.ndarray:
     x, crc = np.zeros((len(bs), SIZE), np.float32), zlib.crc32
     for i, b in enumerate(bs):
-        x[i, :PATH] = _path_vector(b.path)
+        x[i, :PATH] = np.minimum(b.path, 2)
         ws = b.text.lower().encode("utf-8", "surrogatepass").split()
         x[i, PATH : PATH + WORD] = np.bincount([crc(w) % WORD for w in ws], minlength=WORD) / len(ws)
         n = len(b.text)
@@ -298,16 +349,13 @@ def extract(pages: DataFrame, model: Labeller | None = None, keep: tuple[str, ..
     ship(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(model or train())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            texts: list[str] = []
-            for i in range(0, len(pdf), 64):
-                found = [blocks(h) for h in pdf["_html"].iloc[i : i + 64]]
-                labels = held.value.label([vectors(bs) for bs in found])
-                texts += ["\n".join(b.text for b, y in zip(bs, ys, strict=True) if y) for bs, ys in zip(found, labels, strict=True)]
-            yield pdf[list(keep)].assign(text=texts, n_chars=[len(t) for t in texts])
-
-    from pyspark.sql.types import LongType, StringType, StructType
+    @F.pandas_udf("text string, n_chars long")
+    def run(column: pd.Series) -> pd.DataFrame:
+        texts: list[str] = []
+        for i in range(0, len(column), 64):
+            found = [blocks(h) for h in column.iloc[i : i + 64]]
+            labels = held.value.label([vectors(bs) for bs in found])
+            texts += ["\n".join(b.text for b, y in zip(bs, ys, strict=True) if y) for bs, ys in zip(found, labels, strict=True)]
+        return pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]}, columns=["text", "n_chars"])
 
-    schema = StructType([pages.schema[c] for c in keep]).add("text", StringType()).add("n_chars", LongType())
-    return pages.select(*keep, F.col("html").alias("_html")).mapInPandas(run, schema)
+    return pages.select(*keep, run("html").alias("_found")).select(*keep, "_found.*")

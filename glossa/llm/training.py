@@ -143,6 +143,8 @@ class Writer:
         inner = title + inner
         if self.chance(0.2):
             inner += self.boilerplate("comments")
+        if self.chance(0.12):  # no element of its own, or one without a name
+            return inner if self.chance(0.5) else self.tag("div", inner)
         name = self.pick(["article", "article", "article", "main", "div", "div", "section"])
         own = self.attributes(MAIN, 0.35 if name in ("article", "main") else 0.97)
         if name == "div" and self.chance(0.2):
@@ -150,6 +152,17 @@ class Writer:
         out = self.tag(name, inner, own)
         return self.tag("main", out) if name != "main" and self.chance(0.2) else out
 
+    def plain(self) -> str:
+        """A body of main text only, with little markup."""
+        if self.chance(0.3):
+            return self.keep(self.words(1, 120))
+        texts = [self.keep(self.words(1, 90)) for _ in range(int(self.rng.integers(1, 12)))]
+        t = self.pick(["p", "p", "p", "div", "h2"])
+        body = "".join(self.tag(t if self.chance(0.9) else "p", x) for x in texts)
+        for _ in range(int(self.rng.integers(0, 3))):
+            body = self.tag("div", body, self.attributes(NOISE, 0.5))
+        return body
+
     def page(self) -> str:
         title = self.words(2, 10)
         head = f"<head><meta charset=\"utf-8\"><title>{escape(title)}</title><style>p{{margin:0}}</style><script>var t=\"</p>\";</script></head>"
@@ -160,6 +173,9 @@ class Writer:
         body = "".join([*before, "<!-- x -->" * self.chance(0.3), self.article(), *after])
         for _ in range(int(self.rng.integers(0, 3)) if self.chance(0.4) else 0):
             body = self.tag("div", body, self.attributes(NOISE, 0.8))
+        if self.chance(0.08):
+            self.main.clear()
+            body = self.plain()
         page = f"<!DOCTYPE html><html>{head}<body>{body}</body></html>"
         if self.chance(0.12):
             page = page[: page.rfind("</p>")] if "</p>" in page and self.chance(0.5) else page.removesuffix("</body></html>")
