@@ -8,7 +8,6 @@ grown_shard. The mixing stage repeats a document as often as the mix takes it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glossa.llm import decontaminate, mixing, quality, sharding, simhash
 from glossa.llm.common import held_out, materialize, table
@@ -20,7 +19,7 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
-    return quality.score(docs, model, docs.columns, "_quality_score").where(F.col("_quality_score") >= 0.3).drop("_quality_score")
+    return quality.good(docs, model, 0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs, 24, carry=[c for c in docs.columns if c not in sharding.COLUMNS])
+    return sharding.sharded(docs, 24)
 
 
 STAGES = [
