@@ -14,6 +14,9 @@ CLASSES = {
     "symbol": r"[\p{P}\p{S}]",
 }
 
+#: Classes of single characters of any script, for counts.
+KINDS = {"upper": r"\p{Lu}", "lower": r"\p{Ll}", "digit": r"\p{N}", "symbol": r"[\p{P}\p{S}]"}
+
 _KATAKANA = "".join(map(chr, range(0x30A1, 0x30F7)))
 _HIRAGANA = "".join(map(chr, range(0x3041, 0x3097)))
 _FULL = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
@@ -53,6 +56,11 @@ def to_full_width(c: Column) -> Column:
     return F.translate(c, _HALF, _FULL)
 
 
+def count_of(c: Column, kind: str) -> Column:
+    """How many characters of the text are of a kind, or of a class."""
+    return F.regexp_count(c, F.lit(KINDS.get(kind) or CLASSES[kind]))
+
+
 def is_single(c: Column) -> Column:
     return F.char_length(c) == 1
 

@@ -28,6 +28,21 @@ def best_code_similarity(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_max(pairs), F.lit(0.0))
 
 
+def set_pairs(members: DataFrame, owner: str, element: str, least_common: int = 3) -> DataFrame:
+    """(s1, s2, common, similarity) of every two owners that share enough elements: `distributional` without gathering a set.
+
+    members (owner, element) may repeat. The sets meet by a join on the element, counted before anything else, so its output is
+    pairs of owners for each element; owners are few (sources, languages), elements many.
+    """
+    rows = members.select(F.col(owner).alias("s"), F.col(element).alias("e")).distinct()
+    size = rows.groupBy("s").agg(F.count("*").alias("n"))
+    a, b = rows.alias("a"), rows.alias("b")
+    both = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.s") < F.col("b.s"))).groupBy(F.col("a.s").alias("s1"), F.col("b.s").alias("s2")).agg(F.count("*").alias("common"))
+    sized = both.join(size.select(F.col("s").alias("s1"), F.col("n").alias("n1")), "s1").join(size.select(F.col("s").alias("s2"), F.col("n").alias("n2")), "s2")
+    mean = (F.col("common") / (F.col("n1") + F.col("n2") - F.col("common")) + F.col("common") / F.least("n1", "n2")) / 2
+    return sized.where(F.col("common") >= least_common).select("s1", "s2", "common", mean.alias("similarity"))
+
+
 def with_table(pairs: DataFrame, table: DataFrame, computed: Column, threshold: float = 0.15) -> DataFrame:
     """pairs (w1, w2, ...) with `similarity`: from table (w1 < w2, sim) where it has the pair, below the threshold 0,
     else computed."""

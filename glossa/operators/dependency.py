@@ -1,12 +1,14 @@
-"""Dependency candidates between the phrases of a sentence, and masks on them, as joins and windows.
+"""Dependency candidates between the phrases of a sentence, and masks on them.
 
-phrases have a key, sent_no, phrase_no and what the rules read. Candidates are pairs dependent < governor. A
-barrier on the dependent's side bounds a pair join before it is made: no governor stands beyond it.
+Candidates are pairs dependent < governor; no governor stands beyond the dependent's `reach`, its barrier. What can be
+answered inside a sentence's row, from the array of its phrases, is a column: counts of candidates, the default head, links
+by relaxation. Nothing is paired by a join and nothing is shuffled for these. Where pairs are wanted as rows, as for the masks
+that join them with quotations and correlatives, phrases have a key, sent_no, phrase_no and what the rules read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,23 +50,62 @@ def candidates(phrases: DataFrame, governor_type: Column, key: str = "doc_id") -
     return pairs.select(key, "sent_no", F.col("phrase_no").alias("dependent"), F.col("g_phrase_no").alias("governor"), "type")
 
 
-def default_heads(pairs: DataFrame, preference: int, key: str = "doc_id") -> DataFrame:
-    """The preference-th nearest governor of each dependent, the farthest for -1 or where there are fewer."""
-    w = Window.partitionBy(key, "sent_no", "dependent")
-    rank = F.row_number().over(w.orderBy("governor"))
-    n = F.count("*").over(w)
-    want = n if preference == -1 else F.least(F.lit(preference).cast("long"), n)
-    return pairs.withColumn("_rank", rank).withColumn("_want", want).where("_rank = _want").drop("_rank", "_want")
+Kind = Callable[[Column, Column], Column]
 
 
-def relax(phrases: DataFrame, pairs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Links of type R to the sentence's last phrase for phrases without a candidate."""
-    last = phrases.groupBy(key, "sent_no").agg(F.max("phrase_no").alias("governor"))
-    linked = pairs.select(key, "sent_no", F.col("dependent").alias("phrase_no")).distinct()
-    alone = phrases.select(key, "sent_no", "phrase_no").join(linked, [key, "sent_no", "phrase_no"], "left_anti")
-    return alone.join(last, [key, "sent_no"]).where("phrase_no < governor").select(
-        key, "sent_no", F.col("phrase_no").alias("dependent"), "governor", F.lit("R").alias("type")
-    )
+def _later(p: Column, i: Column) -> Column:
+    """The positions after i up to the reach of phrase p."""
+    return F.when(p["reach"] > i, F.sequence(i + 1, p["reach"])).otherwise(F.array().cast("array<int>"))
+
+
+def count_candidates(ps: str, kind: Kind, types: Sequence[str]) -> Column:
+    """array<struct<type, n, distance>> of a sentence: how many pairs have each type, and their distances' sum.
+
+    ps names an array column of phrases with `reach`; kind gives the type of (dependent, governor), null for none.
+    """
+    zero = F.struct(*[F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("distance")).alias(t) for t in types])
+
+    def seen(s: Column, p: Column, i: Column, j: Column) -> Column:
+        found = kind(p, F.get(ps, j))
+        step = lambda t: F.struct((s[t]["n"] + 1).alias("n"), (s[t]["distance"] + j - i).alias("distance"))
+        return F.struct(*[F.when(found == t, step(t)).otherwise(s[t]).alias(t) for t in types])
+
+    def add(a: Column, b: Column) -> Column:
+        return F.struct(*[F.struct((a[t]["n"] + b[t]["n"]).alias("n"), (a[t]["distance"] + b[t]["distance"]).alias("distance")).alias(t) for t in types])
+
+    own = F.transform(ps, lambda p, i: F.aggregate(_later(p, i), zero, lambda s, j: seen(s, p, i, j)))
+    total = F.aggregate(own, zero, add)
+    told = lambda s: F.array(*[F.struct(F.lit(t).alias("type"), s[t]["n"].alias("n"), s[t]["distance"].alias("distance")) for t in types])
+    return F.flatten(F.transform(F.array(total), told))  # a lambda's argument is computed once
+
+
+def default_governors(ps: str, kind: Kind, preference: int) -> Column:
+    """The preference-th nearest governor of each phrase of a sentence, the farthest for -1 or where there are fewer, null where
+    there is none; ps and kind as in count_candidates."""
+    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("at"))
+
+    def seen(s: Column, p: Column, j: Column) -> Column:
+        more = F.lit(True) if preference == -1 else s["n"] < preference
+        return F.when(kind(p, F.get(ps, j)).isNotNull() & more, F.struct((s["n"] + 1).alias("n"), j.cast("int").alias("at"))).otherwise(s)
+
+    return F.transform(ps, lambda p, i: F.aggregate(_later(p, i), zero, lambda s, j: seen(s, p, j))["at"])
+
+
+def relaxed_governors(ps: str, kind: Kind, closes: Callable[[Column], Column]) -> Column:
+    """The governor, by relaxation, of each phrase without a candidate: its last possible position, the reach, if that ends the
+    sentence or if `closes` holds there (the end of an inner sentence, a closing bracket); else null."""
+
+    def one(p: Column, i: Column) -> Column:
+        none = ~F.exists(_later(p, i), lambda j: kind(p, F.get(ps, j)).isNotNull())
+        ends = (p["reach"] == F.size(ps) - 1) | closes(F.get(ps, p["reach"]))
+        return F.when((p["reach"] > i) & none & ends, p["reach"])
+
+    return F.transform(ps, one)
+
+
+def links(rows: DataFrame, governors: Column, keys: Sequence[str]) -> DataFrame:
+    """(keys, dependent, governor) of an array of governors by dependent."""
+    return rows.select(*keys, F.posexplode_outer(governors).alias("dependent", "governor")).where("governor IS NOT NULL")
 
 
 def mask_quotes(pairs: DataFrame, quotes: DataFrame, key: str = "doc_id") -> DataFrame:

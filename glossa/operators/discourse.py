@@ -49,6 +49,23 @@ def asof_antecedent(anaphors: DataFrame, antecedents: DataFrame, article: str, o
     return pairs.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(F.col("_a_article").alias(article), "a_id", "b_id", "condition", "distance")
 
 
+def synonym_pairs(words: DataFrame, synonyms: DataFrame, word: str = "word") -> DataFrame:
+    """(a, b): words that are synonyms once the prefix and the suffix that they share are taken off.
+
+    synonyms (x, y) have no first and no last letter in common, so what is left of two words is a pair of theirs exactly when the
+    words are p + x + s and p + y + s. Words are filed under (p, s, x) for each place where a synonym stands in them, and meet by
+    equality; no two words are compared otherwise.
+    """
+    terms = synonyms.select(F.col("x").alias("term")).unionByName(synonyms.select(F.col("y").alias("term"))).distinct()
+    own = words.select(F.col(word).alias("w")).distinct()
+    n = F.char_length("w") - F.char_length("term") + 1
+    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.col("w").substr(i, F.char_length("term")) == F.col("term"))
+    found = own.join(F.broadcast(terms), F.contains("w", "term")).select("w", "term", F.explode(at).alias("at"))  # a rule list, not data
+    filed = found.select("w", "term", F.expr("substring(w, 1, at - 1)").alias("p"), F.expr("substring(w, at + char_length(term))").alias("s"))
+    left, right = filed.select(F.col("w").alias("a"), F.col("term").alias("x"), "p", "s"), filed.select(F.col("w").alias("b"), F.col("term").alias("y"), "p", "s")
+    return left.join(F.broadcast(synonyms), "x").join(right, ["y", "p", "s"]).select("a", "b").distinct()
+
+
 def salience(weighted: DataFrame, article: str, order: str, entity: str, weight: str, base: float = 0.5, reach: int = 900) -> DataFrame:
     """weighted with `salience`, the sum of weights so far times base ** distance in sentences.
 

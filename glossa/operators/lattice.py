@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 FORBIDDEN = math.inf
 
@@ -125,6 +126,31 @@ def unknown_words(text: str, at: int) -> Iterator[Word]:
             yield Word(unit * 2, unit * 2, "Onomatopoeia", kind="repetition", weight=(2.4 if kind == "hiragana" else 2.0) / n + 0.5)
 
 
+#: The runs of unknown_words: katakana with the prolonged mark, letters with the full stop, digits, else one character.
+RUN = r"[\x{30A0}-\x{30FF}]+|\p{Nd}+|(?![\x{3005}-\x{3006}\x{3041}-\x{30FF}\x{4E00}-\x{9FFF}])\p{L}(?:(?![\x{3005}-\x{3006}\x{3041}-\x{30FF}\x{4E00}-\x{9FFF}])[\p{L}.])*|(?s:.)"
+
+
+def unknown_runs(text: Column) -> Column:
+    """array<string>: a text cut from left to right into the first unknown word at each place, as unknown_words gives it."""
+    return F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+
+
+def run_kind(run: Column) -> Column:
+    """The kind of a run of unknown_runs: space, digit, letter, katakana, hiragana, kanji or symbol."""
+    return (
+        F.when(run.rlike(r"^[ \x{3000}]"), "space").when(run.rlike(r"^[\x{3041}-\x{309F}]"), "hiragana").when(run.rlike(r"^[\x{30A0}-\x{30FF}]"), "katakana")
+        .when(run.rlike(r"^[\x{4E00}-\x{9FFF}\x{3005}\x{3006}]"), "kanji").when(run.rlike(r"^\p{Nd}"), "digit").when(run.rlike(r"^\p{L}"), "letter").otherwise("symbol")
+    )
+
+
+def is_repetition(word: Column, least: int = 2, most: int = 4) -> Column:
+    """Whether the word is a unit of that many characters, not all the same, said twice."""
+    n = F.char_length(word)
+    half = (n / 2).cast("int")
+    unit = word.substr(F.lit(1), half)
+    return (n % 2 == 0) & half.between(least, most) & (word == F.repeat(unit, F.lit(2))) & ~word.rlike(r"^(.)\1*$")
+
+
 @dataclass
 class Node:
     start: int

@@ -6,12 +6,13 @@ rule sees what earlier ones did to neighbours, run here, one sentence at a time,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -139,9 +140,27 @@ class Rule:
         return 0
 
 
-def act(units: list[Unit], at: int, offset: int, action: str) -> None:
-    """^x deletes; &pos:, &lemma:, &sem: set attributes; &copy:attribute:name stores an attribute as a feature;
-    &spread:n:f gives f to the unit n away; n:f with a number acts at that offset of the span only; else adds."""
+#: What an action that needs more than the unit can use: words known to an automatic dictionary, case and number of compound
+#: particles by their text.
+@dataclass
+class Tables:
+    lexicon: frozenset[str] = frozenset()
+    particles: Mapping[str, tuple[str, int]] = field(default_factory=dict)
+
+
+NO_TABLES = Tables()
+
+
+def act(units: list[Unit], at: int, offset: int, action: str, tables: Tables = NO_TABLES) -> None:
+    """One action on a unit of a matched span.
+
+    `^x` deletes a feature, `n|action` acts at offset n of the span only, anything without a sign adds a feature. With a sign:
+    pos, lemma, sem and other names set attributes; copy:attribute:name stores an attribute as a feature; spread:n:f gives f to
+    the unit n away; case:x adds a surface case, uncase:x takes it away, cases clears them, cases:x;y sets them; memo:text adds to
+    the notes of the sentence, on its first unit; particle and particle_id store the case and the number of a compound particle;
+    remember:attribute keeps an attribute and recall:attribute:name, after it in the sentence, stores it as a feature; function
+    makes a content unit a function one; known:f adds f where the lexicon has the lemma.
+    """
     where, _, rest = action.partition("|")
     if rest and where.isdigit():
         if int(where) != offset:
@@ -150,23 +169,51 @@ def act(units: list[Unit], at: int, offset: int, action: str) -> None:
     unit = units[at]
     if action.startswith("^"):
         unit.drop(action[1:])
-    elif action.startswith("&"):
-        name, _, argument = action[1:].partition(":")
-        if name == "spread":
-            n, _, feature = argument.partition(":")
-            if 0 <= at + int(n) < len(units):
-                units[at + int(n)].put(feature)
-        elif name == "copy":
-            attribute, _, feature = argument.partition(":")
-            unit.put(f"{feature}:{unit.attributes.get(attribute, '')}")
-        else:
-            unit.attributes[name] = argument
-    else:
+        return
+    if not action.startswith("&"):
         unit.put(action)
+        return
+    name, _, argument = action[1:].partition(":")
+    cases = [c for c in (unit.value("cases") or "").split(";") if c]
+    if name == "spread":
+        n, _, feature = argument.partition(":")
+        if 0 <= at + int(n) < len(units):
+            units[at + int(n)].put(feature)
+    elif name == "copy":
+        attribute, _, feature = argument.partition(":")
+        unit.put(f"{feature}:{unit.attributes.get(attribute, '')}")
+    elif name == "case":
+        unit.put("cases:" + ";".join([*cases, argument] if argument not in cases else cases))
+    elif name == "uncase":
+        unit.put("cases:" + ";".join(c for c in cases if c != argument))
+    elif name == "cases":
+        unit.put("cases:" + argument) if argument else unit.drop("cases")
+    elif name == "memo":
+        notes = units[0].value("memo")
+        units[0].put("memo:" + (f"{notes} {argument}" if notes else argument))
+    elif name in ("particle", "particle_id"):
+        found = tables.particles.get(unit.attributes.get("surface", ""))
+        if found:
+            unit.put(f"{name}:{found[name == 'particle_id']}")
+    elif name == "remember":
+        units[0].attributes[f"&{argument}"] = unit.attributes.get(argument, "")
+    elif name == "recall":
+        attribute, _, feature = argument.partition(":")
+        if f"&{attribute}" in units[0].attributes:
+            unit.put(f"{feature}:{units[0].attributes[f'&{attribute}']}")
+    elif name == "function":
+        unit.drop("content")
+        unit.put("function")
+    elif name == "known":
+        if unit.attributes.get("lemma", "") in tables.lexicon:
+            unit.put(argument)
+    else:
+        unit.attributes[name] = argument
 
 
 def apply(
-    rules: Sequence[Rule], units: list[Unit], *, by: str = "unit", leave: str = "none", backwards: bool = False, functions: Mapping[str, Function] | None = None
+    rules: Sequence[Rule], units: list[Unit], *, by: str = "unit", leave: str = "none", backwards: bool = False,
+    functions: Mapping[str, Function] | None = None, tables: Tables = NO_TABLES,
 ) -> list[Unit]:
     """Apply rules in place. by: unit (all rules at a unit, then the next) or rule. leave: none, normal (after a match
     stop the inner loop) or jump (by unit: also skip the matched span)."""
@@ -177,7 +224,7 @@ def apply(
         n = rule.span(units, at, functions)
         for k in range(n):
             for action in rule.actions:
-                act(units, at + k, k, action)
+                act(units, at + k, k, action, tables)
         return n
 
     if by == "rule":
@@ -199,6 +246,27 @@ def apply(
     return units
 
 
+@dataclass(frozen=True)
+class RuleSet:
+    """Rules of one kind with the way in which they run. level: morpheme rules see the units, phrase rules what units are parts of."""
+
+    kind: str
+    rules: tuple[Rule, ...]
+    by: str = "unit"
+    leave: str = "none"
+    backwards: bool = False
+    level: str = "unit"
+
+
+def dispatch(sets: Sequence[RuleSet], kind: str, units: list[Unit], functions: Mapping[str, Function] | None = None, tables: Tables = NO_TABLES) -> list[Unit]:
+    """Every set of the kind, in the order of the sets; a set of level `parts` runs over the parts of each unit."""
+    for s in sets:
+        if s.kind == kind:
+            for own in [u.parts for u in units] if s.level == "parts" else [units]:
+                apply(s.rules, own, by=s.by, leave=s.leave, backwards=s.backwards, functions=functions, tables=tables)
+    return units
+
+
 def choose_homograph(alternatives: list[Unit], rules: Sequence[Sequence[Pattern]]) -> tuple[int, list[str]]:
     """(chosen index, ALT- features of the others). A rule applies when each alternative fits some element and each
     element some alternative; it prefers the alternatives that fit its first element. Else the first is kept."""
@@ -233,18 +301,45 @@ def parse_pattern(notation: str) -> tuple[Pattern, ...]:
     return tuple(out)
 
 
+def apply_sets(
+    sentences: DataFrame, sets: Sequence[RuleSet], key: Sequence[str], kinds: Sequence[str] | None = None, functions: Mapping[str, Function] | None = None, tables: Tables = NO_TABLES
+) -> DataFrame:
+    """sentences (key, units array<struct<surface, lemma, pos, ...>>, strings all) to key and features array<array<string>>.
+
+    kinds gives the order in which the kinds of sets run; without it they run as they stand. Sentences are rows, so they
+    spread over all tasks; the rules go to the tasks once.
+    """
+    order = list(kinds or dict.fromkeys(s.kind for s in sets))
+    from glossa.operators.predicates import FUNCTIONS
+
+    known = functions if functions is not None else FUNCTIONS
+
+    @F.pandas_udf("array<array<string>>")
+    def run(column: pd.Series) -> pd.Series:
+        out = []
+        for row in column:
+            units = [Unit({k: "" if v is None else str(v) for k, v in dict(u).items()}) for u in row] if row is not None else []
+            for kind in order if units else ():
+                dispatch(sets, kind, units, known, tables)
+            out.append([u.features for u in units])
+        return pd.Series(out)
+
+    # structs of one column as rows of a frame: a struct array is a list of dicts
+    return sentences.select(*key, run("units").alias("features"))
+
+
 def apply_to_sentences(sentences: DataFrame, rules: Sequence[Rule], key: Sequence[str], by: str = "unit", leave: str = "none") -> DataFrame:
-    """sentences (key, units array<struct<surface, lemma, pos>>) to key and features array<array<string>>."""
+    """apply_sets with one set of rules."""
+    return apply_sets(sentences, [RuleSet("rules", tuple(rules), by, leave)], key)
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for row in pdf["units"]:
-                units = [Unit({k: v or "" for k, v in dict(u).items()}) for u in row]
-                out.append([u.features for u in apply(rules, units, by=by, leave=leave)])
-            yield pdf[list(key)].assign(features=out)
+def choose_homographs(groups: DataFrame, rules: Sequence[Sequence[Pattern]], key: Sequence[str]) -> DataFrame:
+    """groups (key, alternatives array<struct<surface, lemma, ...>>) to key, chosen (from 0) and others (their ALT- features)."""
 
-    from pyspark.sql.types import ArrayType, StringType, StructType
+    @F.pandas_udf("chosen int, others array<string>")
+    def run(column: pd.Series) -> pd.DataFrame:
+        found = [choose_homograph([Unit({k: "" if v is None else str(v) for k, v in dict(u).items()}) for u in row], rules) for row in column]
+        return pd.DataFrame({"chosen": [f[0] for f in found], "others": [f[1] for f in found]}, columns=["chosen", "others"])
 
-    schema = StructType([sentences.schema[k] for k in key]).add("features", ArrayType(ArrayType(StringType())))
-    return sentences.select(*key, "units").mapInPandas(run, schema)
+    made = groups.withColumn("_found", run("alternatives"))
+    return made.select(*key, "alternatives", "_found.*")

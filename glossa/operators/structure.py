@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -59,10 +60,11 @@ def reaches(barriers: Column, n: Column) -> Column:
     return F.flatten(F.transform(ends, stretch))
 
 
-def phrases(sents: DataFrame, key: str | list[str] = "doc_id", barrier: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(key, sent_no, phrase_no, first_tok, n_tok, head, last) for each phrase: head is its last content token, or
-    else its first token; last its last token. With a barrier, a predicate on last tokens, also `reach`, the next
-    phrase where it holds or else the sentence's last. All inside the sentence's row, so nothing is shuffled."""
+def phrase_arrays(sents: DataFrame, key: str | list[str] = "doc_id", barrier: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, sent_no, ps): the phrases of each sentence as an array of structs (first_tok, n_tok, head, last): head is its
+    last content token, or else its first token; last its last token. With a barrier, a predicate on last tokens, also
+    `reach`, the next phrase where it holds or else the sentence's last. All inside the sentence's row, so nothing is
+    shuffled."""
     keys = _columns(key)
     base = sents.select(*keys, "sent_no", tokens(F.col("sentence")).alias("ts")).where(F.size("ts") > 0)
     started = base.select(*keys, "sent_no", "ts", phrase_starts(F.col("ts")).alias("starts"))
@@ -74,15 +76,21 @@ def phrases(sents: DataFrame, key: str | list[str] = "doc_id", barrier: Callable
             span["first"].alias("first_tok"), (span["last"] - span["first"] + 1).alias("n_tok"), F.get(ts, span["first"]).alias("head"), F.get(ts, span["last"]).alias("last")
         )
 
-    found = F.transform(spans(F.col("starts"), F.size("ts")), one)
-    fields = ["p.first_tok", "p.n_tok", "p.head", "p.last"]
+    made = started.select(*keys, "sent_no", F.transform(spans(F.col("starts"), F.size("ts")), one).alias("ps"))
     if barrier is None:
-        return started.select(*keys, "sent_no", F.posexplode(found).alias("phrase_no", "p")).select(*keys, "sent_no", "phrase_no", *fields)
-    made = started.select(*keys, "sent_no", found.alias("ps"))
+        return made
     at = F.filter(F.sequence(F.lit(0), F.size("ps") - 1), lambda i: barrier(F.get("ps", i)["last"]))
     marked = made.select(*keys, "sent_no", "ps", at.alias("bs")).select(*keys, "sent_no", "ps", reaches(F.col("bs"), F.size("ps")).alias("rs"))
-    both = marked.select(*keys, "sent_no", F.posexplode(F.arrays_zip(F.col("ps").alias("p"), F.col("rs").alias("reach"))).alias("phrase_no", "z"))
-    return both.select(*keys, "sent_no", "phrase_no", "z.p", "z.reach").select(*keys, "sent_no", "phrase_no", *fields, "reach")
+    fields = ("first_tok", "n_tok", "head", "last")
+    both = F.arrays_zip(F.col("ps").alias("p"), F.col("rs").alias("reach"))
+    return marked.select(*keys, "sent_no", F.transform(both, lambda z: F.struct(*[z["p"][f].alias(f) for f in fields], z["reach"].alias("reach"))).alias("ps"))
+
+
+def phrases(sents: DataFrame, key: str | list[str] = "doc_id", barrier: Callable[[Column], Column] | None = None) -> DataFrame:
+    """phrase_arrays with a row for each phrase: (key, sent_no, phrase_no, first_tok, n_tok, head, last and, with a barrier, reach)."""
+    keys = _columns(key)
+    # outer: from the plain form Catalyst infers a filter on the array, and computes it once more to push that down
+    return phrase_arrays(sents, key, barrier).select(*keys, "sent_no", F.posexplode_outer("ps").alias("phrase_no", "p")).select(*keys, "sent_no", "phrase_no", "p.*")
 
 
 def merge_runs(rows: DataFrame, partition: list[str], order: list[str], mark: Column, most: int | None = None) -> DataFrame:
@@ -116,7 +124,8 @@ def split_brackets(rows: DataFrame, id_col: str, text: str, opening: str = "(",
 
     An opening bracket that isn't closed holds the rest; a closing one that wasn't opened is text.
     """
-    chars = F.split(F.col(text), "")
+    both = re.escape(opening) + re.escape(closing)
+    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"[^{both}]+|[{both}]"), F.lit(0))
     zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("main"), F.lit("").alias("open"), F.array().cast("array<string>").alias("parts"))
 
     def step(s: Column, ch: Column) -> Column:
@@ -127,6 +136,6 @@ def split_brackets(rows: DataFrame, id_col: str, text: str, opening: str = "(",
         main = F.when((s["depth"] == 0) & ~up, F.concat(s["main"], ch)).otherwise(s["main"])
         return F.struct(depth.alias("depth"), main.alias("main"), inside.alias("open"), parts.alias("parts"))
 
-    done = F.aggregate(chars, zero, step)
+    done = F.aggregate(pieces, zero, step)
     all_parts = F.concat(F.array(done["main"]), done["parts"], F.when(done["open"] != "", F.array(done["open"])).otherwise(F.array().cast("array<string>")))
     return rows.select(id_col, F.posexplode(all_parts).alias("part_no", "part"))

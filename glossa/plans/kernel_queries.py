@@ -19,7 +19,7 @@ def _document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jtab_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of documents written as analysed text, read again, counted by document."""
+    """Sentences of documents written as analysed text and read again."""
     from glossa.sources.jtab import read_jtab, to_tables, write_jtab
 
     sents = sentences(table(spark, sf_dir, "documents"))
@@ -37,8 +37,9 @@ def jtab_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark)
     write_jtab(records, folder)
     back = to_tables(read_jtab(spark, folder))["morphemes"]
-    doc = F.regexp_extract("sent_id", "^(.*)-", 1).cast("long").alias("doc_id")
-    return back.groupBy(doc).agg(F.count("*").alias("n_morphemes"), F.count_distinct("sent_id").alias("n_sentences"), F.sum(F.length("surface")).alias("n_chars"))
+    doc, number = F.regexp_extract("sent_id", "^(.*)-", 1).cast("long").alias("doc_id"), F.regexp_extract("sent_id", "-([0-9]+)$", 1).cast("int").alias("sent_no")
+    read = back.groupBy(doc, number).agg(F.count("*").alias("n_morphemes"), F.array_sort(F.collect_list(F.struct("morph_no", "surface"))).alias("ms"))
+    return read.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "n_morphemes", F.md5(F.array_join(F.transform("ms", lambda m: m["surface"]), " ")).alias("surfaces"))
 
 
 def crf_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,7 @@ def stream_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*")
     folder = scratch_dir(spark)
     run_to_end(article_context(stream, "conv_id", "turn", "text", timeout=""), folder)
-    return spark.read.parquet(f"{folder}/out").select("conv_id", "turn", "n_words", "n_seen")
+    return spark.read.parquet(f"{folder}/out").select("conv_id", "turn", "n_words", "n_seen", "entity", F.round("salience", 6).alias("salience"), "late", "reset")
 
 
 QUERIES = {f.__name__: f for f in (jtab_roundtrip, crf_tag, viterbi_ne, cky_parse, coord_scope, lattice_segment, zero_anaphora, stream_context)}
@@ -158,10 +159,16 @@ ORACLES = {
             SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM documents
         ),
         sents AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM lists),
-        toks AS (SELECT doc_id, i, unnest(regexp_extract_all(s, '[^ \t\r\n]+')) AS t FROM sents)
-        SELECT doc_id, count(*) AS n_morphemes, count(DISTINCT i) AS n_sentences, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM toks GROUP BY doc_id""",
+        toks AS (SELECT doc_id, i - 1 AS sent_no, regexp_extract_all(s, '[^ \t\r\n]+') AS ts FROM sents)
+        SELECT doc_id, CAST(sent_no AS BIGINT) AS sent_no, CAST(len(ts) AS BIGINT) AS n_morphemes, md5(array_to_string(ts, ' ')) AS surfaces FROM toks WHERE len(ts) > 0""",
     "stream_context": r"""
         WITH toks AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[^ \t\r\n]+')) AS w FROM conversations),
-        seen AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, w) < turn AS old FROM toks)
-        SELECT conv_id, turn, count(*) AS n_words, count(*) FILTER (old) AS n_seen FROM seen GROUP BY ALL""",
+        seen AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, w) < turn AS old FROM toks),
+        counts AS (SELECT conv_id, turn, count(*) AS n_words, count(*) FILTER (old) AS n_seen FROM seen GROUP BY ALL),
+        turns AS (SELECT conv_id, turn FROM conversations),
+        names AS (SELECT DISTINCT conv_id, turn, lower(unnest(regexp_extract_all(text, '\p{Lu}\p{L}+'))) AS e FROM conversations),
+        scores AS (SELECT t.conv_id, t.turn, n.e, sum(pow(0.5, t.turn - n.turn)) AS s FROM turns t JOIN names n ON n.conv_id = t.conv_id AND n.turn <= t.turn GROUP BY ALL),
+        best AS (SELECT conv_id, turn, e, s, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(s, 9) DESC, e DESC) AS r FROM scores)
+        SELECT t.conv_id, t.turn, coalesce(n_words, 0) AS n_words, coalesce(n_seen, 0) AS n_seen, b.e AS entity, round(coalesce(b.s, 0.0), 6) AS salience, false AS late, false AS reset
+        FROM turns t LEFT JOIN counts c ON c.conv_id = t.conv_id AND c.turn = t.turn LEFT JOIN best b ON b.conv_id = t.conv_id AND b.turn = t.turn AND b.r = 1""",
 }

@@ -11,6 +11,7 @@ from glossa.functions.similarity import code_similarity
 from glossa.operators import dependency, structure
 from glossa.operators.frames import top_k
 from glossa.plans.session import table
+from glossa.sources import kv
 
 
 def feature_dnf_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,19 +40,22 @@ def run_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interval_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event as the span from it to the second next of its user; neighbours are classified."""
+    """Spans of one to four events of a user, each with the three that begin next, by user."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    spans = table(spark, sf_dir, "events").withColumn("till", F.lead("ts", 2).over(w))
-    near = spans.withColumns({"b1": F.lead("ts").over(w), "b2": F.lead("till").over(w)}).where("till IS NOT NULL AND b2 IS NOT NULL")
-    return near.withColumn("relation", dependency.interval_relation(F.col("ts"), F.col("till"), F.col("b1"), F.col("b2"))).groupBy("relation").agg(F.count("*").alias("n"))
+    ends = F.element_at(F.array(*[F.lead("ts", k).over(w) for k in (1, 2, 3, 4)]), (F.col("event_id") % 4 + 1).cast("int"))
+    spans = table(spark, sf_dir, "events").withColumn("till", ends)
+    near = F.array(*[F.struct(F.lead("ts", k).over(w).alias("b1"), F.lead("till", k).over(w).alias("b2")) for k in (1, 2, 3)])
+    pairs = spans.withColumn("near", near).select("user_id", "ts", "till", F.inline_outer("near")).where("till IS NOT NULL AND b2 IS NOT NULL")
+    relation = dependency.interval_relation(F.col("ts"), F.col("till"), F.col("b1"), F.col("b2"))
+    return pairs.groupBy("user_id", relation.alias("relation")).agg(F.count("*").alias("n"))
 
 
 def prefix_code_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = table(spark, sf_dir, "part").select("p_brand", "p_type").distinct()
-    code = kinds.select(F.concat_ws(" ", "p_type", "p_brand").alias("code"), F.array_append(F.split("p_type", " "), F.col("p_brand")).alias("path"), F.element_at(F.split("p_type", " "), 1).alias("top"))
-    a, b = code.alias("a"), code.alias("b")
-    pairs = a.join(b, (F.col("a.top") == F.col("b.top")) & (F.col("a.code") < F.col("b.code")))  # other pairs share no prefix
-    return pairs.select(F.round(code_similarity(F.col("a.path"), F.col("b.path")), 6).alias("similarity")).groupBy("similarity").agg(F.count("*").alias("n"))
+    """A customer's orders in turn, by their date as a path of year, month and day."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    path = F.split(F.col("o_orderdate").cast("date").cast("string"), "-")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", path.alias("path")).withColumn("before", F.lag("path").over(w)).where("before IS NOT NULL")
+    return orders.select("o_orderkey", F.round(code_similarity(F.col("before"), F.col("path")), 6).alias("similarity"))
 
 
 def case_prob_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,22 +90,32 @@ def topk_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(q, ["l_suppkey"], [F.desc("quantity"), F.col("l_partkey")], 5).select("l_suppkey", "l_partkey", "quantity", F.col("rank").cast("long").alias("rank"))
 
 
-def _merged(spark: SparkSession, sf_dir: str):
-    flag = F.expr("shiftleft(1L, int(substring(o_orderpriority, 1, 1)))")
-    return table(spark, sf_dir, "orders").withColumn("flag", flag).groupBy("o_custkey")
+def _urgencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, value): for each order of a customer a vector of five places, 1 at its priority."""
+    at = F.substring("o_orderpriority", 1, 1).cast("int")
+    vector = F.concat(F.repeat(F.lit("0"), at - 1), F.lit("1"), F.repeat(F.lit("0"), 5 - at))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), vector.alias("value"))
 
 
 def kv_merge_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
-    return _merged(spark, sf_dir).agg(F.array_join(F.transform(own, lambda x: x["o_orderstatus"]), "/").alias("value"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("value"), "o_orderkey")
+    return kv.bulk_load(rows, "append", "o_orderkey")
 
 
 def kv_merge_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir).agg(F.bit_or("flag").alias("value"))
+    return kv.bulk_load(_urgencies(spark, sf_dir), "or")
 
 
 def kv_merge_and(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir).agg(F.bit_and("flag").alias("value"))
+    return kv.bulk_load(_urgencies(spark, sf_dir), "and")
+
+
+def kv_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last status of each order's customer, by a table of one row for each key."""
+    orders = table(spark, sf_dir, "orders")
+    known = kv.bulk_load(orders.where("o_totalprice > 100000").select(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("value"), "o_orderkey"), "last", "o_orderkey")
+    found = kv.look_up(orders.select("o_orderkey", F.col("o_custkey").alias("key")), known)
+    return found.groupBy("key", "value").agg(F.count("*").alias("n"))
 
 
 def reference_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,10 +131,17 @@ QUERIES = {
     f.__name__: f
     for f in (
         feature_dnf_filter, rule_first_match, feature_propagate, run_merge, interval_relations, prefix_code_similarity, case_prob_interp, example_prob_floor,
-        event_backoff, topk_frames, kv_merge_append, kv_merge_or, kv_merge_and, reference_decay,
+        event_backoff, topk_frames, kv_merge_append, kv_merge_or, kv_merge_and, kv_lookup, reference_decay,
     )
 }
 
+
+
+def _bits(fold: str) -> str:
+    place = " || ".join(f"CAST({fold}(CASE WHEN o_orderpriority LIKE '{i}%' THEN 1 ELSE 0 END) AS VARCHAR)" for i in range(1, 6))
+    return f"SELECT o_custkey AS key, {place} AS value FROM orders GROUP BY o_custkey"
+
+
 ORACLES = {
     "feature_dnf_filter": """
         SELECT p_partkey, p_brand AS brand, concat('brand:', p_brand, ',size:0,', CASE WHEN p_retailprice > 1200 THEN 'dear' ELSE 'cheap' END) AS features
@@ -137,18 +158,23 @@ ORACLES = {
         runs AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS run FROM marked)
         SELECT user_id, run, count(*) AS n, min(event_id) AS least_event, min(event_type) AS event_type FROM runs GROUP BY user_id, run""",
     "interval_relations": """
-        WITH a AS (SELECT *, lead(ts, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS till FROM events),
-        b AS (SELECT *, lead(ts) OVER w AS b1, lead(till) OVER w AS b2 FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-        SELECT CASE WHEN till < b1 THEN 'before' WHEN till = b1 THEN 'meets' WHEN ts = b1 AND till = b2 THEN 'equal' WHEN ts = b1 THEN 'starts' WHEN till = b2 THEN 'ends'
+        WITH a AS (
+            SELECT *, CASE event_id % 4 WHEN 0 THEN lead(ts, 1) OVER w WHEN 1 THEN lead(ts, 2) OVER w WHEN 2 THEN lead(ts, 3) OVER w ELSE lead(ts, 4) OVER w END AS till
+            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+        ),
+        b AS (
+            SELECT user_id, ts, till, unnest([lead(ts, 1) OVER w, lead(ts, 2) OVER w, lead(ts, 3) OVER w]) AS b1, unnest([lead(till, 1) OVER w, lead(till, 2) OVER w, lead(till, 3) OVER w]) AS b2
+            FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+        )
+        SELECT user_id, CASE WHEN till < b1 THEN 'before' WHEN till = b1 THEN 'meets' WHEN ts = b1 AND till = b2 THEN 'equal' WHEN ts = b1 THEN 'starts' WHEN till = b2 THEN 'ends'
             WHEN ts < b1 AND till > b2 THEN 'contains' WHEN ts > b1 AND till < b2 THEN 'inside' WHEN ts < b1 AND till < b2 THEN 'overlaps' ELSE 'after' END AS relation, count(*) AS n
         FROM b WHERE till IS NOT NULL AND b2 IS NOT NULL GROUP BY ALL""",
     "prefix_code_similarity": """
-        WITH codes AS (SELECT DISTINCT p_type || ' ' || p_brand AS code, list_append(string_split(p_type, ' '), p_brand) AS path FROM part),
-        pairs AS (
-            SELECT a.path AS x, b.path AS y, coalesce(list_max(list_filter(range(1, least(len(a.path), len(b.path)) + 1), lambda i: a.path[1:i] = b.path[1:i])), 0) AS c
-            FROM codes a JOIN codes b ON a.code < b.code AND a.path[1] = b.path[1]
+        WITH o AS (
+            SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, lag(CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders
         )
-        SELECT round(2.0 * c / (len(x) + len(y)), 6)::DOUBLE AS similarity, count(*) AS n FROM pairs GROUP BY ALL""",
+        SELECT o_orderkey, round(CASE WHEN d = p THEN 1 WHEN substr(d, 1, 7) = substr(p, 1, 7) THEN 2 / 3 WHEN substr(d, 1, 4) = substr(p, 1, 4) THEN 1 / 3 ELSE 0 END, 6)::DOUBLE AS similarity
+        FROM o WHERE p IS NOT NULL""",
     "case_prob_interp": """
         WITH j AS (SELECT l_partkey, p_brand, l_returnflag = 'R' AS r FROM lineitem JOIN part ON p_partkey = l_partkey),
         a AS (SELECT l_partkey, p_brand, count(*) AS d, count(*) FILTER (r) AS k FROM j GROUP BY ALL),
@@ -170,9 +196,12 @@ ORACLES = {
         WITH q AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY quantity DESC, l_partkey) AS rank FROM q)
         SELECT l_suppkey, l_partkey, quantity, rank FROM r WHERE rank <= 5""",
-    "kv_merge_append": "SELECT o_custkey, string_agg(o_orderstatus, '/' ORDER BY o_orderkey, o_orderstatus) AS value FROM orders GROUP BY o_custkey",
-    "kv_merge_or": "SELECT o_custkey, bit_or(CAST(1 AS BIGINT) << CAST(substr(o_orderpriority, 1, 1) AS BIGINT)) AS value FROM orders GROUP BY o_custkey",
-    "kv_merge_and": "SELECT o_custkey, bit_and(CAST(1 AS BIGINT) << CAST(substr(o_orderpriority, 1, 1) AS BIGINT)) AS value FROM orders GROUP BY o_custkey",
+    "kv_merge_append": "SELECT o_custkey AS key, string_agg(o_orderstatus, '/' ORDER BY o_orderkey, o_orderstatus) AS value FROM orders GROUP BY o_custkey",
+    "kv_merge_or": _bits("max"),
+    "kv_merge_and": _bits("min"),
+    "kv_lookup": """
+        WITH t AS (SELECT o_custkey AS key, arg_max(o_orderstatus, o_orderkey) AS value FROM orders WHERE o_totalprice > 100000 GROUP BY o_custkey)
+        SELECT o_custkey AS key, value, count(*) AS n FROM orders LEFT JOIN t ON t.key = o_custkey GROUP BY ALL""",
     "reference_decay": """
         WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events)
         SELECT a.event_id, round(sum(pow(0.5, a.step - b.step)), 6) AS "references"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossa.functions import chars
+from glossa.functions.similarity import set_pairs
 from glossa.operators import dependency, structure
 from glossa.operators.structure import is_function, sentences, tokens
 from glossa.plans.session import table
@@ -71,9 +73,13 @@ def _reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.phrases(sentences(_documents(spark, sf_dir)), barrier=lambda last: last.endswith(","))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("g_n_tok") > 1, "D").when(F.col("n_tok") == F.col("g_n_tok"), "P")
-    return dependency.candidates(_reaching(spark, sf_dir), kind)
+def _reaching_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.phrase_arrays(sentences(_documents(spark, sf_dir)), barrier=lambda last: last.endswith(","))
+
+
+def _kind(p: Column, g: Column) -> Column:
+    """Phrases of several tokens govern all, others their equals."""
+    return F.when(g["n_tok"] > 1, "D").when(p["n_tok"] == g["n_tok"], "P")
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -81,17 +87,14 @@ def _long(df: DataFrame) -> DataFrame:
 
 
 def char_class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    only = lambda pattern: F.sum(F.length(F.regexp_replace("text", pattern, "")))
-    return _documents(spark, sf_dir).groupBy("lang").agg(
-        only(r"[^\p{Lu}]").alias("upper"), only(r"[^\p{Ll}]").alias("lower"), only(r"[^\p{N}]").alias("digit"),
-        only(r"[^\p{P}\p{S}]").alias("symbol"), F.sum(F.length("text")).alias("all_chars"),
-    )
+    counts = [F.sum(chars.count_of(F.col("text"), kind)).cast("long").alias(kind) for kind in chars.KINDS]
+    return _documents(spark, sf_dir).groupBy("lang", "source").agg(*counts, F.sum(F.length("text")).alias("all_chars"))
 
 
 def unknown_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+|\p{N}+|[^\p{L}\p{N} \n\r\t]"), F.lit(0)))
-    kind = F.when(F.col("run").rlike(r"^\p{L}"), "letter").when(F.col("run").rlike(r"^\p{N}"), "digit").otherwise("symbol")
-    runs = _documents(spark, sf_dir).select("lang", run.alias("run")).select("lang", kind.alias("kind"), F.length("run").cast("long").alias("n_chars"))
+    from glossa.operators.lattice import run_kind, unknown_runs
+
+    runs = _documents(spark, sf_dir).select("lang", F.explode(unknown_runs(F.col("text"))).alias("run")).select("lang", run_kind(F.col("run")).alias("kind"), F.length("run").cast("long").alias("n_chars"))
     return runs.groupBy("lang", "kind", "n_chars").agg(F.count("*").alias("n"))
 
 
@@ -100,11 +103,11 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repetition_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glossa.operators.lattice import is_repetition
+
     tok = sentences(_documents(spark, sf_dir)).select(F.explode(tokens(F.lower("sentence"))).alias("tok"))
-    bare = tok.select(F.regexp_replace("tok", r"[^\p{L}]", "").alias("tok")).where(F.length("tok").isin(4, 6, 8))
-    half = (F.length("tok") / 2).cast("int")
-    same = F.col("tok").substr(F.lit(1), half) == F.col("tok").substr(half + 1, half)
-    return bare.where(same).groupBy("tok").agg(F.count("*").alias("n"))
+    bare = tok.select(F.regexp_replace("tok", r"[^\p{L}]", "").alias("tok"))
+    return bare.where(is_repetition(F.col("tok"))).groupBy("tok").agg(F.count("*").alias("n"))
 
 
 def numeral_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,20 +124,25 @@ def bracket_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paren_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inner = F.regexp_extract_all("html", F.lit("<([^<>]*)>"), F.lit(1))
-    found = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "<[^<>]*>", "").alias("main"), inner.alias("parts"))
-    return _long(
-        found.select("page_id", F.length("main").alias("main_chars"), F.size("parts").alias("n_parts"), F.length(F.array_join("parts", "")).alias("part_chars"))
-    )
+    parts = structure.split_brackets(table(spark, sf_dir, "pages"), "page_id", "html", "<", ">")
+    per = parts.groupBy("page_id").agg(
+        F.max(F.when(F.col("part_no") == 0, F.length("part"))).alias("main_chars"), (F.count("*") - 1).alias("n_parts"), F.sum(F.when(F.col("part_no") > 0, F.length("part")).otherwise(0)).alias("part_chars")
+    )
+    return _long(per)
 
 
 def homograph_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spellings of a word as alternatives, most frequent first: its base form is preferred where it is one of them."""
+    from glossa.operators.rules import choose_homographs, parse_pattern
+
     toks = sentences(_documents(spark, sf_dir)).select(F.explode(tokens(F.col("sentence"))).alias("surface"))
     counts = toks.groupBy("surface").agg(F.count("*").alias("n")).withColumn("lemma", F.lower("surface"))
-    rule = F.when(F.col("surface") == F.col("lemma"), 0).otherwise(1)
-    best = Window.partitionBy("lemma").orderBy(rule, F.desc("n"), "surface")
-    kept = counts.withColumn("rank", F.row_number().over(best)).withColumn("variants", F.count("*").over(Window.partitionBy("lemma")))
-    return kept.where("rank = 1").select("lemma", "surface", "n", "variants")
+    pos = F.when(F.col("surface") == F.col("lemma"), "base").otherwise("variant")
+    row = F.struct((-F.col("n")).alias("order"), "surface", "lemma", pos.alias("pos"))
+    groups = counts.groupBy("lemma").agg(F.array_sort(F.collect_list(row)).alias("alternatives"))  # as many as a word has spellings
+    found = choose_homographs(groups, [parse_pattern("[pos=base] [pos=variant]")], ["lemma"])
+    best = F.get("alternatives", F.col("chosen"))
+    return found.select("lemma", best["surface"].alias("surface"), (-best["order"]).alias("n"), F.size("alternatives").cast("long").alias("variants"))
 
 
 def chunk_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +154,8 @@ def head_of_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dpnd_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.sum(F.col("governor") - F.col("dependent")).alias("distance"))
+    counts = _reaching_arrays(spark, sf_dir).select("doc_id", F.inline_outer(dependency.count_candidates("ps", _kind, ("D", "P"))))
+    return counts.groupBy("doc_id", "type").agg(F.sum("n").alias("n"), F.sum("distance").alias("distance")).where("n > 0")
 
 
 def barrier_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,13 +163,15 @@ def barrier_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relax_last_possible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dependency.relax(_phrases(spark, sf_dir), _candidates(spark, sf_dir))
-    return _long(found.select("doc_id", "sent_no", "dependent", "governor"))
+    found = dependency.relaxed_governors("ps", _kind, lambda g: g["last"].rlike(r"[)\]}»\"]$"))
+    return _long(dependency.links(_reaching_arrays(spark, sf_dir), found, ["doc_id", "sent_no"]))
 
 
 def default_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = dependency.default_heads(_candidates(spark, sf_dir), 2)
-    return heads.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("governor") - F.col("dependent")).alias("distance"))
+    heads = _reaching_arrays(spark, sf_dir).select("doc_id", dependency.default_governors("ps", _kind, 2).alias("gs"))
+    zero = F.lit(0).cast("long")
+    n, distance = F.size(F.filter("gs", lambda g: g.isNotNull())), F.aggregate(F.transform("gs", lambda g, i: F.coalesce(g - i, F.lit(0))), zero, lambda a, d: a + d)
+    return heads.select("doc_id", n.cast("long").alias("n"), distance.alias("distance")).groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("distance").alias("distance")).where("n > 0")
 
 
 def correlative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,25 +181,19 @@ def correlative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def set_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources by the words they use; the sets are counted by joins on the word, so none is gathered."""
-    words = sentences(_documents(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit("?"))), "source").select("source", F.explode(tokens(F.lower("sentence"))).alias("w")).distinct()
-    size = words.groupBy("source").agg(F.count("*").alias("n"))
-    a, b = words.alias("a"), words.alias("b")
-    both = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.source") < F.col("b.source"))).groupBy(F.col("a.source").alias("s1"), F.col("b.source").alias("s2")).agg(F.count("*").alias("common"))
-    sized = both.join(size.select(F.col("source").alias("s1"), F.col("n").alias("n1")), "s1").join(size.select(F.col("source").alias("s2"), F.col("n").alias("n2")), "s2")
-    mean = (F.col("common") / (F.col("n1") + F.col("n2") - F.col("common")) + F.col("common") / F.least("n1", "n2")) / 2
-    return sized.where("common >= 3").select("s1", "s2", "common", F.round(mean, 6).alias("similarity"))
+    """Sources by the words they use."""
+    words = sentences(_documents(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit("?"))), "source").select("source", F.explode(tokens(F.lower("sentence"))).alias("w"))
+    return set_pairs(words, "source", "w").withColumn("similarity", F.round("similarity", 6))
 
 
 def noun_verb_mi_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = sentences(_documents(spark, sf_dir)).select(tokens(F.lower("sentence")).alias("ts"))
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ts") - 1, F.lit(1))), lambda i: F.struct(F.get("ts", i - 1).alias("w1"), F.get("ts", i).alias("w2"))))
     counts = ts.where(F.size("ts") > 1).select(pair.alias("p")).groupBy("p.w1", "p.w2").agg(F.count("*").alias("n")).where("n >= 5")
-    left = counts.groupBy("w1").agg(F.sum("n").alias("n1"))
-    right = counts.groupBy("w2").agg(F.sum("n").alias("n2"))
     total = counts.agg(F.sum("n").alias("total"))
+    sums = counts.withColumn("n2", F.sum("n").over(Window.partitionBy("w2"))).withColumn("n1", F.sum("n").over(Window.partitionBy("w1")))
     mi = F.round(F.log(F.col("n") * F.col("total") / F.col("n1") / F.col("n2")), 6)
-    scored = counts.join(left, "w1").join(right, "w2").join(F.broadcast(total)).withColumn("mi", mi)
+    scored = sums.join(F.broadcast(total)).withColumn("mi", mi)  # one row
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("w1").orderBy(F.desc("mi"), "w2")).cast("long")).where("rank <= 3").select("w1", "w2", "n", "mi", "rank")
 
 
@@ -201,10 +206,15 @@ def ne_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumns(at).groupBy("l2", "l1", "shape", "r1", "r2").agg(F.count("*").alias("n"))
 
 
+SYNONYMS = [("ing", "ed"), ("ung", "en"), ("tion", "ment"), ("s", "d"), ("la", "re")]
+
+
 def synonym_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = sentences(_documents(spark, sf_dir)).select(F.explode(tokens(F.lower("sentence"))).alias("w")).select(F.regexp_replace("w", r"[^\p{L}]", "").alias("w")).where(F.length("w") > 3).distinct()
-    stem = F.regexp_replace("w", "(?:tion|ment|ung|ing|ly|es|s)$", "")
-    return words.withColumn("stem", stem).groupBy("stem").agg(F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most")).where("n > 1")
+    """Pairs of words that differ in a pair of endings, wherever these stand."""
+    from glossa.operators.discourse import synonym_pairs
+
+    words = sentences(_documents(spark, sf_dir)).select(F.explode(tokens(F.lower("sentence"))).alias("w")).select(F.regexp_replace("w", r"[^\p{L}]", "").alias("word")).where(F.length("word") > 4)
+    return synonym_pairs(words, spark.createDataFrame(SYNONYMS, "x string, y string"))
 
 
 def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,10 +232,14 @@ def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ne_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(tokens(F.lower("text")))).alias("w"))
-    first = F.min("turn").over(Window.partitionBy("conv_id", "w"))
-    seen = toks.withColumn("old", first < F.col("turn"))
-    return seen.groupBy("conv_id", "turn").agg(F.count("*").alias("n_words"), F.count_if("old").alias("n_seen"))
+    """Words of a turn, and how many of them were names in an earlier turn of the conversation."""
+    from glossa.operators.entities import cached_label
+
+    toks = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(tokens(F.col("text"))).alias("tok"))
+    label = F.when(F.max(F.col("tok").rlike(r"^\p{Lu}")), "NAME").otherwise("OTHER")
+    terms = toks.groupBy("conv_id", "turn", F.lower("tok").alias("term")).agg(label.alias("label"))
+    seen = cached_label(terms, "conv_id", "turn", "term", "label")
+    return seen.groupBy("conv_id", "turn").agg(F.count("*").alias("n_words"), F.count("cached").alias("n_cached"))
 
 
 def coref_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,13 +285,13 @@ MENTIONS = r"""
 
 ORACLES = {
     "char_class_profile": r"""
-        SELECT lang, CAST(sum(length(regexp_replace(text, '[^\p{Lu}]', '', 'g'))) AS BIGINT) AS upper, CAST(sum(length(regexp_replace(text, '[^\p{Ll}]', '', 'g'))) AS BIGINT) AS lower,
+        SELECT lang, source, CAST(sum(length(regexp_replace(text, '[^\p{Lu}]', '', 'g'))) AS BIGINT) AS upper, CAST(sum(length(regexp_replace(text, '[^\p{Ll}]', '', 'g'))) AS BIGINT) AS lower,
             CAST(sum(length(regexp_replace(text, '[^\p{N}]', '', 'g'))) AS BIGINT) AS digit, CAST(sum(length(regexp_replace(text, '[^\p{P}\p{S}]', '', 'g'))) AS BIGINT) AS symbol,
             CAST(sum(length(text)) AS BIGINT) AS all_chars
-        FROM documents GROUP BY lang""",
+        FROM documents GROUP BY lang, source""",
     "unknown_word_runs": r"""
-        WITH runs AS (SELECT lang, unnest(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\p{L}\p{N} \n\r\t]')) AS run FROM documents)
-        SELECT lang, CASE WHEN regexp_matches(run, '^\p{L}') THEN 'letter' WHEN regexp_matches(run, '^\p{N}') THEN 'digit' ELSE 'symbol' END AS kind,
+        WITH runs AS (SELECT lang, unnest(regexp_extract_all(text, '[\x{30A0}-\x{30FF}]+|\p{Nd}+|\p{L}[.\p{L}]*|(?s:.)')) AS run FROM documents)
+        SELECT lang, CASE WHEN regexp_matches(run, '^ ') THEN 'space' WHEN regexp_matches(run, '^\p{Nd}') THEN 'digit' WHEN regexp_matches(run, '^\p{L}') THEN 'letter' ELSE 'symbol' END AS kind,
             CAST(length(run) AS BIGINT) AS n_chars, count(*) AS n
         FROM runs GROUP BY ALL""",
     "sentence_split": f"WITH {SENTENCES} SELECT doc_id, CAST(sent_no AS BIGINT) AS sent_no, sentence FROM sentences",
@@ -285,7 +299,7 @@ ORACLES = {
         WITH {SENTENCES},
         bare AS (SELECT regexp_replace(unnest(regexp_extract_all(lower(sentence), '[^ \t\r\n]+')), '[^\p{{L}}]', '', 'g') AS tok FROM sentences)
         SELECT tok, count(*) AS n FROM bare
-        WHERE length(tok) IN (4, 6, 8) AND substr(tok, 1, length(tok) // 2) = substr(tok, length(tok) // 2 + 1) GROUP BY tok""",
+        WHERE length(tok) IN (4, 6, 8) AND substr(tok, 1, length(tok) // 2) = substr(tok, length(tok) // 2 + 1) AND tok <> repeat(substr(tok, 1, 1), length(tok)) GROUP BY tok""",
     "numeral_merge": r"""
         WITH lists AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\r\n]+') AS ts FROM documents),
         toks AS (SELECT doc_id, unnest(ts) AS tok, generate_subscripts(ts, 1) - 1 AS tok_no FROM lists),
@@ -300,9 +314,20 @@ ORACLES = {
         SELECT page_id, CAST(greatest(max(d), 0) AS BIGINT) AS deepest, CAST(arg_max(d, i) AS BIGINT) AS ends, CAST(least(min(d), 0) AS BIGINT) AS lowest
         FROM sums GROUP BY page_id""",
     "paren_split": r"""
-        SELECT page_id, CAST(length(regexp_replace(html, '<[^<>]*>', '', 'g')) AS BIGINT) AS main_chars, CAST(len(regexp_extract_all(html, '<([^<>]*)>', 1)) AS BIGINT) AS n_parts,
-            CAST(length(array_to_string(regexp_extract_all(html, '<([^<>]*)>', 1), '')) AS BIGINT) AS part_chars
-        FROM pages""",
+        WITH lists AS (SELECT page_id, string_split(html, '') AS cs FROM pages),
+        chars AS (SELECT page_id, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM lists),
+        sums AS (SELECT *, sum(CASE c WHEN '<' THEN 1 WHEN '>' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM chars),
+        lows AS (SELECT *, least(0, min(s) OVER (PARTITION BY page_id ORDER BY i)) AS low FROM sums),
+        depths AS (SELECT *, s - low AS depth, low < coalesce(lag(low) OVER (PARTITION BY page_id ORDER BY i), 0) AS loose FROM lows),
+        told AS (
+            SELECT *, coalesce(lag(depth) OVER (PARTITION BY page_id ORDER BY i), 0) AS before FROM depths
+        ),
+        kinds AS (
+            SELECT *, c = '<' AND before = 0 AS opens, c = '>' AND depth = 0 AND NOT loose AS closes FROM told
+        )
+        SELECT page_id, count(*) FILTER (loose OR (before = 0 AND NOT opens)) AS main_chars,
+            count(*) FILTER (opens) AS n_parts, count(*) FILTER (before > 0 AND NOT closes) AS part_chars
+        FROM kinds GROUP BY page_id""",
     "homograph_choice": f"""
         WITH {TOKENS}, counts AS (SELECT tok AS surface, lower(tok) AS lemma, count(*) AS n FROM tokens GROUP BY tok),
         ranked AS (
@@ -315,10 +340,11 @@ ORACLES = {
     "dpnd_candidates": f"WITH {REACH} SELECT doc_id, type, count(*) AS n, CAST(sum(governor - dependent) AS BIGINT) AS distance FROM candidates GROUP BY ALL",
     "barrier_prune": f"""
         WITH {REACH} SELECT doc_id, CAST(sent_no AS BIGINT) AS sent_no, CAST(sum(reach - phrase_no) AS BIGINT) AS allowed, count(*) AS n FROM reaching GROUP BY doc_id, sent_no""",
-    "relax_last_possible": f"""
-        WITH {REACH}, ends AS (SELECT doc_id, sent_no, max(phrase_no) AS governor FROM phrases GROUP BY ALL)
-        SELECT p.doc_id, CAST(p.sent_no AS BIGINT) AS sent_no, p.phrase_no AS dependent, e.governor FROM phrases p JOIN ends e USING (doc_id, sent_no)
-        WHERE p.phrase_no < e.governor
+    "relax_last_possible": rf"""
+        WITH {REACH}, ends AS (SELECT doc_id, sent_no, max(phrase_no) AS e FROM phrases GROUP BY ALL)
+        SELECT p.doc_id, CAST(p.sent_no AS BIGINT) AS sent_no, p.phrase_no AS dependent, p.reach AS governor
+        FROM reaching p JOIN ends e USING (doc_id, sent_no) JOIN phrases g ON g.doc_id = p.doc_id AND g.sent_no = p.sent_no AND g.phrase_no = p.reach
+        WHERE p.phrase_no < p.reach AND (p.reach = e.e OR regexp_matches(g.last, '[)\]}}»"]$'))
             AND NOT EXISTS (SELECT 1 FROM candidates c WHERE c.doc_id = p.doc_id AND c.sent_no = p.sent_no AND c.dependent = p.phrase_no)""",
     "default_position": f"""
         WITH {REACH}, ranked AS (
@@ -358,9 +384,12 @@ ORACLES = {
         SELECT l2, l1, shape, r1, r2, count(*) AS n FROM around GROUP BY ALL""",
     "synonym_strip": rf"""
         WITH {SENTENCES}, words AS (
-            SELECT DISTINCT regexp_replace(w, '[^\p{{L}}]', '', 'g') AS w FROM (SELECT unnest(regexp_extract_all(lower(sentence), '[^ \t\r\n]+')) AS w FROM sentences)
-        )
-        SELECT regexp_replace(w, '(?:tion|ment|ung|ing|ly|es|s)$', '') AS stem, count(*) AS n, min(w) AS least, max(w) AS most FROM words WHERE length(w) > 3 GROUP BY 1 HAVING count(*) > 1""",
+            SELECT DISTINCT w FROM (SELECT regexp_replace(unnest(regexp_extract_all(lower(sentence), '[^ \t\r\n]+')), '[^\p{{L}}]', '', 'g') AS w FROM sentences) WHERE length(w) > 4
+        ),
+        syn AS (SELECT unnest(['ing', 'ung', 'tion', 's', 'la']) AS x, unnest(['ed', 'en', 'ment', 'd', 're']) AS y),
+        places AS (SELECT w, x, y, unnest(range(1, length(w) - length(x) + 2)) AS i FROM words, syn WHERE length(w) >= length(x)),
+        made AS (SELECT w AS a, substr(w, 1, i - 1) || y || substr(w, i + length(x)) AS b FROM places WHERE substr(w, i, length(x)) = x)
+        SELECT DISTINCT a, b FROM made JOIN words ON words.w = made.b""",
     "tree_depth": f"""
         WITH RECURSIVE {REACH}, ends AS (SELECT doc_id, sent_no, max(phrase_no) AS e FROM phrases GROUP BY ALL),
         links AS (SELECT p.doc_id, p.sent_no, p.phrase_no, p.reach AS head, e.e FROM reaching p JOIN ends e USING (doc_id, sent_no)),
@@ -373,9 +402,10 @@ ORACLES = {
         depths AS (SELECT doc_id, sent_no, phrase_no, max(depth) AS depth FROM walk GROUP BY ALL)
         SELECT doc_id, CAST(sent_no AS BIGINT) AS sent_no, CAST(max(depth) AS BIGINT) AS deepest, CAST(sum(depth) AS BIGINT) AS total FROM depths GROUP BY doc_id, sent_no""",
     "ne_cache": r"""
-        WITH toks AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[^ \t\r\n]+')) AS w FROM conversations),
-        seen AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, w) < turn AS old FROM toks)
-        SELECT conv_id, turn, count(*) AS n_words, count(*) FILTER (old) AS n_seen FROM seen GROUP BY ALL""",
+        WITH toks AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[^ \t\r\n]+')) AS tok FROM conversations),
+        terms AS (SELECT conv_id, turn, lower(tok) AS term, bool_or(regexp_matches(tok, '^\p{Lu}')) AS name FROM toks GROUP BY ALL),
+        seen AS (SELECT *, min(CASE WHEN name THEN turn END) OVER (PARTITION BY conv_id, term) < turn AS cached FROM terms)
+        SELECT conv_id, turn, count(*) AS n_words, count(*) FILTER (cached) AS n_cached FROM seen GROUP BY ALL""",
     "coref_nearest": f"""
         WITH {MENTIONS}, linked AS (SELECT *, turn - lag(turn) OVER (PARTITION BY conv_id, entity ORDER BY turn) AS distance FROM mentions)
         SELECT conv_id, turn, count(*) AS n, CAST(sum(distance) AS BIGINT) AS distance FROM linked WHERE distance <= 20 GROUP BY ALL""",

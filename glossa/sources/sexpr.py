@@ -63,11 +63,59 @@ def connections(text: str) -> list[tuple[list[int], list[int], float]]:
     return [([int(x) for x in left], [int(x) for x in right], float(cost)) for left, right, cost in read(text)]
 
 
+def _part(x: Tree):
+    """A pattern from its notation, several joined; ? stands for None."""
+    from glossa.operators.rules import parse_pattern
+
+    return None if x == "?" else parse_pattern(" ".join(x) if isinstance(x, list) else x)
+
+
 def rules(text: str):
-    """Rules from ((left) (self) (right) (actions)) entries of pattern notations and actions; ? stands for None."""
-    from glossa.operators.rules import Rule, parse_pattern
+    """General rules from ((left) (self) (right) (actions)) entries of pattern notations and actions."""
+    from glossa.operators.rules import Rule
+
+    return [Rule(tuple(actions), _part(own), _part(left), _part(right)) for left, own, right, actions in read(text)]
+
+
+def morpheme_rules(text: str, by: str = "unit", leave: str = "none"):
+    """A rule set of morphemes from the same entries."""
+    from glossa.operators.rules import RuleSet
+
+    return RuleSet("morpheme", tuple(rules(text)), by, leave)
+
+
+def phrase_rules(text: str, by: str = "unit", leave: str = "none", backwards: bool = False):
+    """A rule set of phrases: each place of a pattern is a pattern on the phrase's own morphemes, in brackets of its own."""
+    from glossa.operators.rules import Pattern, Rule, RuleSet
+
+    def place(x: Tree):
+        if x == "?":
+            return None
+        return tuple(Pattern(parts=_part(y)) if not isinstance(y, str) or not y.startswith("<") else Pattern(features=((y[1:-1],),)) for y in (x if isinstance(x, list) else [x]))
+
+    found = [Rule(tuple(actions), place(own), place(left), place(right)) for left, own, right, actions in read(text)]
+    return RuleSet("phrase", tuple(found), by, leave, backwards)
+
+
+def homograph_rules(text: str):
+    """Rules of alternatives from (pattern pattern ...) entries, the first preferred."""
+    return [tuple(p for x in entry for p in _part(x)) for entry in read(text)]
+
+
+def dependency_rules(text: str) -> list[dict]:
+    """Rows (dependent, governors, barrier, preference) from ((dependent) ((governor type) ...) (barrier) preference) entries.
+
+    Patterns stay notations, of one place each; governors are pairs of notation and type, a missing barrier is None, the
+    preference is -1 for the farthest governor.
+    """
+    one = lambda x: " ".join(x) if isinstance(x, list) else x
+    return [
+        {"dependent": one(own), "governors": [(one(g[:-1]), g[-1]) for g in governors], "barrier": one(barrier) if barrier not in ("?", []) else None, "preference": int(preference)}
+        for own, governors, barrier, preference in read(text)
+    ]
 
-    def part(x: Tree):
-        return None if x == "?" else parse_pattern(" ".join(x) if isinstance(x, list) else x)
 
-    return [Rule(tuple(actions), part(own), part(left), part(right)) for left, own, right, actions in read(text)]
+def correlation_rules(text: str) -> list[dict]:
+    """Rows (start, end, governor) from ((start) (end) [(governor)]) entries of notations."""
+    one = lambda x: " ".join(x) if isinstance(x, list) else x
+    return [{"start": one(e[0]), "end": one(e[1]), "governor": one(e[2]) if len(e) > 2 else None} for e in read(text)]

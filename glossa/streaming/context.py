@@ -16,7 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WORD = re.compile(r"[^ \t\r\n]+")
-NAME = re.compile(r"[^\W\d_a-z][^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def names(text: str) -> set[str]:
+    """The capitalised words of a text, lower-cased: from the first capital of a run of letters on, two letters at least."""
+    found = set()
+    for run in LETTERS.findall(text):
+        at = next((i for i, c in enumerate(run) if c.isupper()), len(run))
+        if len(run) - at > 1:
+            found.add(run[at:].lower())
+    return found
 
 
 class Context:
@@ -34,11 +44,11 @@ class Context:
         old = sum(w in self.words for w in words)
         gap = order - self.last if self.last is not None else 0
         self.entities = {e: s * base**gap for e, s in self.entities.items()}
-        for name in {n.lower() for n in NAME.findall(text or "")}:
+        for name in names(text or ""):
             self.entities[name] = self.entities.get(name, 0.0) + 1.0
         self.words.update(dict.fromkeys(words, order))
         self.last = order
-        top = max(self.entities.items(), key=lambda x: (x[1], x[0]), default=(None, 0.0))
+        top = max(self.entities.items(), key=lambda x: (round(x[1], 9), x[0]), default=(None, 0.0))
         reset = len(self.words) + len(self.entities) > most
         if reset:
             self.words, self.entities = {}, {}

@@ -265,3 +265,100 @@ def test_frames_of_a_tree():
     assert found == {2: ("eat1", {"ga": "cat", "wo": "fish"})} and score < 0
     clause = [trees.TreeUnit("cat", ("ga",)), trees.TreeUnit("eat", frames=eat), trees.TreeUnit("fish")]
     assert trees.analyse_tree(clause, [1, 2, -1], relative=lambda u: ("ga", "wo"))[1] == {1: ("eat1", {"ga": "cat", "wo": "fish"})}
+
+
+def test_rule_predicates():
+    from glossa.operators.predicates import FUNCTIONS, compare, with_tables
+    from glossa.operators.rules import Unit
+
+    def holds(surface, name, argument="", features=(), attributes=None, parts=()):
+        own = Unit({"surface": surface} | (attributes or {}), list(features), [Unit({"surface": p}) for p in parts])
+        return FUNCTIONS[name]([Unit({"surface": "<"}), own, Unit({"surface": ">", "lemma": "x"})], 1, argument)
+
+    yes = [
+        ("ひらがな", "hiragana"), ("カタカナー", "katakana"), ("漢字々", "kanji"), ("漢字とかな", "kana_or_kanji"), ("123", "digit"), ("abc", "letter"), ("?!", "symbol"), ("漢1", "mixed"),
+        ("a1", "has_letter_or_digit"), ("漢か", "ends_in_hiragana"), ("a", "single"), ("a!", "has_symbol"), ("aか", "has_kana"),
+    ]
+    assert all(holds(*x) for x in yes)
+    assert not any(holds(s, n) for s, n in [("かナ", "hiragana"), ("", "kanji"), ("ab", "single"), ("ab", "mixed"), ("か漢", "ends_in_hiragana"), ("ab", "has_symbol")])
+    assert holds("abcd", "length", "4") and holds("abcd", "length", "lt:5") and not holds("abcd", "length", "gt:4") and holds("a12", "digits", "eq:2") and holds("12.5", "number", "le:12.5")
+    assert holds("walked", "ends_with", "ed") and holds("x", "tail", "b+c", parts="abc") and not holds("x", "tail", "a+c", parts="abc") and holds("x", "parts", "3", parts="abc")
+    assert holds("x", "category", "food", ["category:plant;food"]) and holds("x", "semantic", "time", attributes={"sem": "time;event"}) and holds("x", "time", attributes={"sem": "time"})
+    assert holds("x", "case", "wo", ["cases:ga;wo"]) and holds("x", "level", "B", ["level:C"]) and not holds("x", "level", "B", ["level:A"]) and holds("x", "level", "C")
+    assert holds("x", "voice", "passive", ["voice:causative&passive"]) and holds("x", "feature", "score:ge:3", ["score:3.5"]) and holds("x", "text_at", "-1:<") and not holds("x", "at", "1:f")
+    units = [Unit({"head": "1"}, ["topic"]), Unit({"head": "3"}, ["verb"]), Unit({"head": "1"}, ["topic"]), Unit({"head": "-1"}, ["end"])]
+    f = FUNCTIONS
+    assert f["governor_has"](units, 0, "verb") and f["dependent_has"](units, 1, "topic") and f["dependents_all_have"](units, 1, "topic") and f["no_dependent"](units, 0, "") and not f["no_dependent"](units, 3, "")
+    assert f["within"](units, 0, "1") and not f["within"](units, 1, "1") and f["first"](units, 0, "") and f["last"](units, 3, "") and not f["within"](units, 3, "9")
+    same = [Unit({"lemma": "go", "pos": "V"}), Unit({"lemma": "go", "pos": "N"})]
+    assert f["same_lemma"](same, 0, "1") and not f["same_pos"](same, 0, "1") and not f["same_surface"](same, 0, "1") and not f["same_lemma"](same, 0, "5")
+    more = with_tables({("go", "walk"): 0.7}, {("dog", "bark"): 2}, ["fast"], ["go"])
+    pair = [Unit({"lemma": "walk"}), Unit({"lemma": "go"}), Unit({"lemma": "dog"}), Unit({"lemma": "bark"})]
+    assert more["similar"](pair, 0, "1:0.5") and not more["similar"](pair, 0, "1:0.8") and more["mi_rank"](pair, 2, "1:3") and not more["mi_rank"](pair, 3, "-1:3")
+    assert more["option"](pair, 0, "fast") and more["known"](pair, 1, "") and not more["known"](pair, 0, "")
+    assert compare("9", "lt", "10") and not compare("a9", "lt", "a10")
+
+
+def test_rule_actions_and_sets():
+    from glossa.operators.rules import Pattern, Rule, RuleSet, Tables, act, dispatch
+
+    units = [Unit({"surface": s, "lemma": s}, ["content"]) for s in ("a", "ni-tsuite", "c")]
+    tables = Tables(frozenset(["c"]), {"ni-tsuite": ("ni", 17)})
+    for at, action in [
+        (0, "&case:ga"), (0, "&case:wo"), (0, "&case:ga"), (0, "&uncase:ga"), (1, "&cases:ni;de"), (2, "&case:x"), (2, "&cases:"), (1, "&memo:first"), (2, "&memo:second"), (1, "&particle:"), (1, "&particle_id:"),
+        (0, "&remember:lemma"), (2, "&recall:lemma:seen"), (1, "&function:"), (2, "&known:listed"), (0, "&known:listed"), (2, "&pos:Noun"), (2, "&spread:-2:from-c"),
+    ]:
+        act(units, at, 0, action, tables)
+    assert units[0].value("cases") == "wo" and units[1].value("cases") == "ni;de" and units[2].value("cases") is None and units[0].value("memo") == "first second"
+    assert units[1].value("particle") == "ni" and units[1].value("particle_id") == "17" and units[2].value("seen") == "a" and units[1].has("function") and not units[1].has("content")
+    assert units[2].has("listed") and not units[0].has("listed") and units[2].attributes["pos"] == "Noun" and units[0].has("from-c")
+    mark = lambda f, on: Rule((f,), (Pattern(features=((on,),)),))
+    phrase = [Unit({}, [], [Unit({}, ["m"]), Unit({}, [])])]
+    sets = [RuleSet("second", (mark("c", "b"),)), RuleSet("first", (mark("b", "m"),), level="parts"), RuleSet("first", (Rule(("p",), (Pattern(parts=(Pattern(features=(("b",),)), Pattern())),)),))]
+    dispatch(sets, "first", phrase)
+    assert [u.features for u in phrase[0].parts] == [["m", "b"], []] and phrase[0].features == ["p"]
+    dispatch(sets, "second", phrase)
+    assert phrase[0].features == ["p"]
+
+
+def test_rule_loaders():
+    from glossa.operators.rules import apply
+    from glossa.sources import sexpr
+
+    s = sexpr.morpheme_rules('("" "[pos=N]" ? ("noun"))', by="rule")
+    assert [u.features for u in apply(s.rules, [Unit({"pos": "N"}), Unit({"pos": "V"})])] == [["noun"], []] and s.by == "rule"
+    p = sexpr.phrase_rules('(() ("[pos=N] [pos=P]") ? ("np")) (? ("<np>") ? ("first"))')
+    phrases = [Unit({}, [], [Unit({"pos": x}) for x in xs]) for xs in ("NP", "V", "NP")]
+    assert [u.features for u in apply(p.rules, phrases)] == [["np", "first"], [], ["np"]]
+    h = sexpr.homograph_rules('("[pos=N]" "[pos=V]")')
+    assert rules.choose_homograph([Unit({"pos": "V"}), Unit({"pos": "N"})], h)[0] == 1
+    d = sexpr.dependency_rules('("[case=ga]" (("[pos=V]" D) ("[pos=N]" P)) "[level=C]" -1) ("[x=y]" (("[pos=V]" D)) ? 1)')
+    assert d[0] == {"dependent": "[case=ga]", "governors": [("[pos=V]", "D"), ("[pos=N]", "P")], "barrier": "[level=C]", "preference": -1} and d[1]["barrier"] is None
+    assert sexpr.correlation_rules('("[a=b]" "[c=d]") ("[a=b]" "[c=d]" "[e=f]")')[1]["governor"] == "[e=f]"
+
+
+def test_runs_as_unknown_words_gives_them(spark):
+    from pyspark.sql import functions as F
+
+    from glossa.operators import lattice
+
+    texts = ["abc.d 12カタカナー、ひらが漢字 x1y.", "é?ñ..", "", "a\nb", "ー々〆12"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lattice.unknown_runs(F.col("t")).alias("r")).orderBy("i").collect()
+    for r, t in zip(got, texts, strict=True):
+        want, at = [], 0
+        while at < len(t):
+            want.append(next(iter(lattice.unknown_words(t, at))).surface)
+            at += len(want[-1])
+        assert r["r"] == want
+    words = ["abab", "aaaa", "abcabc", "ab", "aa", "abcdabcd", "abcdeabcde", "aba"]
+    found = spark.createDataFrame([(w,) for w in words], "w string").where(lattice.is_repetition(F.col("w"))).collect()
+    assert sorted(r[0] for r in found) == ["abab", "abcabc", "abcdabcd"]
+
+
+def test_synonym_pairs(spark):
+    from glossa.operators.anaphora import strip_common
+    from glossa.operators.discourse import synonym_pairs
+
+    words, syn = ["walking", "walked", "unwalked", "king", "ked", "goals", "goald", "sings", "edsed"], [("ing", "ed"), ("s", "d")]
+    got = {tuple(r) for r in synonym_pairs(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(syn, "x string, y string")).collect()}
+    assert got == {(a, b) for a in words for b in words if strip_common(a, b) in syn}

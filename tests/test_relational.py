@@ -43,8 +43,6 @@ def test_dependency_masks(spark):
     assert [r["reach"] for r in reach.orderBy("phrase_no").collect()] == [2, 2, 4, 4, 4]
     c = dependency.candidates(reach, F.when(F.col("g_last") != "b", "D"))
     assert [(x[2], x[3]) for x in rows(c, "dependent", "governor")] == [(0, 2), (1, 2), (2, 3), (2, 4), (3, 4)]
-    assert [(x[2], x[3]) for x in rows(dependency.default_heads(c, 2), "dependent")] == [(0, 2), (1, 2), (2, 4), (3, 4)]
-    assert [(x[2], x[3]) for x in rows(dependency.relax(p, pairs_of(spark, (0, 2), (3, 4))), "dependent")] == [(1, 4), (2, 4)]
     quotes = spark.createDataFrame([(1, 0, 1, 3)], "doc_id long, sent_no int, first int, last int")
     every = pairs_of(spark, *[(a, b) for a in range(5) for b in range(a + 1, 5)])
     kept = {(x[2], x[3]) for x in rows(dependency.mask_quotes(every, quotes), "dependent")}
@@ -55,6 +53,29 @@ def test_dependency_masks(spark):
     assert (1, 3) in kept and (1, 2) not in kept and (2, 4) not in kept and (0, 2) not in kept and (0, 1) in kept
 
 
+def test_governors_inside_the_row(spark):
+    rng = __import__("random").Random(3)
+    sents = [[(rng.randrange(3), rng.random() < 0.2) for _ in range(rng.randrange(1, 9))] for _ in range(60)]
+    reach = lambda s, i: next((j for j in range(i + 1, len(s)) if s[j][1]), len(s) - 1)
+    df = spark.createDataFrame([(k, [(n, c, reach(s, i)) for i, (n, c) in enumerate(s)]) for k, s in enumerate(sents)], "k int, ps array<struct<n: int, c: boolean, reach: int>>")
+    kind = lambda p, g: F.when(g["n"] == 2, "D").when(p["n"] == g["n"], "P")
+    fits = lambda s, i, j: "D" if s[j][0] == 2 else "P" if s[i][0] == s[j][0] else None
+    found = df.select(
+        "k", dependency.count_candidates("ps", kind, ("D", "P")).alias("c"), dependency.default_governors("ps", kind, 2).alias("g2"), dependency.default_governors("ps", kind, -1).alias("far"),
+        dependency.relaxed_governors("ps", kind, lambda g: g["c"]).alias("r"), dependency.relaxed_governors("ps", kind, lambda g: F.lit(False)).alias("strict"),
+    )
+    for r in found.collect():
+        s = sents[r["k"]]
+        can = [[j for j in range(i + 1, reach(s, i) + 1) if fits(s, i, j)] for i in range(len(s))]
+        assert r["g2"] == [c[:2][-1] if c else None for c in can] and r["far"] == [c[-1] if c else None for c in can]
+        for t in r["c"]:
+            own = [j - i for i, c in enumerate(can) for j in c if fits(s, i, j) == t["type"]]
+            assert (t["n"], t["distance"]) == (len(own), sum(own))
+        last = [reach(s, i) if not c and reach(s, i) > i else None for i, c in enumerate(can)]
+        assert r["r"] == last and r["strict"] == [x if x == len(s) - 1 else None for x in last]
+    assert sorted(map(tuple, dependency.links(found, F.col("g2"), ["k"]).collect()))[0][0] >= 0
+
+
 def test_pair_quotes_and_projectivity(spark):
     p = spark.createDataFrame([(1, 0, 0, 1, 0), (1, 0, 1, 1, 0), (1, 0, 2, 0, 1), (2, 0, 0, 0, 1), (2, 0, 1, 0, 0)], "doc_id long, sent_no int, phrase_no int, o int, c int")
     assert rows(dependency.pair_quotes(p, F.col("o"), F.col("c")), "doc_id", "first") == [(1, 0, 0, 2), (1, 0, 1, 2), (2, 0, 0, 0)]
