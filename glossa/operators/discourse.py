@@ -49,6 +49,37 @@ def asof_antecedent(anaphors: DataFrame, antecedents: DataFrame, article: str, o
     return pairs.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(F.col("_a_article").alias(article), "a_id", "b_id", "condition", "distance")
 
 
+def appositive_links(units: DataFrame, key: list[str], order: str, mark: Column, kind: str = "kind") -> DataFrame:
+    """(key, a, b): a unit that mark closes and the one right after it name the same, unless both have kinds and these differ."""
+    w = Window.partitionBy(*key).orderBy(order)
+    near = units.withColumns({"_mark": mark, "_b": F.lead(order).over(w), "_kind": F.lead(kind).over(w)})
+    agree = F.col(kind).isNull() | F.col("_kind").isNull() | (F.col(kind) == F.col("_kind"))
+    return near.where(F.col("_mark") & F.col("_b").isNotNull() & agree).select(*key, F.col(order).alias("a"), F.col("_b").alias("b"))
+
+
+def title_links(units: DataFrame, key: list[str], order: str, title: Column, person: Column, word: str) -> DataFrame:
+    """(key, order, name): units whose word is a title right after a person's name, with that name: they stand for the person, as
+    the name itself does."""
+    w = Window.partitionBy(*key).orderBy(order)
+    near = units.withColumns({"_title": title, "_person": F.lag(person).over(w), "_name": F.lag(word).over(w)})
+    return near.where(F.col("_title") & F.col("_person")).select(*key, order, F.col("_name").alias("name"))
+
+
+def bridging_links(parts: DataFrame, wholes: DataFrame, relation: DataFrame, article: str, order: str, within: int) -> DataFrame:
+    """(article, order, part, whole, whole_order): for each part (article, order, word) its nearest earlier whole (article, order, word), by
+    relation (part, whole), at most `within` sentences back; equal distances go to the word that sorts first.
+
+    For a word the last sentence that has it before each sentence is one running maximum, so parts meet words, not mentions.
+    """
+    asked = parts.select(article, order, F.col("word").alias("part")).distinct().join(relation.select("part", F.col("whole").alias("word")).distinct(), "part")
+    told = wholes.select(article, order, "word", F.col(order).alias("_at"), F.lit(None).cast("string").alias("part")).distinct()
+    both = asked.select(article, order, "word", F.lit(None).cast(dict(wholes.dtypes)[order]).alias("_at"), "part").unionByName(told)
+    before = Window.partitionBy(article, "word").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("whole_order", F.max("_at").over(before)).where(F.col("part").isNotNull() & (F.col(order) - F.col("whole_order") <= within))
+    best = Window.partitionBy(article, order, "part").orderBy(F.desc("whole_order"), "word")
+    return found.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select(article, order, "part", F.col("word").alias("whole"), "whole_order")
+
+
 def synonym_pairs(words: DataFrame, synonyms: DataFrame, word: str = "word") -> DataFrame:
     """(a, b): words that are synonyms once the prefix and the suffix that they share are taken off.
 

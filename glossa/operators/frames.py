@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,42 @@ def assign(elements: tuple[Element, ...], frame: Frame) -> tuple[float, tuple[in
     return best
 
 
+ELEMENTS = "array<struct<word: string, cases: array<string>, adjacent: boolean>>"
+FRAMES = (
+    "array<struct<frame_id: string, probability: double, slots: array<struct<case: string, filled: double, obligatory: boolean, adjacent: boolean, "
+    "words: array<string>, counts: array<double>>>>>"
+)
+
+
+def _plain(x: object) -> object:
+    """Rows and arrays as dicts and lists."""
+    if hasattr(x, "asDict"):
+        x = x.asDict()
+    if isinstance(x, dict):
+        return {k: _plain(v) for k, v in x.items()}
+    return [_plain(v) for v in x] if hasattr(x, "__len__") and not isinstance(x, str) else x
+
+
+def assign_frames(rows: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """rows (keys, elements ELEMENTS, frames FRAMES) to (keys, rank, frame_id, score, slots): the k best frames of each predicate with the
+    slot of each element, from 0, -1 for none. A predicate's frames are found by lookup_frames; each predicate is a row."""
+
+    @F.pandas_udf("array<struct<frame_id: string, score: double, slots: array<int>>>")
+    def run(elements: pd.Series, frames: pd.Series) -> pd.Series:
+        out = []
+        for es, fs in zip(elements, frames, strict=True):
+            own = tuple(Element(e["word"], tuple(e["cases"]), bool(e["adjacent"])) for e in _plain(es))
+            known = [
+                Frame(f["frame_id"], f["probability"], tuple(Slot(s["case"], dict(zip(s["words"], s["counts"], strict=True)), s["filled"], bool(s["obligatory"]), bool(s["adjacent"])) for s in f["slots"]))
+                for f in _plain(fs)
+            ]
+            out.append([{"frame_id": i, "score": float(score), "slots": list(slots)} for score, i, slots in best_frames(own, known, k)])
+        return pd.Series(out)
+
+    found = rows.select(*keys, run(F.col("elements").cast(ELEMENTS), F.col("frames").cast(FRAMES)).alias("found"))
+    return found.select(*keys, F.posexplode("found").alias("rank", "f")).select(*keys, (F.col("rank") + 1).alias("rank"), "f.frame_id", "f.score", "f.slots")
+
+
 def best_frames(elements: tuple[Element, ...], frames: list[Frame], k: int = 5) -> list[tuple[float, str, tuple[int, ...]]]:
     """The k best (score, frame id, slots), ties by more assigned elements, then by frame order."""
     scored = [(*assign(elements, f), i, f.frame_id) for i, f in enumerate(frames)]

@@ -95,7 +95,40 @@ def frame_pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {f.__name__: f for f in (frame_prob, case_count_prob, case_prob, example_prob, category_prob, slot_backoff_prob, frame_pair_similarity)}
+#: (frame, probability, slots (case, filled, obligatory, adjacent, words, counts)) of the one predicate of frame_assign.
+FRAMES = [
+    ("eat1", 0.6, [("ga", 0.5, False, False, ["A", "N"], [3.0, 1.0]), ("wo", 0.4, False, False, ["R", "A"], [2.0, 2.0])]),
+    ("eat2", 0.3, [("ga", 0.9, False, False, ["R"], [1.0]), ("wo", 0.2, False, False, ["N", "*"], [1.0, 1.0])]),
+    ("eat3", 0.1, [("ga", 0.3, False, False, ["A"], [1.0]), ("wo", 0.6, True, True, ["N"], [2.0])]),
+]
+
+
+def frame_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two lines of an order as a predicate's elements, by case ga, and ga or wo: all frames ranked by their best assignment."""
+    from glossa.operators.frames import FRAMES as TYPE
+    from glossa.operators.frames import assign_frames
+
+    line = table(spark, sf_dir, "lineitem").where("l_linenumber IN (1, 2)").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
+    cases = F.when(F.col("l_linenumber") == 1, F.array(F.lit("ga"))).otherwise(F.array(F.lit("ga"), F.lit("wo")))
+    element = F.struct("l_linenumber", F.struct(F.col("l_returnflag").alias("word"), cases.alias("cases"), F.lit(False).alias("adjacent")).alias("e"))
+    orders = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(element)).alias("own"))  # two lines at most
+    known = spark.createDataFrame([(FRAMES,)], f"frames {TYPE}")
+    rows = orders.select("l_orderkey", F.transform("own", lambda x: x["e"]).alias("elements")).join(F.broadcast(known))  # one row
+    found = assign_frames(rows, ["l_orderkey"], 3)
+    return found.select("l_orderkey", F.col("rank").cast("long").alias("rank"), "frame_id", F.round("score", 6).alias("score"))
+
+
+def frame_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as predicates, frames known by clerk's nearest element, by priority and status, by priority, and for all."""
+    from glossa.operators.frames import lookup_frames
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("predicate"), F.col("o_orderstatus").alias("voice"), (F.col("o_custkey") % 10).cast("string").alias("nearest"))
+    known = [("n", "3:1", "O"), ("pv", "1", "F"), ("pv2", "1", "O"), ("p", "2", "x"), ("p2", "2", "y"), ("d", "*", "x")]
+    found = lookup_frames(orders, spark.createDataFrame(known, "frame_id string, predicate string, voice string"))
+    return found.groupBy("predicate", "voice", "f_frame_id").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (frame_prob, case_count_prob, case_prob, example_prob, category_prob, slot_backoff_prob, frame_pair_similarity, frame_assign, frame_lookup)}
 
 LINES = "lines AS (SELECT l_suppkey AS predicate, l_partkey AS frame, l_returnflag AS slot, month(l_shipdate) AS mode, l_orderkey FROM lineitem)"
 
@@ -150,6 +183,28 @@ ORACLES = {
             FROM asked x LEFT JOIN a USING (predicate, mode) LEFT JOIN b ON b.predicate = x.predicate LEFT JOIN c ON c.mode = x.mode
         )
         SELECT predicate, mode, round(CASE WHEN p > 0 THEN ln(p) ELSE ln(1e-6) END, 6) AS log_p, CAST(level AS BIGINT) AS level FROM found""",
+    "frame_assign": """
+        WITH o AS (SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_returnflag END) AS w1, max(CASE WHEN l_linenumber = 2 THEN l_returnflag END) AS w2 FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY l_orderkey),
+        f(frame_id, no, p, g, w, pen) AS (VALUES ('eat1', 1, 0.6, 0.5, 0.4, 0), ('eat2', 2, 0.3, 0.9, 0.2, 0), ('eat3', 3, 0.1, 0.3, 0.6, -500)),
+        ex(frame_id, slot, word, q) AS (VALUES ('eat1', 0, 'A', 0.75), ('eat1', 0, 'N', 0.25), ('eat1', 1, 'R', 0.5), ('eat1', 1, 'A', 0.5), ('eat2', 0, 'R', 1.0), ('eat2', 1, 'N', 0.5), ('eat2', 1, 'A', 0.5), ('eat2', 1, 'R', 0.5), ('eat3', 0, 'A', 1.0), ('eat3', 1, 'N', 1.0)),
+        c(s1, s2) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1)),
+        scored AS (
+            SELECT l_orderkey, f.frame_id, no, (s1 >= 0)::INT + (s2 >= 0)::INT AS assigned,
+                ln(p) + CASE WHEN w1 IS NULL THEN 0 WHEN s1 = -1 THEN -20 ELSE ln(coalesce(a.q, 1e-6)) + ln(g) END
+                + CASE WHEN w2 IS NULL THEN 0 WHEN s2 = -1 THEN -20 WHEN s2 = 0 THEN ln(coalesce(b.q, 1e-6)) + ln(g) ELSE ln(coalesce(b.q, 1e-6)) + ln(w) END
+                + CASE WHEN s1 = 0 OR s2 = 0 THEN 0 ELSE ln(1 - g) END + CASE WHEN s2 = 1 THEN 0 ELSE ln(1 - w) + pen END AS score
+            FROM o CROSS JOIN f CROSS JOIN c LEFT JOIN ex a ON a.frame_id = f.frame_id AND a.slot = s1 AND a.word = w1 LEFT JOIN ex b ON b.frame_id = f.frame_id AND b.slot = s2 AND b.word = w2
+            WHERE (w1 IS NOT NULL OR s1 = -1) AND (w2 IS NOT NULL OR s2 = -1)
+        ),
+        best AS (SELECT l_orderkey, frame_id, no, max(score) AS score FROM scored GROUP BY ALL)
+        SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(score, 9) DESC, no) AS rank, frame_id, round(score, 6) AS score FROM best""",
+    "frame_lookup": """
+        WITH o AS (SELECT substr(o_orderpriority, 1, 1) AS predicate, o_orderstatus AS voice, o_custkey % 10 AS nearest FROM orders),
+        l AS (
+            SELECT predicate, voice, unnest(CASE WHEN nearest = 3 AND predicate = '1' AND voice = 'O' THEN ['n'] WHEN predicate = '1' AND voice = 'F' THEN ['pv'] WHEN predicate = '1' AND voice = 'O' THEN ['pv2']
+                WHEN predicate = '1' THEN ['pv', 'pv2'] WHEN predicate = '2' THEN ['p', 'p2'] ELSE ['d'] END) AS f_frame_id FROM o
+        )
+        SELECT predicate, voice, f_frame_id, count(*) AS n FROM l GROUP BY ALL""",
     "frame_pair_similarity": """
         WITH pairs AS (SELECT a.l_partkey AS x, b.l_partkey AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
         found AS (

@@ -9,7 +9,9 @@ sessions that want the format's name.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -158,6 +160,25 @@ def write_jtab(records: DataFrame, path: str) -> None:
     records.mapInPandas(run, "value string").write.text(path)
 
 
+def look_up(records: DataFrame, ids: Sequence[str] | DataFrame) -> DataFrame:
+    """The records of some sentences: of a list of ids, or of a table (sent_id) by a join."""
+    if isinstance(ids, DataFrame):
+        return records.join(ids.select("sent_id").distinct(), "sent_id", "left_semi")
+    return records.where(F.col("sent_id").isin(list(ids)))
+
+
+RELATION = r"^rel:([^:]+):([^:]*)(?::([^:]*):(-?[0-9]+))?$"
+
+
+def gold_relations(records: DataFrame) -> DataFrame:
+    """(sent_id, bp_no, case, target, target_sent_id, target_bp_no) of the relations that annotators gave basic phrases, as features
+    `rel:case:target` or `rel:case:target:sentence:unit`; without a sentence the target is the writer, the reader or outside."""
+    flat = records.select("sent_id", F.posexplode("basic_phrases").alias("bp_no", "u")).select("sent_id", "bp_no", F.explode("u.features").alias("f")).where(F.col("f").startswith("rel:"))
+    part = lambda i: F.regexp_extract("f", RELATION, i)
+    told = lambda i: F.when(part(i) != "", part(i))
+    return flat.where(part(1) != "").select("sent_id", "bp_no", part(1).alias("case"), part(2).alias("target"), told(3).alias("target_sent_id"), told(4).cast("int").alias("target_bp_no"))
+
+
 def to_tables(records: DataFrame) -> dict[str, DataFrame]:
     """The relational tables sentences, phrases, basic_phrases and morphemes."""
     key = F.col("sent_id")
@@ -204,8 +225,8 @@ class JtabReader(DataSourceReader):
                 if parsed:
                     yield _row(parsed)
         parsed = parse_record("".join(record), self.options.get("ignore", ""))
-        if parsed:
-            yield _row(parsed | {"phrases": [], "basic_phrases": [], "morphemes": [], "error": "no EOS"})
+        if parsed:  # the last record may lack its EOS, as for read_jtab
+            yield _row(parsed)
 
 
 def _row(r: dict[str, Any]) -> tuple:
@@ -214,22 +235,54 @@ def _row(r: dict[str, Any]) -> tuple:
     return (r["article_id"], r["sent_id"], r["sent_no"], r["comment"], units, basics, [tuple(m.values()) for m in r["morphemes"]], r["error"])
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    file: str
+
+
 class JtabWriter(DataSourceWriter):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.options = options
+    """Tasks write into a folder of the job's own; the commit moves the files of the tasks that count and drops the rest, so a task
+    that is run twice leaves no second copy."""
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import uuid
+    def __init__(self, options: dict[str, str], overwrite: bool) -> None:
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
 
+    def _files(self):
         from pyarrow import fs
 
-        path = self.options["path"]
-        system, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        system.create_dir(base, recursive=True)
-        with system.open_output_stream(f"{base}/part-{uuid.uuid4().hex}.jtab") as out:
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        system, base = self._files()
+        folder, name = f"{base}/_temporary-{self.job}", f"part-{uuid.uuid4().hex}.jtab"
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{folder}/{name}") as out:
             for r in rows:
                 out.write(format_record(r.asDict(recursive=True)).encode())
-        return WriterCommitMessage()
+        return _Written(name)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        from pyarrow import fs
+
+        system, base = self._files()
+        folder = f"{base}/_temporary-{self.job}"
+        if self.overwrite:
+            for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+                if f.is_file:
+                    system.delete_file(f.path)
+        for m in messages:
+            if m is not None:
+                system.move(f"{folder}/{m.file}", f"{base}/{m.file}")
+        self._drop(system, folder)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, base = self._files()
+        self._drop(system, f"{base}/_temporary-{self.job}")
+
+    @staticmethod
+    def _drop(system, folder: str) -> None:
+        if system.get_file_info(folder).type.name != "NotFound":
+            system.delete_dir(folder)
 
 
 class JtabDataSource(DataSource):
@@ -246,4 +299,4 @@ class JtabDataSource(DataSource):
         return JtabReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return JtabWriter(dict(self.options))
+        return JtabWriter(dict(self.options), overwrite)

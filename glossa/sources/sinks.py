@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,44 @@ def records_to_xml(records: DataFrame) -> DataFrame:
     return records.select("sent_id", xml.alias("xml"))
 
 
+def matrix_lines(pairs: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """(key, text): the candidates of each sentence as a matrix, a line for each dependent with the type at each governor, else a dash;
+    pairs (key, dependent, governor, type), sizes (key, n)."""
+    cells = pairs.groupBy(*key, "dependent").agg(F.map_from_entries(F.collect_list(F.struct("governor", "type"))).alias("row"))
+    every = sizes.select(*key, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("dependent"))
+    filled = every.join(cells, [*key, "dependent"], "left")
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.coalesce(F.try_element_at("row", j), F.lit("-"))), "")
+    return ordered_lines(filled, key, "dependent", line)
+
+
+def trees_text(rows: DataFrame, key: list[str], labels: str = "words", heads: str = "heads") -> DataFrame:
+    """(key, tree, sexp): the tree of each row (words, heads) drawn with lines, and as an S-expression."""
+    from glossa.operators.chart import draw, to_sexp
+
+    @F.pandas_udf("tree string, sexp string")
+    def run(words: pd.Series, governors: pd.Series) -> pd.DataFrame:
+        made = [(draw(list(w), list(h)), to_sexp(list(w), list(h))) if len(h) else ("", "()") for w, h in zip(words, governors, strict=True)]
+        return pd.DataFrame(made, columns=["tree", "sexp"])
+
+    return rows.select(*key, run(labels, heads).alias("t")).select(*key, "t.*")
+
+
+def vector_lines(rows: DataFrame, key: list[str], label: str, features: str, numbers: DataFrame) -> DataFrame:
+    """(key, text): a line `label id:1 id:1 ...` for each row, features by their numbers (feature, id) in order; unknown ones are left out."""
+    each = rows.select(*key, label, F.explode_outer(F.array_distinct(features)).alias("feature")).join(numbers, "feature", "left")
+    ids = F.array_sort(F.collect_list("id"))
+    return each.groupBy(*key, label).agg(ids.alias("ids")).select(
+        *key, F.concat_ws(" ", F.col(label).cast("string"), F.transform("ids", lambda i: F.concat(i.cast("string"), F.lit(":1")))).alias("text")
+    )
+
+
+def result_header(records: DataFrame, score: str | None = None, warning: str | None = None, memo: str | None = None) -> DataFrame:
+    """(sent_id, text): the comment line of each record with its score, error, warning and notes, those that it has."""
+    note = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}:"), F.col(c).cast("string"))) if c else F.lit(None).cast("string")
+    points = F.when(F.col(score).isNotNull(), F.format_string("SCORE:%.5f", F.col(score).cast("double"))) if score else F.lit(None).cast("string")
+    return records.select("sent_id", F.concat_ws(" ", F.concat(F.lit("# S-ID:"), "sent_id"), "comment", points, note("ERROR", "error"), note("WARNING", warning), note("MEMO", memo)).alias("text"))
+
+
 def error_header(records: DataFrame) -> DataFrame:
     """(sent_id, text): the comment line of each record with its error, if it has one."""
     note = F.when(F.col("error").isNotNull(), F.concat(F.lit("ERROR:"), "error"))

@@ -163,6 +163,43 @@ def test_jtab_files(spark, tmp_path):
     assert by_name.count() == 3
     by_name.where("error IS NULL").write.format("jtab").mode("append").save(str(tmp_path / "named"))
     assert spark.read.format("jtab").load(str(tmp_path / "named")).count() == 2
+    by_name.where("sent_id = 'b-2'").write.format("jtab").mode("overwrite").save(str(tmp_path / "named"))
+    assert [r["sent_id"] for r in spark.read.format("jtab").load(str(tmp_path / "named")).collect()] == ["b-2"]
+    assert all(f.name.startswith("part-") for f in (tmp_path / "named").iterdir())
+    assert [r["sent_id"] for r in jtab.look_up(back, ["b-2"]).collect()] == [r["sent_id"] for r in jtab.look_up(back, spark.createDataFrame([("b-2",)], "sent_id string")).collect()] == ["b-2"]
+    from glossa.operators.units import given_units
+
+    assert rows(given_units(back.where("sent_id = 'b-2'")), "unit_no") == [("b-2", 0, 0, 0, 1), ("b-2", 1, 1, 2, 3)]
+
+
+def test_jtab_writer_keeps_only_what_counts(tmp_path):
+    from pyspark.sql import Row
+
+    row = Row(sent_id="s-1", comment=None, error=None, phrases=[], basic_phrases=[], morphemes=[])
+    writer = jtab.JtabWriter({"path": str(tmp_path / "out")}, False)
+    first, again = writer.write(iter([row])), writer.write(iter([row]))  # a task that ran twice
+    writer.commit([again, None])
+    assert [f.name for f in (tmp_path / "out").iterdir()] == [again.file] and first.file != again.file
+    other = jtab.JtabWriter({"path": str(tmp_path / "out")}, False)
+    other.write(iter([row]))
+    other.abort([None])
+    assert [f.name for f in (tmp_path / "out").iterdir()] == [again.file]
+
+
+def test_gold_relations(spark):
+    units = [(0, 1, "D", ["rel:ga:cat:s-1:0", "x"]), (0, -1, "D", ["rel:wo:reader", "rel::bad"])]
+    df = spark.createDataFrame([("s-2", units)], "sent_id string, basic_phrases array<struct<phrase_no: int, head: int, dep_type: string, features: array<string>>>")
+    assert rows(jtab.gold_relations(df), "bp_no") == [("s-2", 0, "ga", "cat", "s-1", 0), ("s-2", 1, "wo", "reader", None, None)]
+
+
+def test_result_header_and_trees(spark):
+    from glossa.operators.chart import draw, to_sexp
+    from glossa.sources import sinks
+
+    df = spark.createDataFrame([("s-1", "note", None, -1.5, "slow", None), ("s-2", None, "bad", None, None, "m")], "sent_id string, comment string, error string, p double, w string, memo string")
+    assert rows(sinks.result_header(df, "p", "w", "memo"), "sent_id") == [("s-1", "# S-ID:s-1 note SCORE:-1.50000 WARNING:slow"), ("s-2", "# S-ID:s-2 ERROR:bad MEMO:m")]
+    trees = spark.createDataFrame([(1, ["a", "b", "c"], [2, 2, -1]), (2, [], [])], "id int, words array<string>, heads array<int>")
+    assert rows(sinks.trees_text(trees, ["id"]), "id") == [(1, draw(["a", "b", "c"], [2, 2, -1]), to_sexp(["a", "b", "c"], [2, 2, -1])), (2, "", "()")]
 
 
 def test_sexpr():
