@@ -161,6 +161,29 @@ ORACLES = {
         sents AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM lists),
         toks AS (SELECT doc_id, i - 1 AS sent_no, regexp_extract_all(s, '[^ \t\r\n]+') AS ts FROM sents)
         SELECT doc_id, CAST(sent_no AS BIGINT) AS sent_no, CAST(len(ts) AS BIGINT) AS n_morphemes, md5(array_to_string(ts, ' ')) AS surfaces FROM toks WHERE len(ts) > 0""",
+    "viterbi_ne": r"""
+        WITH lists AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM documents),
+        sents AS (SELECT doc_id, regexp_extract_all(unnest(ss), '[^ \t\r\n]+') AS ts, generate_subscripts(ss, 1) - 1 AS sent_no FROM lists),
+        toks AS (SELECT doc_id, sent_no, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS i FROM sents),
+        caps AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY i) AS run FROM toks WHERE i > 0 AND regexp_matches(t, '^\p{Lu}')),
+        spans AS (SELECT doc_id, sent_no, min(i) AS f, max(i) AS l, 'PERSON' AS kind, string_agg(t, '' ORDER BY i) AS text FROM caps GROUP BY doc_id, sent_no, run UNION ALL SELECT doc_id, sent_no, i, i, 'DATE', t FROM toks WHERE regexp_matches(t, '^\p{Nd}'))
+        SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, CAST(f AS INTEGER) AS "first", CAST(l AS INTEGER) AS "last", kind, text FROM spans""",
+    "lattice_segment": r"""
+        WITH lists AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM conversations),
+        sents AS (SELECT concat(conv_id, '-', turn, ':', generate_subscripts(ss, 1) - 1) AS sent_id, regexp_extract_all(unnest(ss), '\p{Nd}+|\p{L}[.\p{L}]*|(?s:.)') AS rs FROM lists),
+        runs AS (SELECT sent_id, unnest(rs) AS run, generate_subscripts(rs, 1) AS i FROM sents),
+        words AS (SELECT unnest(['the', 'of', 'and', 'to', 'in', 'is', 'de', 'la', 'der', 'die', 'el', 'que']) AS w),
+        ends AS (SELECT w FROM words UNION ALL SELECT '.'),
+        cuts AS (SELECT a.w || b.w AS run, [a.w, b.w] AS parts FROM words a, ends b),
+        pieces AS (SELECT sent_id, i, unnest(coalesce(c.parts, [r.run])) AS surface, unnest([1, 2]) AS k FROM runs r LEFT JOIN cuts c ON c.run = r.run),
+        posed AS (
+            SELECT sent_id, surface, i, k, CASE WHEN surface IN (SELECT w FROM words) THEN 'Function' WHEN surface = ' ' THEN 'Space' WHEN regexp_matches(surface, '^\p{Nd}') THEN 'Number'
+                WHEN regexp_matches(surface, '^\p{L}') THEN 'Unknown' ELSE 'Symbol' END AS pos
+            FROM pieces WHERE surface IS NOT NULL
+        )
+        SELECT sent_id, CAST(row_number() OVER w - 1 AS INTEGER) AS morph_no, surface, surface AS lemma, pos, CAST(coalesce(sum(length(surface)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start,
+            CAST(sum(CASE pos WHEN 'Function' THEN 42.5 WHEN 'Space' THEN 41 WHEN 'Unknown' THEN 100 ELSE 50 END) OVER w AS DOUBLE) AS cost
+        FROM posed WINDOW w AS (PARTITION BY sent_id ORDER BY i, k)""",
     "stream_context": r"""
         WITH toks AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[^ \t\r\n]+')) AS w FROM conversations),
         seen AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, w) < turn AS old FROM toks),
