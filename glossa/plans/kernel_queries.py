@@ -166,7 +166,12 @@ ORACLES = {
         sents AS (SELECT doc_id, regexp_extract_all(unnest(ss), '[^ \t\r\n]+') AS ts, generate_subscripts(ss, 1) - 1 AS sent_no FROM lists),
         toks AS (SELECT doc_id, sent_no, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS i FROM sents),
         caps AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, sent_no ORDER BY i) AS run FROM toks WHERE i > 0 AND regexp_matches(t, '^\p{Lu}')),
-        spans AS (SELECT doc_id, sent_no, min(i) AS f, max(i) AS l, 'PERSON' AS kind, string_agg(t, '' ORDER BY i) AS text FROM caps GROUP BY doc_id, sent_no, run UNION ALL SELECT doc_id, sent_no, i, i, 'DATE', t FROM toks WHERE regexp_matches(t, '^\p{Nd}'))
+        -- of equal scores the first is kept: a run of names is cut into pairs from its end
+        pairs AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, sent_no, run ORDER BY i DESC) - 1) // 2 AS pair FROM caps),
+        spans AS (
+            SELECT doc_id, sent_no, min(i) AS f, max(i) AS l, 'PERSON' AS kind, string_agg(t, '' ORDER BY i) AS text FROM pairs GROUP BY doc_id, sent_no, run, pair
+            UNION ALL SELECT doc_id, sent_no, i, i, 'DATE', t FROM toks WHERE regexp_matches(t, '^\p{Nd}')
+        )
         SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, CAST(f AS INTEGER) AS "first", CAST(l AS INTEGER) AS "last", kind, text FROM spans""",
     "lattice_segment": r"""
         WITH lists AS (SELECT conv_id, turn, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM conversations),
