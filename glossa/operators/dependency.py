@@ -63,32 +63,42 @@ def count_candidates(ps: str, kind: Kind, types: Sequence[str]) -> Column:
 
     ps names an array column of phrases with `reach`; kind gives the type of (dependent, governor), null for none.
     """
-    zero = F.struct(*[F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("distance")).alias(t) for t in types])
+    zero = F.lit(0).cast("long")
 
-    def seen(s: Column, p: Column, i: Column, j: Column) -> Column:
-        found = kind(p, F.get(ps, j))
-        step = lambda t: F.struct((s[t]["n"] + 1).alias("n"), (s[t]["distance"] + j - i).alias("distance"))
-        return F.struct(*[F.when(found == t, step(t)).otherwise(s[t]).alias(t) for t in types])
+    def own(codes: Column, t: str) -> Column:
+        """(n, distance) of a phrase's pairs of a type; codes: the types by distance - 1."""
+        far = F.filter(F.transform(codes, lambda x, k: F.when(x == t, k + 1)), lambda k: k.isNotNull())
+        return F.get(F.transform(F.array(far), lambda d: F.struct(F.size(d).cast("long").alias("n"), F.aggregate(d, zero, lambda a, x: a + x).alias("distance"))), 0)
 
-    def add(a: Column, b: Column) -> Column:
-        return F.struct(*[F.struct((a[t]["n"] + b[t]["n"]).alias("n"), (a[t]["distance"] + b[t]["distance"]).alias("distance")).alias(t) for t in types])
+    def each(p: Column, i: Column) -> Column:  # a lambda's argument is computed once: each pair is typed once
+        later = F.transform(F.slice(ps, i + 2, F.greatest(p["reach"] - i, F.lit(0))), lambda g: kind(p, g))
+        return F.get(F.transform(F.array(later), lambda codes: F.array(*[own(codes, t) for t in types])), 0)
 
-    own = F.transform(ps, lambda p, i: F.aggregate(_later(p, i), zero, lambda s, j: seen(s, p, i, j)))
-    total = F.aggregate(own, zero, add)
-    told = lambda s: F.array(*[F.struct(F.lit(t).alias("type"), s[t]["n"].alias("n"), s[t]["distance"].alias("distance")) for t in types])
-    return F.flatten(F.transform(F.array(total), told))  # a lambda's argument is computed once
+    def told(rows: Column) -> Column:
+        total = lambda k, field: F.aggregate(rows, zero, lambda a, r: a + F.get(r, k)[field])
+        return F.array(*[F.struct(F.lit(t).alias("type"), total(k, "n").alias("n"), total(k, "distance").alias("distance")) for k, t in enumerate(types)])
+
+    return F.get(F.transform(F.array(F.transform(ps, each)), told), 0)
+
+
+#: How many later phrases are tried first for a near governor.
+NEAR = 16
 
 
 def default_governors(ps: str, kind: Kind, preference: int) -> Column:
     """The preference-th nearest governor of each phrase of a sentence, the farthest for -1 or where there are fewer, null where
-    there is none; ps and kind as in count_candidates."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("at"))
+    there is none; ps and kind as in count_candidates. The nearest phrases are tried first, all of them only where these aren't
+    enough."""
 
-    def seen(s: Column, p: Column, j: Column) -> Column:
-        more = F.lit(True) if preference == -1 else s["n"] < preference
-        return F.when(kind(p, F.get(ps, j)).isNotNull() & more, F.struct((s["n"] + 1).alias("n"), j.cast("int").alias("at"))).otherwise(s)
+    def one(p: Column, i: Column) -> Column:
+        of = lambda places: F.filter(places, lambda j: kind(p, F.get(ps, j)).isNotNull())
+        every = F.transform(F.array(of(_later(p, i))), lambda js: F.get(js, (F.size(js) if preference == -1 else F.least(F.lit(preference), F.size(js))) - 1))
+        if preference == -1:
+            return F.get(every, 0)
+        near = of(F.slice(_later(p, i), 1, NEAR))
+        return F.coalesce(F.get(near, preference - 1), F.get(every, 0))
 
-    return F.transform(ps, lambda p, i: F.aggregate(_later(p, i), zero, lambda s, j: seen(s, p, j))["at"])
+    return F.transform(ps, one)
 
 
 def relaxed_governors(ps: str, kind: Kind, closes: Callable[[Column], Column]) -> Column:
