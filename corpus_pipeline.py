@@ -3,6 +3,13 @@
 Each stage takes what the one before has kept, as a table written in the shared folder, and works on all of it.
 All stages but the last return the columns of documents; the last adds size, text_crc32, shard, slot and
 grown_shard. The mixing stage repeats a document as often as the mix takes it.
+
+Defined cases: columns of documents, whatever their names and types, are returned as they are; a column that the last stage adds
+takes an underscore at its end where its name is there in any case. A null or empty text is scored as the empty text, is a near
+duplicate of other blank texts and of none else, holds no benchmark item, has no words to be taken by the mix, so it goes there at
+the latest. Rows without a doc_id are documents like others: they stay unless a document with an id is their near duplicate. Of
+repeated rows one passes the second stage. Ties: the smaller doc_id stays, then the smaller text hash. Empty tables give empty
+results; without labels the quality stage keeps everything.
 """
 
 from __future__ import annotations
@@ -12,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from glossa.llm import decontaminate, mixing, quality, sharding, simhash
 from glossa.llm.common import held_out, materialize, table
 
-#: Not expressible: compression, XXH64 and Efraimidis-Spirakis draws. Near duplicates and
-#: decontamination are tested against brute force; the stages in a row only by columns, a row bound and planted cases.
+#: Not expressible: compression, XXH64 and Efraimidis-Spirakis draws. Each stage is tested on the smallest tables against a
+#: brute-force version (tests/llm/test_queries.py).
 ORACLE_SQL = None
 
 

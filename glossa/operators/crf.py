@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MACRO = re.compile(r"%x\[(-?\d+),(\d+)\]")
 
@@ -26,34 +27,53 @@ def expand(template: str, rows: Sequence[Sequence[str]], at: int) -> str:
     return MACRO.sub(cell, template)
 
 
+Place = tuple[np.ndarray, np.ndarray]  # numbers of a place's own features, and of those of its pair with the place before
+
+
 @dataclass
 class Features:
-    """Observation features of unigram templates (U...), and whether labels are chained (B)."""
+    """Features of unigram templates (U...), for a place's label, and of bigram templates (B..., with macros or none), for the label with
+    the one before."""
 
     templates: tuple[str, ...]
     index: dict[str, int]
     labels: tuple[str, ...]
+    pairs: dict[str, int]
 
     @classmethod
     def build(cls, templates: Sequence[str], data: Sequence[tuple[Sequence[Sequence[str]], Sequence[str]]], least: int = 1) -> Features:
-        seen = Counter(expand(t, rows, i) for rows, _ in data for i in range(len(rows)) for t in templates if t[:1] == "U")
-        labels = tuple(sorted({y for _, ys in data for y in ys}))
-        return cls(tuple(templates), {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}, labels)
+        numbers = []
+        for kind in "UB":
+            seen = Counter(expand(t, rows, i) for rows, _ in data for i in range(len(rows)) if kind == "U" or i for t in templates if t[:1] == kind)
+            numbers.append({f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))})
+        return cls(tuple(templates), numbers[0], tuple(sorted({y for _, ys in data for y in ys})), numbers[1])
+
+    def encode(self, rows: Sequence[Sequence[str]]) -> list[Place]:
+        def found(kind: str, known: dict[str, int], i: int) -> np.ndarray:
+            return np.array([known[f] for t in self.templates if t[:1] == kind and (f := expand(t, rows, i)) in known], int)
 
-    def encode(self, rows: Sequence[Sequence[str]]) -> list[np.ndarray]:
-        unigrams = [t for t in self.templates if t[:1] == "U"]
-        return [np.array([self.index[f] for t in unigrams if (f := expand(t, rows, i)) in self.index], int) for i in range(len(rows))]
+        return [(found("U", self.index, i), found("B", self.pairs, i) if i else np.zeros(0, int)) for i in range(len(rows))]
 
     @property
     def size(self) -> int:
-        return len(self.index) * len(self.labels) + len(self.labels) ** 2
+        return len(self.index) * len(self.labels) + len(self.pairs) * len(self.labels) ** 2
 
+    def split(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Views of a weight vector: features by labels, and pair features by labels by labels."""
+        n = len(self.labels)
+        return w[: len(self.index) * n].reshape(-1, n), w[len(self.index) * n :].reshape(-1, n, n)
 
-def potentials(f: Features, w: np.ndarray, x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+
+def potentials(f: Features, w: np.ndarray, x: list[Place]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of labels by place, and of pairs of labels by place, those of the first unused."""
+    own, chain = f.split(w)
     n = len(f.labels)
-    per = w[: len(f.index) * n].reshape(-1, n)
-    chained = any(t[:1] == "B" for t in f.templates)
-    return np.array([per[i].sum(axis=0) for i in x]).reshape(-1, n), (w[len(f.index) * n :].reshape(n, n) if chained else np.zeros((n, n)))
+    return np.array([own[u].sum(axis=0) for u, _ in x]).reshape(-1, n), np.array([chain[b].sum(axis=0) for _, b in x]).reshape(-1, n, n)
+
+
+def _at(pair: np.ndarray, t: int) -> np.ndarray:
+    """The scores of pairs at place t, where they may be the same for all."""
+    return pair if pair.ndim == 2 else pair[t]
 
 
 def _lse(a: np.ndarray, axis: int) -> np.ndarray:
@@ -62,18 +82,18 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 def marginals(unary: np.ndarray, pair: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(log partition, marginals of places, sum over places of pair marginals), in the log domain."""
-    steps = len(unary)
+    """(log partition, marginals of places, marginals of pairs by place), in the log domain."""
+    steps, n = unary.shape
     ahead, behind = np.zeros_like(unary), np.zeros_like(unary)
     ahead[0] = unary[0]
     for t in range(1, steps):
-        ahead[t] = unary[t] + _lse(ahead[t - 1][:, None] + pair, 0)
+        ahead[t] = unary[t] + _lse(ahead[t - 1][:, None] + _at(pair, t), 0)
     for t in range(steps - 2, -1, -1):
-        behind[t] = _lse(pair + (unary[t + 1] + behind[t + 1])[None, :], 1)
+        behind[t] = _lse(_at(pair, t + 1) + (unary[t + 1] + behind[t + 1])[None, :], 1)
     z = float(_lse(ahead[-1], 0))
-    joint = np.zeros_like(pair)
+    joint = np.zeros((steps, n, n))
     for t in range(1, steps):
-        joint += np.exp(ahead[t - 1][:, None] + pair + (unary[t] + behind[t])[None, :] - z)
+        joint[t] = np.exp(ahead[t - 1][:, None] + _at(pair, t) + (unary[t] + behind[t])[None, :] - z)
     return z, np.exp(ahead + behind - z), joint
 
 
@@ -81,7 +101,7 @@ def viterbi(unary: np.ndarray, pair: np.ndarray) -> list[int]:
     """The best labels; ties keep the first label."""
     best, back = unary[0], []
     for t in range(1, len(unary)):
-        scores = best[:, None] + pair
+        scores = best[:, None] + _at(pair, t)
         back.append(scores.argmax(axis=0))
         best = scores.max(axis=0) + unary[t]
     out = [int(best.argmax())]
@@ -95,27 +115,21 @@ def n_best(unary: np.ndarray, pair: np.ndarray, k: int) -> list[tuple[float, lis
     n = unary.shape[1]
     states = [[(float(unary[0, y]), (y,))] for y in range(n)]
     for t in range(1, len(unary)):
-        states = [sorted(((s + float(pair[p, y] + unary[t, y]), (*seq, y)) for p in range(n) for s, seq in states[p]), key=lambda x: (-x[0], x[1]))[:k] for y in range(n)]
+        own = _at(pair, t)
+        states = [sorted(((s + float(own[p, y] + unary[t, y]), (*seq, y)) for p in range(n) for s, seq in states[p]), key=lambda x: (-x[0], x[1]))[:k] for y in range(n)]
     return [(s, list(seq)) for s, seq in sorted((x for own in states for x in own), key=lambda x: (-x[0], x[1]))[:k]]
 
 
-def gradient(f: Features, w: np.ndarray, x: list[np.ndarray], y: Sequence[int]) -> tuple[float, np.ndarray]:
+def gradient(f: Features, w: np.ndarray, x: list[Place], y: Sequence[int]) -> tuple[float, np.ndarray]:
     """Negative log likelihood and its gradient."""
-    n = len(f.labels)
     unary, pair = potentials(f, w, x)
     z, single, joint = marginals(unary, pair)
-    g = np.zeros(f.size)
-    per, chain = g[: len(f.index) * n].reshape(-1, n), g[len(f.index) * n :].reshape(n, n)
-    score = 0.0
-    for t, own in enumerate(x):
-        np.add.at(per, own, single[t])
-        np.add.at(per, (own, y[t]), -1.0)
-        score += unary[t, y[t]]
-    if any(t[:1] == "B" for t in f.templates):
-        chain += joint
-        for a, b in zip(y, y[1:], strict=False):
-            chain[a, b] -= 1
-            score += pair[a, b]
+    g = -_counts(f, x, y)
+    own, chain = f.split(g)
+    for t, (u, b) in enumerate(x):
+        np.add.at(own, u, single[t])
+        np.add.at(chain, b, joint[t])
+    score = sum(unary[t, y[t]] for t in range(len(x))) + sum(pair[t, y[t - 1], y[t]] for t in range(1, len(x)))
     return z - score, g
 
 
@@ -189,13 +203,13 @@ def train(f: Features, data: Sequence[tuple[Sequence[Sequence[str]], Sequence[st
     return lbfgs(objective, f.size, 0.0 if method == "l2" else 1 / c, rounds)
 
 
-def _counts(f: Features, x: list[np.ndarray], y: Sequence[int]) -> np.ndarray:
-    n, out = len(f.labels), np.zeros(f.size)
-    for t, own in enumerate(x):
-        np.add.at(out, own * n + y[t], 1.0)
-    if any(t[:1] == "B" for t in f.templates):
-        for a, b in zip(y, y[1:], strict=False):
-            out[len(f.index) * n + a * n + b] += 1
+def _counts(f: Features, x: list[Place], y: Sequence[int]) -> np.ndarray:
+    out = np.zeros(f.size)
+    own, chain = f.split(out)
+    for t, (u, b) in enumerate(x):
+        np.add.at(own, (u, y[t]), 1.0)
+        if t:
+            np.add.at(chain, (b, y[t - 1], y[t]), 1.0)
     return out
 
 
@@ -229,7 +243,7 @@ def distributed_objective(rows: DataFrame, f: Features, c: float) -> Objective:
             for pdf in frames:
                 for tokens, tags in zip(pdf["tokens"], pdf["tags"], strict=True):
                     if len(tokens):
-                        v, own = gradient(f, held.value, f.encode([[t] for t in tokens]), [at[y] for y in tags])
+                        v, own = gradient(f, held.value, f.encode(columns(tokens)), [at[y] for y in tags])
                         value, g = value + v, g + own
             at_ = np.flatnonzero(g)
             yield pd.DataFrame({"i": [-1, *at_.tolist()], "v": [value, *g[at_].tolist()]})
@@ -275,16 +289,18 @@ def decode_entities(probabilities: np.ndarray, barred: Sequence[bool] | None = N
     return [ENTITY_LABELS[i] for i in viterbi(unary, pair)]
 
 
+def columns(tokens: Sequence) -> list[Sequence[str]]:
+    """The rows of a sentence: tokens are texts, or arrays of columns."""
+    return [[t] if isinstance(t, str) else list(t) for t in tokens]
+
+
 def tag(rows: DataFrame, key: Sequence[str], f: Features, w: np.ndarray) -> DataFrame:
-    """rows (key, tokens array<string>) to (key, tags array<string>)."""
+    """rows (key, tokens array<string>, or array<array<string>> for several columns) to (key, tags array<string>)."""
     held = rows.sparkSession.sparkContext.broadcast((f, w))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<string>")
+    def run(sentences: pd.Series) -> pd.Series:
         f, w = held.value
-        for pdf in frames:
-            tags = [[f.labels[i] for i in viterbi(*potentials(f, w, f.encode([[t] for t in ts])))] if len(ts) else [] for ts in pdf["tokens"]]
-            yield pdf[list(key)].assign(tags=tags)
-
-    from pyspark.sql.types import ArrayType, StringType, StructType
+        return pd.Series([[f.labels[i] for i in viterbi(*potentials(f, w, f.encode(columns(ts))))] if len(ts) else [] for ts in sentences])
 
-    return rows.select(*key, "tokens").mapInPandas(run, StructType([rows.schema[k] for k in key]).add("tags", ArrayType(StringType())))
+    return rows.select(*key, run("tokens").alias("tags"))

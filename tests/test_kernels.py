@@ -362,3 +362,53 @@ def test_synonym_pairs(spark):
     words, syn = ["walking", "walked", "unwalked", "king", "ked", "goals", "goald", "sings", "edsed"], [("ing", "ed"), ("s", "d")]
     got = {tuple(r) for r in synonym_pairs(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(syn, "x string, y string")).collect()}
     assert got == {(a, b) for a in words for b in words if strip_common(a, b) in syn}
+
+
+def test_crf_bigram_templates_with_macros(spark):
+    """Labels that only the pair of a word and the label before tells, by a template `B1:%x[0,0]`, against all label sequences."""
+    data = [([["a", "1"], ["x", "1"], ["b", "1"], ["x", "1"]], ["P", "P", "Q", "Q"]), ([["b", "2"], ["x", "2"], ["a", "2"], ["x", "2"]], ["Q", "Q", "P", "P"])]
+    f = crf.Features.build(["U0:%x[0,0]", "U1:%x[0,1]", "B", "B1:%x[0,0]"], data)
+    assert set(f.pairs) == {"B", "B1:a", "B1:b", "B1:x"} and f.size == (3 + 2) * 2 + 4 * 4
+    w = crf.train(f, data, "l2", 10.0, 60)
+    for rows, tags in data:
+        assert [f.labels[i] for i in crf.viterbi(*crf.potentials(f, w, f.encode(rows)))] == tags
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=f.size)
+    x = f.encode(data[0][0])
+    unary, pair = crf.potentials(f, w, x)
+    score = lambda ys: sum(unary[t, y] for t, y in enumerate(ys)) + sum(pair[t, ys[t - 1], ys[t]] for t in range(1, len(ys)))
+    every = sorted(itertools.product(range(2), repeat=4), key=lambda ys: -score(ys))
+    z, single, joint = crf.marginals(unary, pair)
+    total = sum(np.exp(score(ys)) for ys in every)
+    assert z == pytest.approx(np.log(total)) and tuple(crf.viterbi(unary, pair)) == every[0] and [tuple(y) for _, y in crf.n_best(unary, pair, 4)] == every[:4]
+    assert single[2, 1] == pytest.approx(sum(np.exp(score(ys)) for ys in every if ys[2] == 1) / total)
+    assert joint[2, 0, 1] == pytest.approx(sum(np.exp(score(ys)) for ys in every if ys[1:3] == (0, 1)) / total)
+    y = [0, 1, 1, 0]
+    value, g = crf.gradient(f, w, x, y)
+    for i in range(f.size):
+        d = np.zeros(f.size)
+        d[i] = 1e-6
+        assert (crf.gradient(f, w + d, x, y)[0] - value) / 1e-6 == pytest.approx(g[i], abs=1e-4)
+    tagged = crf.tag(spark.createDataFrame([(1, data[0][0]), (2, [])], "id long, tokens array<array<string>>"), ["id"], f, crf.train(f, data, "l2", 10.0, 60))
+    assert {r["id"]: r["tags"] for r in tagged.collect()} == {1: ["P", "P", "Q", "Q"], 2: []}
+
+
+def test_svm_entities(spark):
+    """Names are capitalised words after a title; machines by window features, decoded to legal labels."""
+    from glossa.operators import svm
+
+    rng = random.Random(3)
+    rows = []
+    for s in range(60):
+        words = []
+        for _ in range(4):
+            words += [("mr", "OTHER"), (rng.choice(["Ann", "Bob", "Cid"]), "PERSON:head"), (rng.choice(["Lee", "Kim"]), "PERSON:tail")] if rng.random() < 0.5 else [(rng.choice(["a", "b", "Lee", "Ann"]), "OTHER")]
+        rows += [(s, i, w, "cap" if w[0].isupper() else "low", y) for i, (w, y) in enumerate(words)]
+    df = spark.createDataFrame(rows, "s int, i int, word string, shape string, label string")
+    wide = svm.window_features(df, ["s"], "i", ["word", "shape"])
+    models = svm.train(wide.where("s < 40").coalesce(1), size=1 << 10, rounds=8)
+    assert set(models) == {"OTHER", "PERSON:head", "PERSON:tail"}
+    found = svm.label_entities(svm.probabilities(wide.where("s >= 40").drop("label"), models, 1 << 10), ["s"], "i")
+    want = {(s, i): y for s, i, _, _, y in rows if s >= 40}
+    got = {(r["s"], r["i"]): r["label"] for r in found.collect()}
+    assert got.keys() == want.keys() and np.mean([got[k] == want[k] for k in want]) > 0.95
