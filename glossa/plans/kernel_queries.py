@@ -20,7 +20,7 @@ def _document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jtab_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of documents written as analysed text and read again."""
-    from glossa.sources.jtab import read_jtab, to_tables, write_jtab
+    from glossa.sources.jtab import read_jtab, write_jtab
 
     sents = sentences(table(spark, sf_dir, "documents"))
     ts = tokens(F.col("sentence"))
@@ -36,10 +36,9 @@ def jtab_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     folder = scratch_dir(spark)
     write_jtab(records, folder)
-    back = to_tables(read_jtab(spark, folder))["morphemes"]
-    doc, number = F.regexp_extract("sent_id", "^(.*)-", 1).cast("long").alias("doc_id"), F.regexp_extract("sent_id", "-([0-9]+)$", 1).cast("int").alias("sent_no")
-    read = back.groupBy(doc, number).agg(F.count("*").alias("n_morphemes"), F.array_sort(F.collect_list(F.struct("morph_no", "surface"))).alias("ms"))
-    return read.select("doc_id", F.col("sent_no").cast("long").alias("sent_no"), "n_morphemes", F.md5(F.array_join(F.transform("ms", lambda m: m["surface"]), " ")).alias("surfaces"))
+    back = read_jtab(spark, folder).select("sent_id", F.transform("morphemes", lambda m: m["surface"]).alias("ms")).where(F.size("ms") > 0)
+    doc, number = F.regexp_extract("sent_id", "^(.*)-", 1).cast("long").alias("doc_id"), F.regexp_extract("sent_id", "-([0-9]+)$", 1).cast("long").alias("sent_no")
+    return back.select(doc, number, F.size("ms").cast("long").alias("n_morphemes"), F.md5(F.array_join("ms", " ")).alias("surfaces"))
 
 
 def crf_tag(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -262,3 +262,28 @@ def test_reach_inside_the_row_equals_the_window(spark):
     window = dependency.with_barrier(structure.phrases(sents), comma(F.col("last")))
     columns = ["doc_id", "sent_no", "phrase_no", "reach"]
     assert rows(inside.select(columns), *columns) == rows(window.select(columns), *columns)
+
+
+def test_jtab_arrays_are_the_records_line_by_line(spark):
+    import pyarrow as pa
+
+    plain = "# S-ID:b-2 note\n" + "".join(f"{w} {w} {w} noun 6 * 0 * 0 * 0 {r}\n" for w, r in (("#", "NIL"), ("*", '"x y" <a>'), ("@", "<a><b:\\>c>"), ("a\u3000b\xa0", "NIL")))
+    texts = [RECORD.removesuffix("EOS\n"), plain, plain.split("\n", 1)[1], "# S-ID:c-1\nbroken\n", "# only", "", "! x\n" + plain, "a a a n 1 * 0 * 0 * 0\n@ b b b n 1 * 0 * 0 * 0 NIL", "# a\n# S-ID:d-4\nx x x n 1 * 0 * 0 * 0"]
+    found = sorted((r for b in jtab.parse_records(pa.array(texts), "!") for r in b.to_pylist()), key=str)
+    wanted = sorted((r for t in texts if (r := jtab.parse_record(t, "!"))), key=str)
+    assert found == wanted and [m["surface"] for m in jtab.parse_record(plain)["morphemes"]] == ["#", "*", "@", "a\u3000b\xa0"]
+    batch = pa.RecordBatch.from_pylist(wanted, schema=jtab.arrow_schema())
+    assert sorted(jtab.format_records(batch).to_pylist()) == sorted(jtab.format_record(r).removesuffix("\n") for r in wanted)
+
+
+def test_jtab_plain_records_are_not_handled_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    def refuse(*_):
+        raise AssertionError("record by record")
+
+    monkeypatch.setattr(jtab, "parse_record", refuse)
+    monkeypatch.setattr(jtab, "format_record", refuse)
+    text = "# S-ID:b-2\n" + "w w w noun 6 * 0 * 0 * 0 NIL\n" * 3
+    (batch,) = jtab.parse_records(pa.array([text] * 5))
+    assert jtab.format_records(batch).to_pylist() == [text + "EOS"] * 5
