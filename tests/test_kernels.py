@@ -412,3 +412,39 @@ def test_svm_entities(spark):
     want = {(s, i): y for s, i, _, _, y in rows if s >= 40}
     got = {(r["s"], r["i"]): r["label"] for r in found.collect()}
     assert got.keys() == want.keys() and np.mean([got[k] == want[k] for k in want]) > 0.95
+
+
+def test_rules_compiled_match_spans_and_plain_places_search_nothing(spark, monkeypatch):
+    import random
+
+    from glossa.operators import rules as r
+
+    draw = random.Random(5)
+    notations = ["[pos=a]", "[pos=a|b]", "[pos=^a]", "[f]", "[^f]", "[f & g]", "[&single]", "[pos=a f]", "[pos=a]*", "[pos=b]? [pos=a]", "[pos=a] [f]", "[pos=c]*[f]"]
+    side = lambda none: draw.choice([none, (), *map(r.parse_pattern, notations)])
+    functions = {"single": lambda u, i, _: len(u[i].attributes["surface"]) == 1}
+    for _ in range(3000):
+        units = [r.Unit({"pos": draw.choice("abc"), "surface": draw.choice(("x", "xy"))}, draw.sample(["f", "g:1", "h"], draw.randrange(3))) for _ in range(draw.randrange(1, 6))]
+        rule = r.Rule(("z",), draw.choice([None, *map(r.parse_pattern, notations)]), side(None), side(None))
+        span = r.compiled(rule, functions)
+        assert [span(units, i) for i in range(len(units))] == [rule.span(units, i, functions) for i in range(len(units))]
+
+    def refuse(*_):
+        raise AssertionError("a state search for one place")
+
+    monkeypatch.setattr(r, "lengths", refuse)
+    units = [r.Unit({"pos": p}) for p in "aab"]
+    r.apply((r.Rule(("z",), r.parse_pattern("[pos=a]"), r.parse_pattern("[pos=a]"), r.parse_pattern("[pos=b]")),), units)
+    assert [u.features for u in units] == [[], ["z"], []]
+
+
+def test_rules_over_batches_of_any_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from glossa.operators import rules as r
+
+    rows = spark.range(50).select("id", F.transform(F.sequence(F.lit(1), F.col("id").cast("int")), lambda i: F.struct(F.when(i % 3 == 0, "a").when(i % 3 == 1, "b").alias("pos"))).alias("units"))
+    rows = rows.select("id", F.when(F.col("id") > 1, F.col("units")).alias("units"))
+    sets = [r.RuleSet("k", (r.Rule(("x", "y:1"), r.parse_pattern("[pos=a]")),))]
+    got = {x["id"]: x["features"] for x in r.apply_sets(rows, sets, ["id"]).collect()}
+    assert got == {i: [] if i < 2 else [["x", "y:1"] if k % 3 == 0 else [] for k in range(1, i + 1)] for i in range(50)}
