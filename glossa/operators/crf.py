@@ -110,6 +110,39 @@ def viterbi(unary: np.ndarray, pair: np.ndarray) -> list[int]:
     return out[::-1]
 
 
+def viterbi_many(unary: np.ndarray, pair: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """viterbi of many sequences at once, as their labels end to end: unary holds their places end to end, pair is one matrix for all
+    places or one for each. Sequences go side by side, so a step of all costs little more than a step of one."""
+    sizes = np.asarray(sizes, int)
+    begins = np.r_[0, sizes.cumsum()[:-1]] if len(sizes) else np.zeros(0, int)
+    order = np.argsort(-sizes, kind="stable")
+    sizes, begins = sizes[order], begins[order]
+    live = int((sizes > 0).sum())
+    sizes, begins = sizes[:live], begins[:live]
+    out = np.zeros(len(unary), int)
+    if not live:
+        return out
+    kind = np.int8 if unary.shape[1] < 128 else int
+    back = np.zeros(unary.shape, kind)
+    best = unary[begins].copy()
+    into = np.ascontiguousarray(pair.T) if pair.ndim == 2 else None  # by label, then by the label before
+    longer = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")  # how many have at least t places, by t - 1
+    for t in range(1, int(sizes[0])):
+        n = longer[t]
+        at = begins[:n] + t
+        scores = best[:n, None, :] + (into[None] if into is not None else pair[at].transpose(0, 2, 1))
+        back[at] = came = scores.argmax(axis=2)
+        best[:n] = np.take_along_axis(scores, came[:, :, None], 2)[:, :, 0] + unary[at]
+    label = best.argmax(axis=1)
+    for t in range(int(sizes[0]) - 1, -1, -1):
+        n = longer[t]
+        at = begins[:n] + t
+        out[at] = label[:n]
+        if t:
+            label[:n] = back[at, label[:n]]
+    return out
+
+
 def n_best(unary: np.ndarray, pair: np.ndarray, k: int) -> list[tuple[float, list[int]]]:
     """The k best label sequences, by the k best at each place and label."""
     n = unary.shape[1]
@@ -276,17 +309,26 @@ def may_follow(before: str | None, label: str | None) -> bool:
 
 def decode_entities(probabilities: np.ndarray, barred: Sequence[bool] | None = None) -> list[str]:
     """The most probable legal labels from marginals (places x 33); `barred` places can't be head or single."""
-    with np.errstate(divide="ignore"):
-        unary = np.log(np.maximum(probabilities, 1e-300))
-    starts = np.array([p.endswith((":head", ":single")) for p in ENTITY_LABELS])
-    for t, no in enumerate(barred or ()):
+    return decode_entities_many(probabilities, [len(probabilities)], barred) if len(probabilities) else []
+
+
+LEGAL = np.array([[0.0 if may_follow(a, b) else -1e9 for b in ENTITY_LABELS] for a in ENTITY_LABELS])
+LEGAL_FIRST = np.array([0.0 if may_follow(None, b) else -1e9 for b in ENTITY_LABELS])
+LEGAL_LAST = np.array([0.0 if may_follow(a, None) else -1e9 for a in ENTITY_LABELS])
+STARTS = np.array([p.endswith((":head", ":single")) for p in ENTITY_LABELS])
+
+
+def decode_entities_many(probabilities: np.ndarray, sizes: Sequence[int], barred: Sequence[bool] | None = None) -> list[str]:
+    """decode_entities of many sentences, whose places stand end to end in probabilities and barred, as they do in the labels."""
+    unary = np.log(np.maximum(probabilities, 1e-300))
+    for t, no in enumerate(barred if barred is not None else ()):
         if no:
-            unary[t, starts] = -1e9
-    pair = np.array([[0.0 if may_follow(a, b) else -1e9 for b in ENTITY_LABELS] for a in ENTITY_LABELS])
-    unary = unary.copy()
-    unary[0] += [0.0 if may_follow(None, b) else -1e9 for b in ENTITY_LABELS]
-    unary[-1] += [0.0 if may_follow(a, None) else -1e9 for a in ENTITY_LABELS]
-    return [ENTITY_LABELS[i] for i in viterbi(unary, pair)]
+            unary[t, STARTS] = -1e9
+    sizes = np.asarray(sizes, int)
+    ends = sizes.cumsum()[sizes > 0]
+    unary[ends - sizes[sizes > 0]] += LEGAL_FIRST
+    unary[ends - 1] += LEGAL_LAST
+    return [ENTITY_LABELS[i] for i in viterbi_many(unary, LEGAL, sizes).tolist()]
 
 
 def columns(tokens: Sequence) -> list[Sequence[str]]:
@@ -298,9 +340,71 @@ def tag(rows: DataFrame, key: Sequence[str], f: Features, w: np.ndarray) -> Data
     """rows (key, tokens array<string>, or array<array<string>> for several columns) to (key, tags array<string>)."""
     held = rows.sparkSession.sparkContext.broadcast((f, w))
 
-    @F.pandas_udf("array<string>")
-    def run(sentences: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<string>")
+    def run(sentences):
+        import pyarrow as pa
+
         f, w = held.value
-        return pd.Series([[f.labels[i] for i in viterbi(*potentials(f, w, f.encode(columns(ts))))] if len(ts) else [] for ts in sentences])
+        tables = Scores(f, w)
+        sizes = np.array(sentences.value_lengths().fill_null(0))
+        ends = np.r_[0, sizes.cumsum()]
+        flat, tags, row = sentences.flatten(), [], 0
+        names = pa.array(f.labels, pa.string())
+        while row < len(sizes):  # as many sentences as have HELD places, one at least
+            last = max(row + 1, int(np.searchsorted(ends, ends[row] + HELD, "right")) - 1)
+            own = columns(flat.slice(ends[row], ends[last] - ends[row]).to_pylist())
+            labels = viterbi_many(*tables.potentials(own, sizes[row:last]), sizes[row:last])
+            tags.append(names.take(pa.array(labels)))
+            row = last
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.concat_arrays(tags) if tags else pa.array([], pa.string()))
 
     return rows.select(*key, run("tokens").alias("tags"))
+
+
+#: How many places a task scores at a time, beside those of a longer sentence.
+HELD = 20_000
+
+
+class Scores:
+    """The potentials of many sentences at once. A template's features are looked up by template and cell text; a template of one
+    cell keeps what it found for a text."""
+
+    def __init__(self, f: Features, w: np.ndarray) -> None:
+        self.f = f
+        own, chain = f.split(w)
+        self.own, self.chain = np.r_[own, np.zeros((1, own.shape[1]))], np.r_[chain, np.zeros((1, *chain.shape[1:]))]  # the last for none
+        self.known: list[dict[str, int]] = [{} for _ in f.templates]
+
+    def _numbers(self, k: int, rows: Sequence[Sequence[str]], sizes: Sequence[int], known: dict[str, int]) -> np.ndarray:
+        template, missing = self.f.templates[k], len(known)
+        cells = MACRO.findall(template)
+        begins = np.r_[0, np.asarray(sizes, int).cumsum()]
+        if not cells:
+            return np.full(len(rows), known.get(template, missing))
+        if cells == [("0", c := cells[0][1])]:
+            at, held = int(c), self.known[k]
+            if len(held) > 1 << 18:
+                held.clear()
+            before, after = template[: template.index("%")], template[template.index("]") + 1 :]
+            out = np.empty(len(rows), int)
+            for i, r in enumerate(rows):
+                n = held.get(r[at])
+                if n is None:
+                    n = held[r[at]] = known.get(before + r[at] + after, missing)
+                out[i] = n
+            return out
+        return np.array([known.get(expand(template, rows[a:b], i), missing) for a, b in zip(begins[:-1], begins[1:], strict=True) for i in range(b - a)], int)
+
+    def potentials(self, rows: Sequence[Sequence[str]], sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """potentials of sentences end to end; one matrix of pairs for all places where no bigram template reads a cell."""
+        f, n = self.f, len(self.f.labels)
+        apart = any(t[:1] == "B" and "%x" in t for t in f.templates)
+        unary, pair, shared = np.zeros((len(rows), n)), np.zeros((len(rows) if apart else 0, n, n)), np.zeros((n, n))
+        for k, t in enumerate(f.templates):
+            if t[:1] == "U":
+                unary += self.own[self._numbers(k, rows, sizes, f.index)]
+            elif t[:1] == "B" and apart:
+                pair += self.chain[self._numbers(k, rows, sizes, f.pairs)]
+            elif t[:1] == "B":
+                shared += self.chain[f.pairs.get(t, len(f.pairs))]
+        return unary, pair if apart else shared

@@ -18,6 +18,25 @@ def entity_spans(tags: DataFrame, key: list[str], order: str, label: str = "labe
     ).drop("_entity")
 
 
+def entity_arrays(tokens: str, labels: str) -> Column:
+    """entity_spans inside a sentence's row, from arrays of its tokens and of their labels: array<struct<first, last, kind, text>>."""
+    all_ = F.transform(tokens, lambda t, i: F.struct(i.alias("at"), t.alias("surface"), F.get(labels, i).alias("label")))
+    marked = F.filter(all_, lambda m: m["label"] != "OTHER")
+
+    def spans(ms: Column) -> Column:
+        starts = F.filter(F.transform(ms, lambda m, i: F.when((i == 0) | m["label"].endswith(":head") | m["label"].endswith(":single"), i)), lambda i: i.isNotNull())
+        return F.get(F.transform(F.array(starts), lambda at: F.transform(at, lambda a, k: told(F.slice(ms, a + 1, F.coalesce(F.get(at, k + 1), F.size(ms)) - a)))), 0)
+
+    def told(own: Column) -> Column:
+        first = F.get(own, 0)
+        return F.struct(
+            first["at"].alias("first"), F.get(own, F.size(own) - 1)["at"].alias("last"), F.substring_index(first["label"], ":", 1).alias("kind"),
+            F.array_join(F.transform(own, lambda m: m["surface"]), "").alias("text"),
+        )
+
+    return F.get(F.transform(F.array(marked), spans), 0)  # a lambda's argument is computed once
+
+
 def entities_to_units(spans: DataFrame, units: DataFrame, key: list[str]) -> DataFrame:
     """The unit (key, unit_no, first, last) that holds an entity's last token gets its kind and text."""
     s = spans.select(*key, F.col("last").alias("_at"), "kind", "text")

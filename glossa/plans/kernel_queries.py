@@ -54,35 +54,39 @@ def crf_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def viterbi_ne(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities of documents: label scores by shape, legal labels by constrained decoding, spans by windows."""
+    """Entities of documents: label scores by shape, legal labels by constrained decoding, spans inside the row."""
     import numpy as np
-    import pandas as pd
 
     from glossa.operators import crf
-    from glossa.operators.entities import entity_spans
+    from glossa.operators.entities import entity_arrays
 
     at = {x: i for i, x in enumerate(crf.ENTITY_LABELS)}
 
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for d, s, ts in zip(pdf["doc_id"], pdf["sent_no"], pdf["tokens"], strict=True):
-                if not len(ts):
-                    continue
-                p = np.full((len(ts), len(at)), 0.001)
-                p[:, at["OTHER"]] = 0.5
-                for i, t in enumerate(ts):
-                    if t[:1].isupper() and i:
-                        for place in crf.PLACES:
-                            p[i, at[f"PERSON:{place}"]] = 0.6
-                    if t[:1].isdigit():
-                        p[i, at["DATE:single"]] = 0.9
-                out += [(d, s, i, t, y) for i, (t, y) in enumerate(zip(ts, crf.decode_entities(p), strict=True))]
-            yield pd.DataFrame(out, columns=["doc_id", "sent_no", "tok_no", "surface", "label"])
+    @F.arrow_udf("array<string>")
+    def run(sentences):
+        import pyarrow as pa
+
+        sizes = np.array(sentences.value_lengths().fill_null(0))
+        ends = np.r_[0, sizes.cumsum()]
+        flat, labels, row = sentences.flatten(), [], 0
+        while row < len(sizes):  # as many sentences as have HELD tokens, one at least
+            last = max(row + 1, int(np.searchsorted(ends, ends[row] + crf.HELD, "right")) - 1)
+            ts = flat.slice(ends[row], ends[last] - ends[row]).to_pylist()
+            p = np.full((len(ts), len(at)), 0.001)
+            p[:, at["OTHER"]] = 0.5
+            name = np.fromiter((t[:1].isupper() for t in ts), bool, len(ts))
+            name[ends[row:last][sizes[row:last] > 0] - ends[row]] = False
+            p[np.ix_(name, [at[f"PERSON:{place}"] for place in crf.PLACES])] = 0.6
+            p[np.fromiter((t[:1].isdigit() for t in ts), bool, len(ts)), at["DATE:single"]] = 0.9
+            labels.append(pa.array(crf.decode_entities_many(p, sizes[row:last]), pa.string()))
+            row = last
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.concat_arrays(labels) if labels else pa.array([], pa.string()))
 
     rows = _document_sentences(spark, sf_dir).select("doc_id", "sent_no", tokens(F.col("sentence")).alias("tokens"))
-    tags = rows.mapInPandas(run, "doc_id long, sent_no int, tok_no int, surface string, label string")
-    return entity_spans(tags, ["doc_id", "sent_no"], "tok_no")
+    # outer: from the plain form Catalyst infers a filter on the array, and computes it once more
+    tagged = rows.select("doc_id", "sent_no", "tokens", run("tokens").alias("labels"))
+    found = tagged.select("doc_id", "sent_no", F.explode_outer(entity_arrays("tokens", "labels")).alias("e"))
+    return found.where("e IS NOT NULL").select("doc_id", "sent_no", "e.*")
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:

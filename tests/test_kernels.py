@@ -448,3 +448,46 @@ def test_rules_over_batches_of_any_size(spark, monkeypatch):
     sets = [r.RuleSet("k", (r.Rule(("x", "y:1"), r.parse_pattern("[pos=a]")),))]
     got = {x["id"]: x["features"] for x in r.apply_sets(rows, sets, ["id"]).collect()}
     assert got == {i: [] if i < 2 else [["x", "y:1"] if k % 3 == 0 else [] for k in range(1, i + 1)] for i in range(50)}
+
+
+def test_sequences_side_by_side_are_decoded_as_one_by_one():
+    import numpy as np
+
+    from glossa.operators import crf
+
+    draw = np.random.default_rng(3)
+    for apart in (False, True):
+        sizes = [0, *draw.integers(0, 9, 40), 30, 0]
+        n = int(sum(sizes))
+        unary, pair = draw.integers(0, 3, (n, 4)).astype(float), draw.integers(0, 3, (n, 4, 4) if apart else (4, 4)).astype(float)  # many ties
+        ends = np.r_[0, np.cumsum(sizes)]
+        one_by_one = [y for a, b in zip(ends[:-1], ends[1:], strict=True) if b > a for y in crf.viterbi(unary[a:b], pair[a:b] if apart else pair)]
+        assert crf.viterbi_many(unary, pair, sizes).tolist() == one_by_one
+    p, sizes = draw.random((60, len(crf.ENTITY_LABELS))), [7, 0, 1, 52]
+    barred = draw.random(60) < 0.3
+    apart = [y for a, b in ((0, 7), (7, 8), (8, 60)) for y in crf.decode_entities(p[a:b], barred[a:b])]
+    assert crf.decode_entities_many(p, sizes, barred) == apart
+    assert all(crf.may_follow(a, b) for a, b in zip([None, *apart[:7]], [*apart[:7], None], strict=True))
+
+
+def test_entities_and_tags_inside_the_row(spark, monkeypatch):
+    import numpy as np
+
+    from glossa.operators import crf
+    from glossa.operators.entities import entity_arrays, entity_spans
+
+    sents = [["Anna", "of", "x", "y", "z", "1"], [], ["a"], ["A", "B"]]
+    labels = [["PERSON:single", "OTHER", "PERSON:head", "PERSON:middle", "PERSON:tail", "DATE:single"], [], ["OTHER"], ["TIME:head", "TIME:tail"]]
+    rows = spark.createDataFrame([(i, s, y) for i, (s, y) in enumerate(zip(sents, labels, strict=True))], "id int, tokens array<string>, labels array<string>")
+    flat = rows.selectExpr("id", "posexplode(arrays_zip(tokens, labels)) as (at, m)").selectExpr("id", "at", "m.tokens as surface", "m.labels as label")
+    wanted = sorted(map(tuple, entity_spans(flat, ["id"], "at").collect()))
+    assert sorted(map(tuple, rows.select("id", entity_arrays("tokens", "labels").alias("e")).selectExpr("id", "inline(e)").collect())) == wanted and len(wanted) == 4
+
+    data = [([[w] for w in s], ["N" if w[0].isupper() else "O" for w in s]) for s in sents if s]
+    plans = [(t, f, crf.train(f, data)) for t in (["U0:%x[0,0]", "B"], ["U0:%x[-1,0]/%x[1,0]", "U1:%x[0,0]", "U2", "B:%x[0,0]", "B"]) for f in [crf.Features.build(t, data)]]
+    wanted = [[[f.labels[i] for i in crf.viterbi(*crf.potentials(f, w, f.encode(crf.columns(s))))] if s else [] for s in sents] for _, f, w in plans]
+    for (_, f, w), tags in zip(plans, wanted, strict=True):
+        assert [r["tags"] for r in crf.tag(rows, ["id"], f, w).orderBy("id").collect()] == tags
+        flat = [[x] for s in sents for x in s]
+        unary, pair = crf.Scores(f, w).potentials(flat, [len(s) for s in sents])
+        assert np.array_equal(unary[:6], crf.potentials(f, w, f.encode(flat[:6]))[0]) and pair.shape[-1] == 2
