@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,33 +106,36 @@ FRAMES = (
 )
 
 
-def _plain(x: object) -> object:
-    """Rows and arrays as dicts and lists."""
-    if hasattr(x, "asDict"):
-        x = x.asDict()
-    if isinstance(x, dict):
-        return {k: _plain(v) for k, v in x.items()}
-    return [_plain(v) for v in x] if hasattr(x, "__len__") and not isinstance(x, str) else x
+def ranked(elements: str, frames: str, k: int) -> list[dict]:
+    """best_frames of elements and frames as JSON texts."""
+    own = tuple(Element(e["word"], tuple(e["cases"]), bool(e["adjacent"])) for e in json.loads(elements))
+    known = [  # float: JSON has texts for NaN and the infinities
+        Frame(f["frame_id"], float(f["probability"]), tuple(Slot(s["case"], dict(zip(s["words"], map(float, s["counts"]), strict=True)), float(s["filled"]), bool(s["obligatory"]), bool(s["adjacent"])) for s in f["slots"]))
+        for f in json.loads(frames)
+    ]
+    return [{"frame_id": i, "score": float(score), "slots": list(slots)} for score, i, slots in best_frames(own, known, k)]
 
 
 def assign_frames(rows: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """rows (keys, elements ELEMENTS, frames FRAMES) to (keys, rank, frame_id, score, slots): the k best frames of each predicate with the
-    slot of each element, from 0, -1 for none. A predicate's frames are found by lookup_frames; each predicate is a row."""
-
-    @F.pandas_udf("array<struct<frame_id: string, score: double, slots: array<int>>>")
-    def run(elements: pd.Series, frames: pd.Series) -> pd.Series:
-        out = []
-        for es, fs in zip(elements, frames, strict=True):
-            own = tuple(Element(e["word"], tuple(e["cases"]), bool(e["adjacent"])) for e in _plain(es))
-            known = [
-                Frame(f["frame_id"], f["probability"], tuple(Slot(s["case"], dict(zip(s["words"], s["counts"], strict=True)), s["filled"], bool(s["obligatory"]), bool(s["adjacent"])) for s in f["slots"]))
-                for f in _plain(fs)
-            ]
-            out.append([{"frame_id": i, "score": float(score), "slots": list(slots)} for score, i, slots in best_frames(own, known, k)])
-        return pd.Series(out)
-
-    found = rows.select(*keys, run(F.col("elements").cast(ELEMENTS), F.col("frames").cast(FRAMES)).alias("found"))
-    return found.select(*keys, F.posexplode("found").alias("rank", "f")).select(*keys, (F.col("rank") + 1).alias("rank"), "f.frame_id", "f.score", "f.slots")
+    slot of each element, from 0, -1 for none. A predicate's frames are found by lookup_frames; each predicate is a row. Equal
+    predicates of a batch are assigned once."""
+
+    @F.arrow_udf("array<struct<frame_id: string, score: double, slots: array<int>>>")
+    def run(elements, frames):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("frame_id", pa.string()), ("score", pa.float64()), ("slots", pa.list_(pa.int32()))]))
+        es, fs = elements.dictionary_encode(), frames.dictionary_encode()
+        pairs = np.array(es.indices).astype(np.int64) * max(1, len(fs.dictionary)) + np.array(fs.indices)
+        which, of = np.unique(pairs, return_inverse=True)
+        es, fs, wide = es.dictionary.to_pylist(), fs.dictionary.to_pylist(), max(1, len(fs.dictionary))
+        return pa.array([ranked(es[w // wide], fs[w % wide], k) for w in which.tolist()], kind).take(pa.array(of))
+
+    text = lambda c, kind: F.to_json(F.col(c).cast(kind), {"ignoreNullFields": "false"})
+    # outer: from the plain form Catalyst infers a filter on the array, and assigns once more to push that down
+    found = rows.select(*keys, run(text("elements", ELEMENTS), text("frames", FRAMES)).alias("found")).select(*keys, F.posexplode_outer("found").alias("rank", "f"))
+    return found.where("rank IS NOT NULL").select(*keys, (F.col("rank") + 1).alias("rank"), "f.frame_id", "f.score", "f.slots")
 
 
 def best_frames(elements: tuple[Element, ...], frames: list[Frame], k: int = 5) -> list[tuple[float, str, tuple[int, ...]]]:

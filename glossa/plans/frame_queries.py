@@ -3,7 +3,7 @@ frames, the flags and modes of lines for slots. Each with the same in DuckDB's S
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.functions import probability as pr
@@ -108,12 +108,15 @@ def frame_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glossa.operators.frames import FRAMES as TYPE
     from glossa.operators.frames import assign_frames
 
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber IN (1, 2)").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("l_returnflag"))
-    cases = F.when(F.col("l_linenumber") == 1, F.array(F.lit("ga"))).otherwise(F.array(F.lit("ga"), F.lit("wo")))
-    element = F.struct("l_linenumber", F.struct(F.col("l_returnflag").alias("word"), cases.alias("cases"), F.lit(False).alias("adjacent")).alias("e"))
-    orders = line.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(element)).alias("own"))  # two lines at most
+    def element(n: int, *cases: str) -> Column:
+        its = F.col("l_linenumber") == n
+        word = F.max(F.when(its, F.col("l_returnflag"))).alias("word")
+        return F.when(F.count_if(its) > 0, F.struct(word, F.array(*map(F.lit, cases)).alias("cases"), F.lit(False).alias("adjacent")))
+
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber IN (1, 2)").groupBy("l_orderkey")
+    orders = lines.agg(F.filter(F.array(element(1, "ga"), element(2, "ga", "wo")), lambda x: x.isNotNull()).alias("elements"))
     known = spark.createDataFrame([(FRAMES,)], f"frames {TYPE}")
-    rows = orders.select("l_orderkey", F.transform("own", lambda x: x["e"]).alias("elements")).join(F.broadcast(known))  # one row
+    rows = orders.join(F.broadcast(known))  # one row
     found = assign_frames(rows, ["l_orderkey"], 3)
     return found.select("l_orderkey", F.col("rank").cast("long").alias("rank"), "frame_id", F.round("score", 6).alias("score"))
 

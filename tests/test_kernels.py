@@ -491,3 +491,36 @@ def test_entities_and_tags_inside_the_row(spark, monkeypatch):
         flat = [[x] for s in sents for x in s]
         unary, pair = crf.Scores(f, w).potentials(flat, [len(s) for s in sents])
         assert np.array_equal(unary[:6], crf.potentials(f, w, f.encode(flat[:6]))[0]) and pair.shape[-1] == 2
+
+
+def test_equal_predicates_are_assigned_once(spark, monkeypatch):
+    import pyarrow as pa  # noqa: F401
+    from pyspark.sql import functions as F
+
+    from glossa.operators import frames as fr
+
+    slots = [("ga", 0.5, False, False, ["A", "N"], [3.0, 1.0]), ("wo", 0.4, False, False, ["R"], [float("nan")])]
+    one, two = [("eat", 0.6, slots)], [("eat", 0.1, slots[:1]), ("go", 0.3, slots)]
+    data = [(i, [("A", ["ga"], False), (None if i % 2 else "N", ["ga", "wo"], True)][: i % 3], one if i % 4 else two) for i in range(24)]
+    rows = spark.createDataFrame(data, f"id int, elements {fr.ELEMENTS}, frames {fr.FRAMES}")
+    got = [(r["id"], r["rank"], r["frame_id"], str(r["score"]), r["slots"]) for r in fr.assign_frames(rows, ["id"], 2).orderBy("id", "rank").collect()]
+    wanted = []
+    for i, es, fs in data:
+        known = [fr.Frame(n, p, tuple(fr.Slot(c, dict(zip(w, x, strict=True)), f, o, a) for c, f, o, a, w, x in s)) for n, p, s in fs]
+        best = fr.best_frames(tuple(fr.Element(w, tuple(c), a) for w, c, a in es), known, 2)
+        wanted += [(i, k + 1, name, str(score), list(at)) for k, (score, name, at) in enumerate(best)]
+    assert got == wanted
+    plan = fr.assign_frames(rows.select("id", "elements", F.col("frames")), ["id"], 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # twice before: a filter inferred from the explode ran it again
+
+
+def test_segmented_batches_are_handed_on_in_pieces(monkeypatch):
+    import pandas as pd
+
+    from glossa.operators import lattice as la
+
+    monkeypatch.setattr(la, "HELD", 10)
+    trie, grammar = la.Trie([]), la.Grammar({"Space": 1.0})
+    texts = pd.DataFrame({"k": range(50), "t": ["ab cd ef"] * 49 + [None]})
+    pieces = list(la.segment_frames([texts], "k", "t", trie, grammar))
+    assert max(map(len, pieces)) < 10 + 5 and sum(map(len, pieces)) == 49 * 5 and list(pd.concat(pieces)["k"]) == [k for k in range(49) for _ in range(5)]
