@@ -7,6 +7,7 @@ the array of morphemes inside the sentence's row, so nothing is shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from glossa.operators.structure import spans
 
 Test = Callable[[Column], Column]
+#: What a morpheme is, as bits of one number: every test is asked once a morpheme, and the rest reads numbers.
+PHRASE, UNIT, PREFIX, CONTENT, SEMI = 1, 2, 4, 8, 16
 
 
 def starts(ms: str, test: Test) -> Column:
@@ -27,26 +30,40 @@ def unit_arrays(rows: DataFrame, keys: Sequence[str], ms: str, phrase: Test, uni
     phrase and unit mark the morphemes that start one; prefix those before the content, content the content ones. The head is
     the last content or, with semi, semi-content morpheme, else the first. A sentence without morphemes has no row.
     """
-    base = rows.where(F.size(ms) > 0).select(*keys, ms, starts(ms, phrase).alias("_ps"))
-    phrases = base.select(*keys, ms, spans(F.col("_ps"), F.size(ms)).alias("_spans"))
-    full = content if semi is None else lambda m: content(m) | semi(m)
+    bits = [(phrase, PHRASE), (unit, UNIT), (prefix, PREFIX), (content, CONTENT)] + ([(semi, SEMI)] if semi is not None else [])
+    tests = list(dict.fromkeys(t for t, _ in bits))  # one that serves twice is asked once
+
+    def marks(m: Column) -> Column:
+        asked = [F.when(t(m), F.lit(sum(b for other, b in bits if other is t))).otherwise(F.lit(0)) for t in tests]
+        return reduce(lambda a, b: a + b, asked)
+
+    def let(value: Column, use: Test) -> Column:
+        return F.get(F.transform(F.array(value), use), 0)  # a lambda's argument is computed once
+
+    has = lambda m, bit: m.bitwiseAND(F.lit(bit)) != 0
+    base = rows.where(F.size(ms) > 0).select(*keys, ms, F.transform(ms, marks).alias("_ms"))
+    begun = base.select(*keys, ms, "_ms", starts("_ms", lambda m: has(m, PHRASE)).alias("_ps"))
+    phrases = begun.select(*keys, ms, "_ms", spans(F.col("_ps"), F.size("_ms")).alias("_spans"))
 
     def inside(span: Column, k: Column) -> Column:
-        at = F.filter(F.sequence(span["first"], span["last"]), lambda i: (i == span["first"]) | unit(F.get(ms, i)))
-        return F.transform(at, lambda a, i: F.struct(k.alias("phrase_no"), a.alias("first"), (F.coalesce(F.get(at, i + 1), span["last"] + 1) - 1).alias("last")))
-
-    def described(u: Column) -> Column:
-        own = F.slice(ms, u["first"] + 1, u["last"] - u["first"] + 1)
-        before = F.size(F.filter(own, prefix))
-        heads = F.size(F.filter(own, lambda m: content(m) & ~prefix(m)))
-        head = F.array_max(F.filter(F.sequence(u["first"], u["last"]), lambda i: full(F.get(ms, i))))
+        at = F.filter(F.sequence(span["first"], span["last"]), lambda i: (i == span["first"]) | has(F.get("_ms", i), UNIT))
+        cut = lambda at: F.transform(at, lambda a, i: described(k, a, F.coalesce(F.get(at, i + 1), span["last"] + 1) - 1))
+        return let(at, cut)
+
+    def described(k: Column, first: Column, last: Column) -> Column:
+        return let(F.slice("_ms", first + 1, last - first + 1), lambda own: told(k, first, own))
+
+    def told(k: Column, first: Column, own: Column) -> Column:
+        before = F.size(F.filter(own, lambda m: has(m, PREFIX)))
+        heads = F.size(F.filter(own, lambda m: m.bitwiseAND(F.lit(PREFIX | CONTENT)) == CONTENT))
+        head = F.array_max(F.transform(own, lambda m, i: F.when(has(m, CONTENT | SEMI), first + i)))
+        rest = F.size(F.filter(own, lambda m: ~has(m, PREFIX | CONTENT)))
         return F.struct(
-            u["phrase_no"].alias("phrase_no"), u["first"].alias("first"), u["last"].alias("last"), before.alias("n_prefix"), heads.alias("n_content"),
-            (F.size(own) - before - heads).alias("n_suffix"), F.coalesce(head, u["first"]).alias("head"),
+            k.alias("phrase_no"), first.alias("first"), (first + F.size(own) - 1).alias("last"), before.alias("n_prefix"), heads.alias("n_content"),
+            rest.alias("n_suffix"), F.coalesce(head, first).alias("head"),
         )
 
-    cut = phrases.select(*keys, ms, F.flatten(F.transform("_spans", inside)).alias("_us"))
-    return cut.select(*keys, ms, F.transform("_us", described).alias("us"))
+    return phrases.select(*keys, ms, F.flatten(F.transform("_spans", inside)).alias("us"))
 
 
 def units(rows: DataFrame, keys: Sequence[str], ms: str, phrase: Test, unit: Test, prefix: Test, content: Test, semi: Test | None = None) -> DataFrame:

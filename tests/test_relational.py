@@ -287,3 +287,25 @@ def test_jtab_plain_records_are_not_handled_one_by_one(monkeypatch):
     text = "# S-ID:b-2\n" + "w w w noun 6 * 0 * 0 * 0 NIL\n" * 3
     (batch,) = jtab.parse_records(pa.array([text] * 5))
     assert jtab.format_records(batch).to_pylist() == [text + "EOS"] * 5
+
+
+def test_units_ask_each_test_once(spark):
+    from pyspark.sql import functions as F
+
+    from glossa.operators import units
+
+    asked = []
+
+    def test(name, *words):
+        def run(m):
+            asked.append(name)
+            return m.isin(*words)
+
+        return run
+
+    content = test("content", "C", "D")
+    df = spark.createDataFrame([(1, ["x", "p", "C", "s", "u", "D", ",", "p"]), (2, []), (3, ["D"])], "id int, ms array<string>")
+    made = units.unit_arrays(df, ["id"], "ms", phrase=content, unit=test("unit", "u"), prefix=test("prefix", "p"), content=content, semi=test("semi", ","))
+    assert sorted(asked) == ["content", "prefix", "semi", "unit"]  # each was asked in several places before
+    got = [tuple(r) for r in made.select("id", F.inline("us")).orderBy("id", "first").collect()]
+    assert got == [(1, 0, 0, 1, 1, 0, 1, 0), (1, 1, 2, 3, 0, 1, 1, 2), (1, 1, 4, 4, 0, 0, 1, 4), (1, 2, 5, 7, 1, 1, 1, 6), (3, 0, 0, 0, 0, 1, 0, 0)]
