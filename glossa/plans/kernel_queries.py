@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.operators.structure import is_function, phrases, sentences, tokens
+from glossa.operators.structure import is_function, phrase_arrays, sentences, tokens
 from glossa.plans.session import scratch_dir, table
 
 
@@ -90,12 +90,13 @@ def viterbi_ne(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ps = phrases(_document_sentences(spark, sf_dir))
-    case = F.when(F.col("phrase_no") == 0, "topic").when(F.col("n_tok") == 2, "subject").when(F.col("n_tok") == 3, "object")
-    row = F.struct("phrase_no", case.alias("case"), F.col("last").endswith(",").alias("comma"), (F.col("n_tok") > 1).alias("predicate"), "head")
-    per = ps.groupBy("doc_id", "sent_no").agg(F.array_sort(F.collect_list(row)).alias("ps"))
-    field = lambda name: F.transform("ps", lambda p: p[name])
-    return per.select("doc_id", "sent_no", field("case").alias("cases"), field("comma").alias("commas"), field("predicate").alias("predicates"), field("head").alias("words"))
+    """A row for each sentence, dealt out anew: the kernels take long over a few long sentences."""
+    field = lambda make: F.transform("ps", make)
+    case = lambda p, i: F.when(i == 0, "topic").when(p["n_tok"] == 2, "subject").when(p["n_tok"] == 3, "object")
+    rows = phrase_arrays(_document_sentences(spark, sf_dir)).select(
+        "doc_id", "sent_no", field(case).alias("cases"), field(lambda p: p["last"].endswith(",")).alias("commas"), field(lambda p: p["n_tok"] > 1).alias("predicates"), field(lambda p: p["head"]).alias("words")
+    )
+    return rows.repartition("doc_id", "sent_no")
 
 
 def cky_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

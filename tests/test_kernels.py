@@ -141,6 +141,29 @@ def test_sentences_that_fall_back_are_marked(spark):
     assert late["fallback"] == "time" and late["heads"] == [1, 2, 3, 4, 5, -1] and whole["fallback"] is None
 
 
+def test_plain_search_is_the_chart_search():
+    rng = random.Random(8)
+    kinds = {None: chart.BARE, "subject": chart.SUBJECT, "object": chart.OBJECT, "topic": chart.TOPIC, "dative": chart.OTHER}
+    for _ in range(150):
+        n, often, comma = rng.randint(1, 14), rng.choice([0.1, 0.4, 0.8, 1.0]), rng.choice([0.0, 0.2, 0.6])
+        cases, commas, predicates = [rng.choice([*kinds]) for _ in range(n)], [rng.random() < comma for _ in range(n)], [rng.random() < often for _ in range(n)]
+        beam = rng.choice([1, 2, 8, 8])
+        plain = chart.plain_sentence(cases, commas, predicates)
+        best, why = chart.search(plain, beam)
+        codes, barriers = [kinds[c] for c in cases], [a and b for a, b in zip(commas, predicates, strict=True)]
+        assert chart.search_plain(codes, predicates, barriers, beam) == (best[0][0], list(best[0][1]), why)
+        late = chart.search_plain(codes, predicates, barriers, beam, 1e-9)
+        assert n < 2 or late == (chart.fallback(plain)[0], list(chart.fallback(plain)[1]), "time")
+
+
+def test_long_sentences_are_parsed_in_time(spark):
+    rng = random.Random(9)
+    make = lambda i, n, often: (i, [rng.choice([None, "subject", "object"]) for _ in range(n)], [False] * n, [rng.random() < often for _ in range(n)])
+    rows = spark.createDataFrame([make(1, 120, 0.5), make(2, 5000, 0.0005)], "id int, cases array<string>, commas array<boolean>, predicates array<boolean>")
+    found = {r["id"]: r for r in chart.parse_sentences(rows, ["id"], seconds=20.0).collect()}
+    assert [found[i]["fallback"] for i in (1, 2)] == [None, None] and len(found[2]["heads"]) == 5000
+
+
 def test_coordination_scope_and_relations():
     item = coordination.Item
     items = [item("old"), item("cats"), item("young"), item("cats"), item("ran", True)]
