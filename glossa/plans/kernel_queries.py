@@ -116,9 +116,11 @@ def coord_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
         for pdf in frames:
             out = []
             for d, s, words, commas, predicates in zip(pdf["doc_id"], pdf["sent_no"], pdf["words"], pdf["commas"], pdf["predicates"], strict=True):
+                keys = [i for i, c in enumerate(commas) if c and i + 1 < len(commas)]
+                if not keys:
+                    continue
                 items = [Item(w.lower(), bool(p), level=int(bool(c)) - 1) for w, c, p in zip(words, commas, predicates, strict=True)]
-                keys = [i for i, c in enumerate(commas) if c and i + 1 < len(items)]
-                out += [(d, s, x.start, x.key, x.end, round(x.score, 6), x.status) for x in consistent(items, keys)]
+                out += [(d, s, x.start, x.key, x.end, round(x.score, 6), x.status) for x in consistent(items, keys, paths=False)]
             yield pd.DataFrame(out, columns=["doc_id", "sent_no", "start", "key", "end", "score", "status"])
 
     return _parsed(spark, sf_dir).mapInPandas(run, "doc_id long, sent_no int, start int, key int, end int, score double, status string")

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -179,6 +180,37 @@ def test_coordination_scope_and_relations():
     assert all(coordination.relation(a, b) != "bad" for a, b in itertools.combinations(coordination.consistent(items, [0, 1, 2]), 2))
 
 
+def random_items(rng, n, rich):
+    def one():
+        more = {"kind": rng.choice(["", "quantity", "person", "place"]), "unit": rng.choice("xy"), "particles": frozenset(rng.sample("pqr", rng.randint(0, 2))), "topic": rng.random() < 0.3} if rich else {}
+        return coordination.Item("".join(rng.choice("abc") for _ in range(rng.randint(1, 7))), rng.random() < 0.3, level=int(rng.random() < 0.2) - 1, **more)
+
+    return [one() for _ in range(n)]
+
+
+@pytest.mark.parametrize("few", [2, 64])
+def test_scopes_by_grid_are_those_of_each_end(monkeypatch, few):
+    monkeypatch.setattr(coordination, "FEW", few)
+    rng = random.Random(few)
+    for k in range(40):
+        items = random_items(rng, rng.randint(2, 40), k % 3 == 0)
+        key, n = rng.randrange(len(items)), rng.randint(1, len(items))
+        one = coordination.align(items, key, range(key + 1, n))
+        assert coordination.Grid.of(items).best(key, n) == (one and (one.score, one.start, one.end, pytest.approx(one.score * (one.end - one.start + 1) ** 0.5)))
+        assert coordination.scope(items, key) == coordination.align(items, key, range(key + 1, len(items)))
+        keys = [i for i, x in enumerate(items) if not x.level]
+        bare, full = coordination.consistent(items, keys, paths=False), coordination.consistent(items, keys)
+        assert [(s.start, s.key, s.end, s.score, s.status) for s in bare] == [(s.start, s.key, s.end, s.score, s.status) for s in full] and all(s.path for s in full)
+
+
+def test_scopes_of_long_sentences_end():
+    items = random_items(random.Random(3), 500, False)
+    began = time.monotonic()
+    found = coordination.consistent(items, [i for i, x in enumerate(items[:-1]) if not x.level], paths=False)
+    assert found and time.monotonic() - began < 60
+    assert not any(coordination.relation(a, b) == "bad" for a, b in itertools.combinations(found, 2))
+
+
 def test_crf_marginals_and_paths_match_enumeration():
     rng = np.random.default_rng(2)
     unary, pair = rng.normal(size=(4, 3)), rng.normal(size=(3, 3))
