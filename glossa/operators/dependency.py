@@ -81,6 +81,32 @@ def count_candidates(ps: str, kind: Kind, types: Sequence[str]) -> Column:
     return F.get(F.transform(F.array(F.transform(ps, each)), told), 0)
 
 
+Test = Callable[[Column], Column]
+
+
+def count_ruled(ps: str, rules: Sequence[tuple[str, Test, Test]]) -> Column:
+    """count_candidates for types that a test of the governor and a test of the dependent decide together: (type, governor's,
+    dependent's); one pair may have several. No pair is made: a phrase that governs has all dependents since the last barrier,
+    whose number and sum of places are carried along, so the work grows with the phrases."""
+    long = lambda x: F.lit(x).cast("long")
+    names = [f"{field}{k}" for k in range(len(rules)) for field in "cwnd"]
+    zero = F.struct(long(0).alias("i"), F.lit(-1).alias("reach"), *[long(0).alias(x) for x in names])
+
+    def step(s: Column, p: Column) -> Column:
+        fields, same = [], s["reach"] == p["reach"]
+        for k, (_, governs, depends) in enumerate(rules):
+            c, w, n, d = (s[f"{x}{k}"] for x in "cwnd")
+            yes, own = governs(p), depends(p)
+            fields += [
+                (F.when(same, c).otherwise(0) + F.when(own, 1).otherwise(0)).alias(f"c{k}"), (F.when(same, w).otherwise(0) + F.when(own, s["i"]).otherwise(0)).alias(f"w{k}"),
+                F.when(yes, n + c).otherwise(n).alias(f"n{k}"), F.when(yes, d + c * s["i"] - w).otherwise(d).alias(f"d{k}"),
+            ]
+        return F.struct((s["i"] + 1).alias("i"), p["reach"].alias("reach"), *fields)
+
+    told = lambda s: F.array(*[F.struct(F.lit(t).alias("type"), s[f"n{k}"].alias("n"), s[f"d{k}"].alias("distance")) for k, (t, _, _) in enumerate(rules)])
+    return F.aggregate(ps, zero, step, told)
+
+
 #: How many later phrases are tried first for a near governor.
 NEAR = 16
 

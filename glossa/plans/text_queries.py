@@ -82,6 +82,10 @@ def _kind(p: Column, g: Column) -> Column:
     return F.when(g["n_tok"] > 1, "D").when(p["n_tok"] == g["n_tok"], "P")
 
 
+#: _kind by rules; a phrase has one token at least.
+_RULES = (("D", lambda g: g["n_tok"] > 1, lambda p: F.lit(True)), ("P", lambda g: g["n_tok"] == 1, lambda p: p["n_tok"] == 1))
+
+
 def _long(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c, t in df.dtypes if t == "int"})
 
@@ -154,7 +158,7 @@ def head_of_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dpnd_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _reaching_arrays(spark, sf_dir).select("doc_id", F.inline_outer(dependency.count_candidates("ps", _kind, ("D", "P"))))
+    counts = _reaching_arrays(spark, sf_dir).select("doc_id", F.inline_outer(dependency.count_ruled("ps", _RULES)))
     return counts.groupBy("doc_id", "type").agg(F.sum("n").alias("n"), F.sum("distance").alias("distance")).where("n > 0")
 
 

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,24 @@ def test_governors_inside_the_row(spark):
     assert sorted(map(tuple, dependency.links(found, F.col("g2"), ["k"]).collect()))[0][0] >= 0
 
 
+def test_candidates_by_rule_are_those_of_pairs(spark):
+    rng = random.Random(12)
+    sents = [[(rng.choice([1, 1, 2, 3]), rng.random() < 0.25) for _ in range(rng.randint(1, 25))] for _ in range(40)]
+    reach = lambda s, i: next((j for j in range(i + 1, len(s)) if s[j][1]), len(s) - 1)
+    df = spark.createDataFrame([(k, [(n, reach(s, i)) for i, (n, _) in enumerate(s)]) for k, s in enumerate(sents)], "k int, ps array<struct<n: int, reach: int>>")
+    kind = lambda p, g: F.when(g["n"] > 1, "D").when(p["n"] == g["n"], "P")
+    rules = (("D", lambda g: g["n"] > 1, lambda p: F.lit(True)), ("P", lambda g: g["n"] == 1, lambda p: p["n"] == 1))
+    for r in df.select(dependency.count_ruled("ps", rules).alias("a"), dependency.count_candidates("ps", kind, ("D", "P")).alias("b")).collect():
+        assert r["a"] == r["b"]
+
+
+def test_candidates_of_a_long_sentence_are_counted_without_pairs(spark):
+    n, began = 60_000, time.monotonic()
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.struct(F.lit(2).alias("n"), F.lit(n - 1).alias("reach"))).alias("ps"))
+    told = df.select(F.inline(dependency.count_ruled("ps", (("D", lambda g: g["n"] > 1, lambda p: F.lit(True)),)))).first()
+    assert tuple(told) == ("D", n * (n - 1) // 2, (n - 1) * n * (n + 1) // 6) and time.monotonic() - began < 60
+
+
 def test_pair_quotes_and_projectivity(spark):
     p = spark.createDataFrame([(1, 0, 0, 1, 0), (1, 0, 1, 1, 0), (1, 0, 2, 0, 1), (2, 0, 0, 0, 1), (2, 0, 1, 0, 0)], "doc_id long, sent_no int, phrase_no int, o int, c int")
     assert rows(dependency.pair_quotes(p, F.col("o"), F.col("c")), "doc_id", "first") == [(1, 0, 0, 2), (1, 0, 1, 2), (2, 0, 0, 0)]
