@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.operators.structure import is_function, phrase_arrays, sentences, tokens
@@ -89,14 +89,16 @@ def viterbi_ne(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("e IS NOT NULL").select("doc_id", "sent_no", "e.*")
 
 
-def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each sentence, dealt out anew: the kernels take long over a few long sentences."""
+def _parsed(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> DataFrame:
+    """A row for each sentence, or each wanted one (a condition on the text), dealt out anew: the kernels take long over a few long sentences."""
     field = lambda make: F.transform("ps", make)
     case = lambda p, i: F.when(i == 0, "topic").when(p["n_tok"] == 2, "subject").when(p["n_tok"] == 3, "object")
-    rows = phrase_arrays(_document_sentences(spark, sf_dir)).select(
+    sents = _document_sentences(spark, sf_dir)
+    rows = phrase_arrays(sents if wanted is None else sents.where(wanted)).select(
         "doc_id", "sent_no", field(case).alias("cases"), field(lambda p: p["last"].endswith(",")).alias("commas"), field(lambda p: p["n_tok"] > 1).alias("predicates"), field(lambda p: p["head"]).alias("words")
     )
-    return rows.repartition("doc_id", "sent_no")
+    # a number of tasks that is given is not lowered to what the bytes of the rows call for
+    return rows.repartition(8 * spark.sparkContext.defaultParallelism, "doc_id", "sent_no")
 
 
 def cky_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,22 +110,34 @@ def cky_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coord_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coordination scopes of the phrases before a comma, in documents."""
-    import pandas as pd
-
-    from glossa.operators.coordination import Item, consistent
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for d, s, words, commas, predicates in zip(pdf["doc_id"], pdf["sent_no"], pdf["words"], pdf["commas"], pdf["predicates"], strict=True):
-                keys = [i for i, c in enumerate(commas) if c and i + 1 < len(commas)]
-                if not keys:
-                    continue
-                items = [Item(w.lower(), bool(p), level=int(bool(c)) - 1) for w, c, p in zip(words, commas, predicates, strict=True)]
-                out += [(d, s, x.start, x.key, x.end, round(x.score, 6), x.status) for x in consistent(items, keys, paths=False)]
-            yield pd.DataFrame(out, columns=["doc_id", "sent_no", "start", "key", "end", "score", "status"])
-
-    return _parsed(spark, sf_dir).mapInPandas(run, "doc_id long, sent_no int, start int, key int, end int, score double, status string")
+    import numpy as np
+
+    from glossa.operators.coordination import Marks, consistent_many
+
+    schema = "doc_id long, sent_no int, start int, key int, end int, score double, status string"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.r_[0, np.cumsum(batch["words"].value_lengths().to_numpy())]
+            words = batch["words"].flatten().dictionary_encode()
+            known: dict[str, int] = {}
+            codes = np.array([known.setdefault(w.lower(), len(known)) for w in words.dictionary.to_pylist()], np.intp)[words.indices.to_numpy()]
+            flags = {c: batch[c].flatten().to_numpy(zero_copy_only=False) for c in ("commas", "predicates")}
+            marks = Marks(list(known), codes, flags["predicates"], flags["commas"].astype(np.int32) - 1)
+            keys = [np.flatnonzero(flags["commas"][i : j - 1]).tolist() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            found = consistent_many(marks, np.diff(at).tolist(), keys)
+            of = np.array([i for i, _ in found], np.int64)
+            columns = [batch["doc_id"].take(pa.array(of)), batch["sent_no"].take(pa.array(of))]
+            columns += [pa.array([getattr(x, c) for _, x in found], pa.int32()) for c in ("start", "key", "end")]
+            columns += [pa.array([round(x.score, 6) for _, x in found], pa.float64()), pa.array([x.status for _, x in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sent_no", "start", "key", "end", "score", "status"])
+
+    # a condition on the phrases would be pushed down to the sentences, and their arrays computed once more for each phrase
+    return _parsed(spark, sf_dir, F.col("sentence").contains(",")).mapInArrow(run, schema)
 
 
 def lattice_segment(spark: SparkSession, sf_dir: str) -> DataFrame:

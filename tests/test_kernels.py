@@ -211,6 +211,30 @@ def test_scopes_of_long_sentences_end():
     assert not any(coordination.relation(a, b) == "bad" for a, b in itertools.combinations(found, 2))
 
 
+@pytest.mark.parametrize(("few", "short"), [(2, 12), (40, 128)])
+def test_scopes_of_many_sentences_are_those_of_each(monkeypatch, few, short):
+    monkeypatch.setattr(coordination, "FEW", few)
+    monkeypatch.setattr(coordination, "SHORT", short)
+    rng = random.Random(few)
+    sentences = [[x for x in random_items(rng, rng.randint(1, 40), False) for _ in range(rng.randint(1, 5) if k % 2 else 1)][:60] for k in range(40)]
+    keys = [[i for i, x in enumerate(items[:-1]) if not x.level] for items in sentences]
+    found = coordination.consistent_many(coordination.Marks.of([x for items in sentences for x in items]), [len(x) for x in sentences], keys)
+    for k, items in enumerate(sentences):
+        each = {key: coordination.align(items, key, range(key + 1, len(items))) for key in keys[k]}
+        grid = coordination.Grid.of(items).many(keys[k], len(items))
+        assert {key: (s.score, s.start, s.end) for key, s in each.items() if s} == {key: best[:3] for key, best in grid.items()}
+        assert [s for i, s in found if i == k] == coordination.consistent(items, keys[k], paths=False)
+
+
+def test_scopes_of_runs_of_equal_words_end():
+    words = ["Nd", "of,", "Des", "The", "la", "ra,", "Nd", "The"]
+    items = [coordination.Item(w.strip(",").lower(), w == "The", level=int("," in w) - 1) for w in words for _ in range(150)]
+    began = time.monotonic()
+    found = coordination.consistent(items, [i for i, x in enumerate(items[:-1]) if not x.level], paths=False)
+    assert found and time.monotonic() - began < 25
+    assert not any(coordination.relation(a, b) == "bad" for a, b in itertools.combinations(found, 2))
+
+
 def test_crf_marginals_and_paths_match_enumeration():
     rng = np.random.default_rng(2)
     unary, pair = rng.normal(size=(4, 3)), rng.normal(size=(3, 3))
