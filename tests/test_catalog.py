@@ -58,6 +58,15 @@ def test_kernel_queries_read_documents(spark):
     assert ids(catalog.QUERIES["viterbi_ne"](spark, DATA))
 
 
+def test_written_records_take_little_disk(spark, tmp_path, monkeypatch):
+    from glossa.plans import kernel_queries
+
+    monkeypatch.setattr(kernel_queries, "scratch_dir", lambda _: str(tmp_path / "out"))
+    assert kernel_queries.jtab_roundtrip(spark, DATA).count() > 0
+    written = sum(f.stat().st_size for f in (tmp_path / "out").iterdir())
+    assert written < 2.5 * os.path.getsize(f"{DATA}/documents.parquet")  # as plain text over ten times
+
+
 def test_parsed_trees_are_trees(spark):
     for r in catalog.QUERIES["cky_parse"](spark, DATA).collect():
         n = len(r["heads"])

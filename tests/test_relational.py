@@ -193,6 +193,15 @@ def test_jtab_files(spark, tmp_path):
     assert rows(given_units(back.where("sent_id = 'b-2'")), "unit_no") == [("b-2", 0, 0, 0, 1), ("b-2", 1, 1, 2, 3)]
 
 
+def test_jtab_files_may_be_compressed_and_bounded(spark, tmp_path):
+    (tmp_path / "a.jtab").write_text(RECORD + "# S-ID:b-1\nbroken\nEOS\n" + RECORD.replace("art-1-7", "b-2"))
+    records = jtab.read_jtab(spark, str(tmp_path / "a.jtab"))
+    jtab.write_jtab(records, str(tmp_path / "out"), "gzip", 1)
+    assert len(list((tmp_path / "out").glob("*.gz"))) == 3
+    rows = lambda df: sorted(map(str, df.drop("error").collect()))
+    assert rows(jtab.read_jtab(spark, str(tmp_path / "out"))) == rows(records)
+
+
 def test_jtab_writer_keeps_only_what_counts(tmp_path):
     from pyspark.sql import Row
 
