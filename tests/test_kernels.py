@@ -211,9 +211,10 @@ def test_scopes_of_long_sentences_end():
     assert not any(coordination.relation(a, b) == "bad" for a, b in itertools.combinations(found, 2))
 
 
-@pytest.mark.parametrize(("few", "short"), [(2, 12), (40, 128)])
-def test_scopes_of_many_sentences_are_those_of_each(monkeypatch, few, short):
+@pytest.mark.parametrize(("few", "short", "run"), [(2, 12, 12), (2, 12, 1), (40, 128, 12)])
+def test_scopes_of_many_sentences_are_those_of_each(monkeypatch, few, short, run):
     monkeypatch.setattr(coordination, "FEW", few)
+    monkeypatch.setattr(coordination, "RUN", run)
     monkeypatch.setattr(coordination, "SHORT", short)
     rng = random.Random(few)
     sentences = [[x for x in random_items(rng, rng.randint(1, 40), False) for _ in range(rng.randint(1, 5) if k % 2 else 1)][:60] for k in range(40)]
@@ -228,7 +229,7 @@ def test_scopes_of_many_sentences_are_those_of_each(monkeypatch, few, short):
 
 def test_scopes_of_runs_of_equal_words_end():
     words = ["Nd", "of,", "Des", "The", "la", "ra,", "Nd", "The"]
-    items = [coordination.Item(w.strip(",").lower(), w == "The", level=int("," in w) - 1) for w in words for _ in range(150)]
+    items = [coordination.Item(w.strip(",").lower(), w == "The", level=int("," in w) - 1) for w in words for _ in range(300)]
     began = time.monotonic()
     found = coordination.consistent(items, [i for i, x in enumerate(items[:-1]) if not x.level], paths=False)
     assert found and time.monotonic() - began < 25
